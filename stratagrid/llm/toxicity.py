@@ -84,7 +84,9 @@ def fit_linear(texts: Iterable[set[bytes]], y: np.ndarray, earlier: np.ndarray)
         cols += c
     d, extra = len(chosen), earlier.shape[1] + 1
     rows, cols, dense = np.array(rows, np.int64), np.array(cols, np.int64), np.column_stack([np.ones(n), earlier])
-    w = v = np.zeros(d + extra)
+    w = np.zeros(d + extra)
+    w[d] = np.log(positive / max(1, n - positive))
+    v = w
     longest = max(1.0, np.bincount(rows, minlength=n).max(initial=1) * 1.0 + extra)
     step, t = 4 / longest, 1.0
     penalty = np.concatenate([np.full(d, PENALTY), np.zeros(extra)])
