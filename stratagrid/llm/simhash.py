@@ -117,8 +117,8 @@ def _ball_links(prints: DataFrame, radius: int) -> DataFrame:
     points = prints
     for step in range(radius // 2):
         ones = F.array(F.lit(0), *[F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k) for k in range(64)])
-        held = F.col("point") if step else F.col("fp")
-        points = points.select("fp", F.explode(F.transform(ones, lambda x, p=held: p.bitwiseXOR(x))).alias("point")).distinct()
+        held = "point" if step else "fp"
+        points = points.select("fp", F.col(held).alias("held"), F.explode(ones).alias("flip")).select("fp", F.col("held").bitwiseXOR(F.col("flip")).alias("point")).distinct()
     own = written(points.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(64))), "ball-points")
     least = own.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "b")
     # the centre of a dense group is a point of all its members: salts deal these over many tasks
