@@ -24,8 +24,10 @@ def check_grids(headers: DataFrame) -> DataFrame:
 
 
 def overlap_fit(left: DataFrame, right: DataFrame, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """slope and intercept of the line that maps the quantiles of ``right`` to those of ``left``, over the cells of both, and n."""
-    both = left.where("value IS NOT NULL").withColumnRenamed("value", "y").join(right.where("value IS NOT NULL").withColumnRenamed("value", "x"), [*by, *CELL])
+    """slope and intercept of the line that maps the quantiles of ``right`` to those of ``left``, over the cells of both, and n, for
+    each group of ``right``; a ``left`` without the columns ``by`` serves all groups."""
+    keys = [*[c for c in by if c in left.columns], *CELL]
+    both = left.where("value IS NOT NULL").withColumnRenamed("value", "y").join(right.where("value IS NOT NULL").withColumnRenamed("value", "x"), keys)
     at = F.array(*[F.lit(q) for q in quantiles])
     pairs = both.groupBy(*by).agg(F.percentile("x", at).alias("xs"), F.percentile("y", at).alias("ys"), F.count(F.lit(1)).alias("n"))
     return pairs.select(*by, "n", F.explode(F.arrays_zip("xs", "ys")).alias("q")).groupBy(*by, "n").agg(F.regr_slope("q.ys", "q.xs").alias("slope"), F.regr_intercept("q.ys", "q.xs").alias("intercept"))

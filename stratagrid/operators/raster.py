@@ -118,10 +118,12 @@ def footprint_area(raster: DataFrame, resolution: float, by: Sequence[str] = ("s
 
 
 def masked_median(left: DataFrame, right: DataFrame, mask: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Exact median and number of ``left`` - ``right`` over cells that both have, and that ``mask`` has."""
-    joined = left.where("value IS NOT NULL").join(right.where("value IS NOT NULL").withColumnRenamed("value", "other"), [*by, *CELL])
+    """Exact median and number of ``left`` - ``right`` over cells that both have, and that ``mask`` has, for each group of
+    ``left``. What has no column of ``by`` serves all groups."""
+    keys = lambda other: [*[c for c in by if c in other.columns], *CELL]
+    joined = left.where("value IS NOT NULL").join(right.where("value IS NOT NULL").withColumnRenamed("value", "other"), keys(right))
     if mask is not None:
-        joined = joined.join(mask.select(*by, *CELL).distinct(), [*by, *CELL], "left_semi")
+        joined = joined.join(mask.select(*keys(mask)).distinct(), keys(mask), "left_semi")
     return joined.groupBy(*by).agg(F.percentile(F.col("value") - F.col("other"), F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
 
 

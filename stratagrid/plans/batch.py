@@ -69,8 +69,8 @@ def carry_forward(old: DataFrame, new: DataFrame, key: str, same: Sequence[str],
     grid = new.select(*same).distinct()
     kept = old.join(grid, list(same), "left_semi")
     place = kept.select(key, F.col(order).alias("sg_place"))
-    top = kept.agg(F.coalesce(F.max(order), F.lit(0)).alias("sg_top"))
-    fresh = new.join(place, key, "left").crossJoin(F.broadcast(top)).withColumn(order, F.coalesce("sg_place", F.col("sg_top") + F.col(order))).drop("sg_place", "sg_top")
+    top = kept.agg(F.max(order)).first()[0] or 0
+    fresh = new.join(place, key, "left").withColumn(order, F.coalesce("sg_place", F.col(order) + top)).drop("sg_place")
     return kept.join(new.select(key), key, "left_anti").unionByName(fresh)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import geo, text
 from .operators import catalog, merge, points, raster, reports, staging
 from .plans import batch
+from .streaming import epochs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,12 +150,12 @@ def dtm_ground(spark, sf_dir):
 
 @query(PTS + """, g AS (SELECT CAST(floor(y) AS BIGINT) AS row, CAST(floor(x) AS BIGINT) AS col, max(z) AS value FROM p WHERE cls = 2 GROUP BY 1, 2),
 st AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d),
-f AS (SELECT row + a.d AS row, col + b.d AS col, value, 1 / sqrt(a.d * a.d + b.d * b.d) AS w FROM g, st a, st b WHERE a.d <> 0 OR b.d <> 0)
-SELECT row, col, round(value, 6) AS value, false AS filled FROM g UNION ALL
-SELECT row, col, round(sum(value * w) / sum(w), 6), true FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.row = f.row AND g.col = f.col) GROUP BY 1, 2""")
+f AS (SELECT row + a.d AS row, col + b.d AS col, value, 1 / pow(sqrt(a.d * a.d + b.d * b.d), 1.5) AS w FROM g, st a, st b WHERE a.d <> 0 OR b.d <> 0)
+SELECT row, col, round(value, 7) AS value, false AS filled FROM g UNION ALL
+SELECT row, col, round(sum(value * w) / sum(w), 7), true FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.row = f.row AND g.col = f.col) GROUP BY 1, 2""")
 def dtm_fill(spark, sf_dir):
     grid = points.grid_max(points.ground_only(cloud(spark, sf_dir)), 1.0)
-    return raster.window_fill(grid, 2).select("row", "col", F.round("value", 6).alias("value"), "filled")
+    return raster.window_fill(grid, 2, 1.5).select("row", "col", F.round("value", 7).alias("value"), "filled")
 
 
 @query(PTS + CELLS.format(src="(SELECT *, cls NOT IN (7, 18) AND (nr = 1 OR rn = 1) AS s, cls = 2 AS g FROM p WHERE (cls NOT IN (7, 18) AND (nr = 1 OR rn = 1)) OR cls = 2)")
@@ -215,8 +216,7 @@ def common_mask(spark, sf_dir):
 def masked_median(spark, sf_dir):
     img = images(spark, sf_dir)
     base = img.where("source = 0").select("row", "col", F.col("value"))
-    labels = img.select("label").distinct()
-    return raster.masked_median(img.where("source != 0"), base.crossJoin(F.broadcast(labels)), by=["label"]).select("label", F.round("median", 6).alias("median"), "n")
+    return raster.masked_median(img.where("source != 0"), base, by=["label"]).select("label", F.round("median", 6).alias("median"), "n")
 
 
 @query(IMG + """, d AS (SELECT a.source, quantile_cont(a.value - b.value, 0.5) * 40 AS m, count(*) * 2 AS n FROM r a JOIN r b ON a.row = b.row AND a.col = b.col AND b.source = 0 GROUP BY 1)
@@ -296,8 +296,7 @@ def overlap_fit(spark, sf_dir):
     first = v.agg(F.min("source").alias("first"))
     base = v.join(F.broadcast(first), F.col("source") == F.col("first")).select("row", "col", "value")
     others = v.join(F.broadcast(first), F.col("source") != F.col("first")).drop("first")
-    sources = others.select("source").distinct()
-    fit = merge.overlap_fit(base.crossJoin(F.broadcast(sources)), others, by=["source"])
+    fit = merge.overlap_fit(base, others, by=["source"])
     return fit.select("source", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
@@ -600,3 +599,14 @@ def aoi_region(spark, sf_dir):
 def helmert_xyz(spark, sf_dir):
     xyz = geo.helmert(F.col("lon") * 1e4, F.col("lat") * 1e4, F.lit(5e3), F.lit(10.0), {"tx": 0.1, "ty": 0.2, "tz": 0.3, "rx": 1e-8, "ry": 3e-8, "rz": 2e-8, "s": 1e-9}, {"tx": 0.001})
     return places(spark, sf_dir).select("id", *[F.round(c, 4).alias(n) for n, c in zip("xyz", xyz)])
+
+
+@query("""WITH l AS (SELECT user_id, event_id, ts, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000 AS INT), 1) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM l) SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM n GROUP BY user_id, no""")
+def epoch_sessions(spark, sf_dir):
+    return epochs.epoch_sessions(read(spark, sf_dir, "events"), "user_id", "ts", "6 hours", "1 day")
+
+
+@query("SELECT event_type AS tile, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def tile_arrivals(spark, sf_dir):
+    return epochs.tile_arrivals(read(spark, sf_dir, "events").withColumnRenamed("event_type", "tile"), "tile", "ts", "1 day", "1 day")
