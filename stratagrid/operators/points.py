@@ -193,3 +193,34 @@ def to_tiles(points: DataFrame, step: float, buffer: float, origin: tuple[float,
 def tile_counts(tiles: DataFrame, counts: DataFrame, key: str = "tile") -> DataFrame:
     """Every tile with its number of points, 0 and ``empty`` where it has none: an empty tile is an outcome, not a failure."""
     return tiles.join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce(F.col("n") == 0, F.lit(True)).alias("empty"))
+
+
+def classify_ground(points: DataFrame, resolution: float = 1.0, window: int = 8, slope: float = 0.2, threshold: float = 0.45, scalar: float = 1.2, by: Sequence[str] = ("tile",), cls: str = "cls") -> DataFrame:
+    """Class 2 for ground, 1 for all else, by a simple morphological filter (Pingel et al., 2013).
+
+    The lowest point of each cell makes a surface. Openings with wider and wider windows flag cells that stand out by more than
+    the slope allows; what is left, with its gaps filled from around, is the ground, and points near it are ground points.
+    Openings are minima and maxima over ranges of rows and columns, so cells without points take no part.
+    """
+    by = list(by)
+    cells = with_cell(points, resolution).groupBy(*by, "row", "col").agg(F.min("z").alias("low"))
+    surface = cells.withColumns({"open": F.col("low"), "flag": F.lit(False)})
+    for w in range(1, window + 1):
+        over = lambda a, b, w=w: Window.partitionBy(*by, a).orderBy(b).rangeBetween(-w, w)
+        opened = surface.withColumn("sg_o", F.min("open").over(over("row", "col"))).withColumn("sg_o", F.min("sg_o").over(over("col", "row")))
+        opened = opened.withColumn("sg_o", F.max("sg_o").over(over("row", "col"))).withColumn("sg_o", F.max("sg_o").over(over("col", "row")))
+        surface = opened.withColumn("flag", F.col("flag") | (F.col("open") - F.col("sg_o") > slope * w * resolution)).withColumn("open", F.col("sg_o")).drop("sg_o")
+    surface = written(surface, "ground-surface")
+    ground = surface.where("NOT flag").select(*by, "row", "col", F.col("low").alias("sg_z"))
+    step = F.sequence(F.lit(-window), F.lit(window))
+    near = ground.withColumn("sg_r", F.explode(step)).withColumn("sg_c", F.explode(step))
+    w = 1 / (F.col("sg_r") * F.col("sg_r") + F.col("sg_c") * F.col("sg_c"))
+    near = near.where("sg_r != 0 OR sg_c != 0").select(*by, (F.col("row") + F.col("sg_r")).alias("row"), (F.col("col") + F.col("sg_c")).alias("col"), "sg_z", w.alias("sg_w"))
+    gaps = near.join(surface.where("flag").select(*by, "row", "col"), [*by, "row", "col"]).groupBy(*by, "row", "col").agg((F.sum(F.col("sg_z") * F.col("sg_w")) / F.sum("sg_w")).alias("sg_z"))
+    dem = ground.unionByName(gaps)
+    rise = lambda a, b: (F.lead("sg_z").over(Window.partitionBy(*by, a).orderBy(b)) - F.lag("sg_z").over(Window.partitionBy(*by, a).orderBy(b))) / (2 * resolution)
+    dem = dem.withColumns({"sg_dx": rise("row", "col"), "sg_dy": rise("col", "row")})
+    steep = F.sqrt(F.coalesce("sg_dx", F.lit(0.0)) ** 2 + F.coalesce("sg_dy", F.lit(0.0)) ** 2)
+    out = with_cell(points, resolution).join(dem.select(*by, "row", "col", "sg_z", steep.alias("sg_steep")), [*by, "row", "col"], "left")
+    is_ground = F.coalesce(F.abs(F.col("z") - F.col("sg_z")) <= F.lit(threshold) + F.col("sg_steep") * scalar, F.lit(False))
+    return out.withColumn(cls, F.when(is_ground, F.lit(GROUND)).otherwise(F.lit(1)).cast(points.schema[cls].dataType)).select(*points.columns)

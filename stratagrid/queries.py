@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geo, text
+from .functions import geo, geodesy, text
 from .operators import catalog, merge, points, raster, reports, staging
 from .plans import batch
 from .streaming import epochs
@@ -610,3 +610,25 @@ def epoch_sessions(spark, sf_dir):
 @query("SELECT event_type AS tile, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def tile_arrivals(spark, sf_dir):
     return epochs.tile_arrivals(read(spark, sf_dir, "events").withColumnRenamed("event_type", "tile"), "tile", "ts", "1 day", "1 day")
+
+
+@query()
+def ground_classes(spark, sf_dir):
+    return points.classify_ground(cloud(spark, sf_dir)).groupBy("tile", "cls").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey, round(year(d) + date_diff('day', make_date(year(d), 1, 1), d) / CAST(date_diff('day', make_date(year(d), 1, 1), make_date(year(d) + 1, 1, 1)) AS DOUBLE), 9) AS epoch,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE '+proj=pipeline +step +proj=vgridshift +grids=g' || (o_orderkey % 3) || '.tif +step +proj=utm' END AS pipeline FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def epochs_and_grids(spark, sf_dir):
+    k = F.col("o_orderkey")
+    before = F.when(k % 4 == 0, F.lit("+proj=utm")).otherwise(F.lit("+proj=pipeline +step +proj=vgridshift +grids=old.tif +step +proj=utm"))
+    after = geodesy.swap_vertical_grids(before, F.concat(F.lit("g"), (k % 3).cast("string"), F.lit(".tif")), fail=False)
+    return read(spark, sf_dir, "orders").select(k, F.round(geodesy.decimal_year(F.col("o_orderdate").cast("date")), 9).alias("epoch"), after.alias("pipeline"))
+
+
+@query(PLACE + """ SELECT id, CASE WHEN id % 2 = 0 THEN lon >= 170 OR lon <= -150 ELSE lon BETWEEN -120 AND -60 END AS inside, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN '4269' WHEN id % 5 = 2 THEN '6318' WHEN id % 5 = 3 THEN '4326' ELSE 'error' END AS base FROM c""")
+def areas_of_use(spark, sf_dir):
+    i = F.col("id")
+    west, east = F.when(i % 2 == 0, 170.0).otherwise(-120.0), F.when(i % 2 == 0, -150.0).otherwise(-60.0)
+    code = F.when(i % 5 == 1, 26911).when(i % 5 == 2, 6339).when(i % 5 == 3, 32611).when(i % 5 == 4, 999999)
+    return places(spark, sf_dir).select("id", geodesy.lon_in(F.col("lon"), west, east).alias("inside"), geodesy.geographic_base(code).alias("base"))

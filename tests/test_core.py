@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratagrid.functions import geo, text
+from stratagrid.functions import geo, geodesy, text
 from stratagrid.operators import catalog, merge, points, raster, reports, staging
 from stratagrid.plans import batch
 from stratagrid.sources import las, readers, writers
@@ -353,3 +353,25 @@ def test_stream_equals_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM sessions").collect())) == want
+
+
+def test_ground_classification(spark):
+    rows = []
+    for i in range(30):
+        for j in range(30):
+            house = 10 <= i < 15 and 10 <= j < 15
+            rows.append((i + 0.5, j + 0.5, 100 + 0.05 * i + (6.0 if house else 0.0), 0, 1, 1, 0.0, 0))
+            if i % 7 == 0:
+                rows.append((i + 0.4, j + 0.4, 103.0 + 0.05 * i, 0, 1, 1, 0.0, 0))
+    out = points.classify_ground(spark.createDataFrame(rows, POINT)).collect()
+    for r in out:
+        ground = abs(r["z"] - 100 - 0.05 * (r["x"] - 0.5)) < 0.3
+        assert r["cls"] == (2 if ground else 1), r
+    assert len(out) == len(rows)
+
+
+def test_geodesy(spark):
+    assert one(spark, geodesy.nice_length(F.lit(730.0)), geodesy.nice_length(F.lit(2000.0)), geodesy.nice_length(F.lit(0.13))) == (500, 2000, 0.1)
+    with pytest.raises(Exception, match="vertical grid"):
+        one(spark, geodesy.swap_vertical_grids(F.lit("+proj=utm"), F.lit("g.tif")))
+    assert one(spark, geodesy.lon_in(F.lit(-179.0), F.lit(170.0), F.lit(-150.0)))[0]
