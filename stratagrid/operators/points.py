@@ -116,19 +116,22 @@ def grid_products(points: DataFrame, wanted: Sequence[Product], resolution: floa
     ])
 
 
-def height_above_ground(points: DataFrame, by: Sequence[str] = ("tile",), bucket: float = 4.0, cls: str = "cls") -> DataFrame:
+def height_above_ground(points: DataFrame, by: Sequence[str] = ("tile",), bucket: float | None = None, cls: str = "cls") -> DataFrame:
     """``points`` with hag: the height above the nearest ground point of the group in x and y (of several, the lowest).
 
     Points look for ground in their own and the eight buckets around; those whose nearest find may not be the nearest go on
     with buckets four times as wide. So each round is an equi-join, and few points are left for the wide ones. A group without
-    ground has null. Needs ``x``, ``y``, ``z`` and no column starting with ``sg_``.
+    ground has null. By default the first buckets would hold four ground points each if these were spread evenly.
+    Needs ``x``, ``y``, ``z`` and no column starting with ``sg_``.
     """
     by = list(by)
     ground = points.where(F.col(cls) == GROUND).select(*by, F.col("x").alias("sg_gx"), F.col("y").alias("sg_gy"), F.col("z").alias("sg_gz"))
     ids = points.select(*by, "x", "y").distinct()
     with_ground = ids.join(ground.select(*by).distinct(), by, "left_semi")
-    extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    widest = max(float(extent[0] or 0), float(extent[1] or 0), bucket)
+    extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count_if(F.col(cls) == GROUND)).first()
+    width, height = float(extent[0] or 0), float(extent[1] or 0)
+    bucket = bucket or 2 * math.sqrt(max(width * height, 1e-6) / max(extent[2], 1))
+    widest = max(width, height, bucket)
     left, out = with_ground, None
     while True:
         last = bucket > widest
