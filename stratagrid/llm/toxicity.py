@@ -7,7 +7,8 @@ and as bad, as it will meet. The models of all folds are fitted at once, each in
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -60,17 +61,17 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_linear(texts: Iterable[set[bytes]], y: np.ndarray, earlier: np.ndarray) -> tuple[dict[bytes, float], list[float]]:
+def fit_linear(texts: Sequence[bytes | None], y: np.ndarray, earlier: np.ndarray) -> tuple[dict[bytes, float], list[float]]:
     """L1-penalised logistic regression by accelerated proximal gradients. ``earlier``: a column per category before."""
-    texts = list(texts)
     n, positive = len(y), max(1, int(y.sum()))
-    counts: dict[bytes, list[int]] = {}
-    for own, label in zip(texts, y, strict=True):
-        for t in own:
-            counts.setdefault(t, [0, 0])[int(label)] += 1
+    # texts are taken apart twice, so that only one text's tokens are held at a time
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for t, label in zip(texts, y, strict=True):
+        counts[int(label)].update(tokens(t))
     scored = []
     least = min(MIN_TEXTS, max(2, n // 100))
-    for t, (a, b) in counts.items():
+    for t in {k for own in counts for k, c in own.items() if 2 * c >= least}:
+        a, b = counts[0][t], counts[1][t]
         if a + b >= least:
             p, q, all_ = b / positive, a / max(1, n - positive), (a + b) / n
             z = abs(p - q) / np.sqrt(max(all_ * (1 - all_), 1e-9) * (1 / positive + 1 / max(1, n - positive)))
@@ -78,9 +79,10 @@ def fit_linear(texts: Iterable[set[bytes]], y: np.ndarray, earlier: np.ndarray)
                 scored.append((-z, t))
     chosen = [t for _, t in sorted(scored)[:TOKENS]]
     place = {t: k for k, t in enumerate(chosen)}
+    del counts
     rows, cols = [], []
-    for k, own in enumerate(texts):
-        c = [place[t] for t in own & place.keys()]
+    for k, text in enumerate(texts):
+        c = [place[t] for t in tokens(text) & place.keys()]
         rows += [k] * len(c)
         cols += c
     d, extra = len(chosen), earlier.shape[1] + 1
@@ -144,7 +146,7 @@ def _fit_all(rows: DataFrame, category: str, before: Sequence[str], folds: int)
 
         y = pdf[category].to_numpy(float)
         earlier = pdf[[f"p_{c}" for c in before]].to_numpy(float)
-        texts = [tokens(bytes(t)) if t is not None else set() for t in pdf["text"]]
+        texts = [bytes(t) if t is not None else None for t in pdf["text"]]
         weights, own = fit_linear(texts, y, earlier) if 0 < y.sum() < len(y) else ({BIAS: float(30 * np.sign(y.mean() - 0.5))}, [0.0] * len(before))
         out = [(int(pdf["model"].iloc[0]), t, w) for t, w in weights.items()] + [(int(pdf["model"].iloc[0]), b"\0%d" % k, w) for k, w in enumerate(own)]
         return pd.DataFrame(out, columns=["model", "token", "weight"])
