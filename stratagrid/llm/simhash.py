@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, need, utf8, written
+from .common import ASCII_LOWER, fresh, need, utf8, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a bucket that one task compares.
@@ -104,7 +104,9 @@ def links(prints: DataFrame, value: str = "fp", radius: int = RADIUS, bucket: in
         found = bucket_links(pdf["fp"].to_numpy(np.int64), radius)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    near = dealt.join(cold, ["t", "m"]).groupBy("t", "m").applyInPandas(search, "a long, b long")
+    # few bytes can be much work here, so partitions aren't to be put together by their bytes
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = dealt.join(cold, ["t", "m"]).repartition(parts, "t", "m").groupBy("t", "m").applyInPandas(search, "a long, b long")
     if hot.isEmpty():
         return near.distinct()
     return near.unionByName(_ball_links(dealt.join(hot, ["t", "m"]).select("fp").distinct(), radius)).distinct()
@@ -166,21 +168,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return _components_of(docs, key, text, radius, bucket).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _roots(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """(fp, root): each fingerprint of the written table ``prints`` and the smallest one that it reaches, as a written table."""
+    roots = components(links(prints, "fp", radius, bucket))
+    return written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def _components_of(docs: DataFrame, key: str, text: str, radius: int, bucket: int) -> DataFrame:
     need(docs, key, text)
     rows = written(fingerprints(docs.select(key, text), text, "fp").select(key, "fp"), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "prints")
-    roots = components(links(prints, "fp", radius, bucket))
-    rooted = written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = prints.join(_roots(prints.select("fp"), radius, bucket), "fp")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = written(rooted.join(ids, "root").select("fp", "component_id"), "components")
     return rows.join(by_print, "fp")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest ``key`` (of several, any; all keys null: any)."""
-    out = _components_of(docs, key, text, radius, bucket)
-    least = written(out.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stratagrid_key"), F.col("fp").alias("_stratagrid_fp")).distinct(), "representatives")
-    firsts = least.groupBy("_stratagrid_key").agg(F.min("_stratagrid_fp").alias("_stratagrid_fp"))
-    kept = docs.join(firsts, docs[key].eqNullSafe(firsts["_stratagrid_key"]), "left_semi")
-    return kept.dropDuplicates([key])
+    """``docs`` with one row of each component: that with the smallest ``key`` (nulls last; of several such rows, one)."""
+    need(docs, key, text)
+    row, fp = fresh(docs, "sg_row", "sg_fp")
+    # rows get their numbers as they are written, so these stand
+    held = written(fingerprints(docs, text, fp).withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))).alias("first")
+    prints = written(held.groupBy(F.col(fp).alias("fp")).agg(first), "prints")
+    kept = prints.join(_roots(prints.select("fp"), radius, bucket), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return held.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

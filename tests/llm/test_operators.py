@@ -244,8 +244,11 @@ def test_simhash(docs, empty):
     roots = brute_components(prints)
     want = Counter((i, f"{p:016x}", roots[p]) for i, p in prints)
     assert rows(simhash.near_duplicates(docs)) == want
-    kept = [r[0] for r in simhash.keep_one(docs).select("doc_id").collect()]
-    assert len(kept) == len(set(kept)) and set(kept) == set(roots.values())
+    kept = simhash.keep_one(docs).collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter(set(roots.values()))
+    assert simhash.keep_one(docs).columns == docs.columns
+    unnamed = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert simhash.keep_one(unnamed).count() == len(set(roots.values()))
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
