@@ -179,7 +179,9 @@ def read(index: DataFrame, payload: bool = True) -> DataFrame:
     Rows of one frame go to one task, which reads the frame once. ``index`` may be any part of what ``write`` returned, to read
     single records. A damaged record is an error.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
+    # an index row is small and its frame is not, so partitions aren't to be put together by their bytes
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frames = index.repartition(parts, "bundle", "frame").groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][:6 + payload]
     names = [x.split()[0] for x in schema.split(", ")]
