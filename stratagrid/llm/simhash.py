@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a bucket that one task compares.
 BUCKET = 16_384
 TOP = 1 << 63
+#: Tasks, at most, that one hot point, hub or component is dealt to.
+SALTS = 64
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -112,6 +114,10 @@ def links(prints: DataFrame, value: str = "fp", radius: int = RADIUS, bucket: in
     return near.unionByName(_ball_links(dealt.join(hot, ["t", "m"]).select("fp").distinct(), radius)).distinct()
 
 
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS))
+
+
 def _ball_links(prints: DataFrame, radius: int) -> DataFrame:
     """All fingerprints are linked through the points of the balls of half the radius around them."""
     if radius % 2:
@@ -121,7 +127,7 @@ def _ball_links(prints: DataFrame, radius: int) -> DataFrame:
         ones = F.array(F.lit(0), *[F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k) for k in range(64)])
         held = "point" if step else "fp"
         points = points.select("fp", F.col(held).alias("held"), F.explode(ones).alias("flip")).select("fp", F.col("held").bitwiseXOR(F.col("flip")).alias("point")).distinct()
-    own = written(points.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(64))), "ball-points")
+    own = written(points.withColumn("salt", _salt("fp")), "ball-points")
     least = own.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "b")
     # the centre of a dense group is a point of all its members: salts deal these over many tasks
     spread = own.select("point", "salt").distinct().join(least, "point")
@@ -139,8 +145,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         around = df.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if both:
             around = around.unionByName(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        joined = around.join(least, "u")
+        # the hub of a large group has all its members as neighbours: salts deal these over many tasks
+        around = around.withColumn("salt", _salt("v"))
+        parts = around.groupBy("u", "salt").agg(F.min("v").alias("v"))
+        least = parts.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+        joined = around.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"])
         if both:
             return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -178,9 +187,10 @@ def _components_of(docs: DataFrame, key: str, text: str, radius: int, bucket: in
     need(docs, key, text)
     rows = written(fingerprints(docs.select(key, text), text, "fp").select(key, "fp"), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "prints")
-    rooted = prints.join(_roots(prints.select("fp"), radius, bucket), "fp")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = written(rooted.join(ids, "root").select("fp", "component_id"), "components")
+    rooted = prints.join(_roots(prints.select("fp"), radius, bucket), "fp").withColumn("salt", _salt("fp"))
+    parts = rooted.groupBy("root", "salt").agg(F.min("least").alias("least"))
+    ids = parts.select("root", "salt").join(parts.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    by_print = written(rooted.join(ids, ["root", "salt"]).select("fp", "component_id"), "components")
     return rows.join(by_print, "fp")
 
 
