@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagrid.llm import bpe, common, decontaminate, line_dedup, simhash, toxicity
+from stratagrid.llm import bpe, common, decontaminate, line_dedup, near, toxicity
 
 #: The columns that all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each component of texts stays that share 0.8 or more of their 5-word shingles."""
+    return near.keep_one(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

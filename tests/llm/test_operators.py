@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stratagrid.llm import bpe, decontaminate, licenses, line_dedup, sharding, simhash, topk, toxicity, url_filter, warc  # noqa: E402
+from stratagrid.llm import bpe, decontaminate, licenses, line_dedup, near, sharding, simhash, topk, toxicity, url_filter, warc  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -279,6 +279,56 @@ def test_simhash_links(spark, bucket):
     assert groups((r, v) for v, r in got.items()) == groups((want[v & (1 << 64) - 1], v) for v in signed)
 
 
+def brute_shingles(text):
+    words = (text or "").encode().translate(bytes(range(256)).lower()).split()
+    return frozenset(tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_similar(texts):
+    """Components of texts that share 0.8 or more of their shingles, as sets of positions."""
+    sets = [brute_shingles(t) for t in texts]
+    part = list(range(len(sets)))
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                part = [part[j] if p == part[k] else p for p in part]
+    return part
+
+
+def near_texts():
+    rng = random.Random(11)
+    texts = []
+    for n, changed, copies in [(100, 1, 12), (100, 2, 12), (300, 5, 12), (1000, 10, 6), (60, 3, 12), (30, 1, 12)]:
+        for _ in range(4):
+            at = [f"v{rng.randrange(5000)}" for _ in range(n)]
+            for _ in range(copies):
+                other = list(at)
+                for k in rng.sample(range(n), changed):
+                    other[k] = f"n{rng.randrange(10**9)}"
+                texts.append(" ".join(other))
+                at = other if rng.random() < 0.3 else at
+    return texts
+
+
+@pytest.mark.parametrize("block", [300, 1_000_000])
+def test_near_keeps_one_of_all_similar(spark, docs, empty, block):
+    texts = near_texts() + [r[1] for r in table()]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    part = brute_similar(texts)
+    least = {p: k for k, p in reversed(list(enumerate(part)))}
+    assert sorted(r[0] for r in near.keep_one(made, block=block).select("doc_id").collect()) == sorted(least.values())
+    assert near.keep_one(docs).columns == docs.columns and near.keep_one(empty).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [[f"d{d}w{k}" for k in range(100)] for d in range(40)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:50], "changed", *w[51:]]) for w in words]
+    made = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, made, "").collect()) == list(range(40))
+
+
 def _grouped(pairs):
     out = defaultdict(list)
     for k, v in pairs:
