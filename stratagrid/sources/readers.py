@@ -32,15 +32,19 @@ def csv_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str, properties: Sequence[str] = ()) -> DataFrame:
-    """One row per feature of a polygon collection: properties, ring (array of struct x, y, the outer ring of the first part) and its box."""
+    """One row per feature of a polygon collection: properties, ring (array of struct x, y, the outer ring of the first part),
+    parts (all parts, each an array of rings: the outer one, then its holes) and the box over all parts."""
     props = ", ".join(f"`{p}`: string" for p in properties)
     feature = f"struct<properties: struct<{props}>, geometry: struct<type: string, coordinates: string>>" if props else "struct<geometry: struct<type: string, coordinates: string>>"
     rows = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True).select(F.explode("features").alias("f"))
     multi = F.col("f.geometry.type") == "MultiPolygon"
-    points = F.when(multi, F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")[0][0]).otherwise(F.from_json("f.geometry.coordinates", "array<array<array<double>>>")[0])
-    ring = F.transform(points, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    out = rows.select(*[F.col(f"f.properties.{p}").alias(p) for p in properties], ring.alias("ring"))
-    return out.select("*", *box_of(F.col("ring")))
+    single = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
+    given = F.when(multi, F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")).when(single.isNotNull(), F.array(single))
+    parts = F.transform(given, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    out = rows.select(*[F.col(f"f.properties.{p}").alias(p) for p in properties], parts.alias("parts"))
+    # holes lie within their outer rings, so the outer rings bound everything
+    outer = F.flatten(F.transform(F.filter("parts", lambda rings: F.size(rings) > 0), lambda rings: rings[0]))
+    return out.select(*properties, F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("ring"), "parts", *box_of(outer))
 
 
 def box_of(ring: Column) -> list[Column]:

@@ -319,6 +319,20 @@ def test_las_source(spark, tmp_path):
         spark.read.format("las").load(str(tmp_path)).count()
 
 
+def test_geojson_keeps_all_parts_and_holes(spark, tmp_path):
+    square = lambda x, y, n: f"[[{x},{y}],[{x + n},{y}],[{x + n},{y + n}],[{x},{y + n}],[{x},{y}]]"
+    multi = f'{{"type":"Feature","properties":{{"name":"m"}},"geometry":{{"type":"MultiPolygon","coordinates":[[{square(0, 0, 4)},{square(1, 1, 1)}],[{square(10, 20, 2)}]]}}}}'
+    single = f'{{"type":"Feature","properties":{{"name":"s"}},"geometry":{{"type":"Polygon","coordinates":[{square(0, 0, 4)},{square(2, 2, 1)}]}}}}'
+    none = '{"type":"Feature","properties":{"name":"z"},"geometry":null}'
+    (tmp_path / "m.json").write_text(f'{{"type":"FeatureCollection","features":[{multi},{single},{none}]}}')
+    g = readers.geojson(spark, str(tmp_path / "m.json"), ["name"])
+    got = {r["name"]: r for r in g.collect()}
+    areas = {r["name"]: r["a"] for r in g.select("name", F.transform("parts", lambda p: F.transform(p, geo.ring_area)).alias("a")).collect()}
+    assert areas == {"m": [[16, 1], [4]], "s": [[16, 1]], "z": None}
+    assert [tuple(got[n][c] for c in ("xmin", "ymin", "xmax", "ymax")) for n in "msz"] == [(0, 0, 12, 22), (0, 0, 4, 4), (None,) * 4]
+    assert readers.in_box(g, 11, 21, 30, 30).count() == 1
+
+
 def test_readers_and_writers(spark, tmp_path):
     df, there = readers.with_schema(spark.createDataFrame([("w",)], "Workunit string"), readers.SURVEY)
     assert there == ["workunit"] and df.first()["ql"] is None and len(df.columns) == 16
