@@ -93,7 +93,7 @@ def rank_collections(related: DataFrame, by: Sequence[str], ties: Sequence[str]
     return related.withColumn("priority", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def coverage(surveys: DataFrame, areas: DataFrame, by: Sequence[str], resources: DataFrame | None = None) -> DataFrame:
+def coverage(surveys: DataFrame, areas: DataFrame, by: Sequence[str]) -> DataFrame:
     """Surveys whose box meets their area's, with the share of the area that each covers; areas without extent are an error."""
     own = [F.col(f"a_{c}") for c in BOX]
     box = [F.col(c) for c in BOX]

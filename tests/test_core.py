@@ -228,6 +228,12 @@ def test_coverage_and_gaps(spark):
         catalog.coverage(boxes, area.withColumn("xmax", F.col("xmin")), ["aoi"]).collect()
 
 
+def test_coverage_takes_no_resources(spark):
+    area = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "aoi int, xmin double, ymin double, xmax double, ymax double")
+    with pytest.raises(TypeError):
+        catalog.coverage(area, area, ["aoi"], resources=area)
+
+
 def test_equal_area_share(spark):
     north, whole = one(spark, geo.box_area_m2(F.lit(-150.0), F.lit(65.0), F.lit(-140.0), F.lit(70.0)), geo.box_area_m2(F.lit(-150.0), F.lit(60.0), F.lit(-140.0), F.lit(70.0)))
     assert abs(north / whole - 0.453) < 0.005
