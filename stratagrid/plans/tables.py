@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the checkpoint folder that was set; a temporary folder where neither is (tests)."""
+    """``spark.checkpoint.dir``, or the checkpoint folder that was set. Where neither is, a temporary one if driver and tasks are on
+    one machine (tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="stratagrid-")
             spark.sparkContext.setCheckpointDir(base)
