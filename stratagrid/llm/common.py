@@ -22,12 +22,15 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder that all machines share: ``spark.checkpoint.dir``, or the checkpoint folder that was set. Where neither is, a
+    temporary one if driver and tasks are on one machine (tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="stratagrid-")
             spark.sparkContext.setCheckpointDir(base)
@@ -51,6 +54,13 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def clash(df: DataFrame, *columns: str) -> None:
+    """New columns must not be there already, whatever the case of their letters."""
+    new = {c.lower() for c in columns}
+    if there := [c for c in df.columns if c.lower() in new]:
+        raise ValueError(f"there are columns {there} already")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever the case of its letters."""
     there = {c.lower() for c in df.columns}
@@ -66,33 +76,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without decoding them."""
     return column.cast(pa.large_binary()).to_pylist()
-
-
-def batches_of(schema: pa.Schema, batches: Iterator[pa.RecordBatch], row, rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """``row`` maps a batch to an iterable of tuples in the order of ``schema``; output goes on in batches of ``rows``."""
-    held: list[tuple] = []
-    for batch in batches:
-        for values in row(batch):
-            held.append(values)
-            if len(held) >= rows:
-                yield to_batch(held, schema)
-                held = []
-    if held:
-        yield to_batch(held, schema)
-
-
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def salted(key: str, salt: str, parts: int, groups: DataFrame, per: DataFrame) -> DataFrame:
-    """``groups`` (one row per ``key``) copied to just those salts with which ``per`` (distinct ``key``, ``salt``) needs it.
-
-    A join on (key, salt) then deals a hot key over ``parts`` tasks, with at most one copy per row of the other side.
-    """
-    return per.join(groups, key)
-
-
-def distinct_ids(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).where(F.col(column).isNotNull()).distinct()
