@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, need, utf8, written
+from .common import ALNUM_WORDS, clash, need, utf8, written
 
 #: Labelled rows that the models are fitted on: those with the smallest hashes of their ids. All others are scored only.
 SAMPLE = 6_000
@@ -30,6 +30,8 @@ PENALTY, STEPS = 0.0005, 300
 #: Clean held-out texts score below a tenth of this, toxic ones mostly far above.
 THRESHOLD = 0.25
 BIAS = b""
+#: The number of the model that is fitted on all rows: no fold's.
+WHOLE = -1
 
 
 def words_of(text: bytes | None) -> tuple[set[bytes], dict[int, set[bytes]]]:
@@ -120,9 +122,11 @@ class Chain:
         return out
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """``df`` with the column p_<category> (double) for each category; null and empty texts get what the models say without words."""
+        """``df`` with the column p_<category> (double) for each category, which must not be there before; null and empty texts get
+        what the models say without words."""
         need(df, text)
         names = [f"p_{c}" for c in self.categories]
+        clash(df, *names)
         schema = df.withColumns({c: F.lit(None).cast("double") for c in names}).schema
         shipped = df.sparkSession.sparkContext.broadcast(self)
 
@@ -138,8 +142,9 @@ class Chain:
 
 
 def _fit_all(rows: DataFrame, category: str, before: Sequence[str], folds: int) -> dict[int, Linear]:
-    """The models without fold 0, 1, ..., and at ``folds`` that of all rows. Each task has one model's rows, at most the sample."""
-    groups = rows.select("fold", "text", category, *[f"p_{c}" for c in before], F.explode(F.sequence(F.lit(0), F.lit(folds))).alias("model")).where("model != fold")
+    """The models without fold 0, 1, ..., and at ``WHOLE`` that of all rows. Each task has one model's rows, at most the sample."""
+    numbers = F.array(*[F.lit(k) for k in (WHOLE, *range(folds))])
+    groups = rows.select("fold", "text", category, *[f"p_{c}" for c in before], F.explode(numbers).alias("model")).where("model != fold")
 
     def fit_one(pdf):
         import pandas as pd
@@ -164,13 +169,16 @@ def _fit_all(rows: DataFrame, category: str, before: Sequence[str], folds: int)
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), key: str = "doc_id", text: str = "text", sample: int = SAMPLE, folds: int = FOLDS) -> Chain | None:
     """A chain over the label columns ``categories`` (0 or 1), fitted on at most ``sample`` labelled rows of ``docs``.
 
-    Rows with a null key or a null label take no part, nor do labels without a document; of repeated labels of a key the
-    largest values count, of repeated documents one. None if no category has both labels in the sample; categories that have
+    Rows with a null key or a label other than 0 and 1 take no part, nor do labels without a document; of repeated labels of a
+    key the largest values count, of repeated documents one. None if no category has both labels in the sample; categories that have
     one only are left out.
     """
     need(docs, key, text)
     need(labels, key, *categories)
-    usable = labels.select(key, *[F.col(c).cast("int").alias(c) for c in categories]).dropna().groupBy(key).agg(*[F.max(c).alias(c) for c in categories])
+    usable = labels.select(key, *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
+    for c in categories:
+        usable = usable.where(F.col(c).isin(0, 1))
+    usable = usable.groupBy(key).agg(*[F.max(c).alias(c) for c in categories])
     chosen = usable.join(docs.select(key).distinct(), key, "left_semi").withColumn("_sg_order", F.xxhash64(F.col(key), F.lit(SEED))).orderBy("_sg_order", key).limit(sample).drop("_sg_order")
     # at most `sample` ids and labels: small enough to broadcast whatever the corpus
     rows = docs.select(key, F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), key).dropDuplicates([key])
@@ -181,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qualit
         return None
     models = []
     for k, category in enumerate(used):
+        # the last model's probabilities go into no other, so it needs none without a fold
         found = _fit_all(rows, category, used[:k], folds if k + 1 < len(used) else 0)
-        models.append(found[max(found)])
+        models.append(found[WHOLE])
         if k + 1 < len(used):
             rows = _out_of_fold(rows, category, used[:k], found)
     return Chain(used, models)
@@ -192,14 +201,13 @@ def _out_of_fold(rows: DataFrame, category: str, before: Sequence[str], found: d
     """``rows`` with p_<category> by the model that was fitted without the row's fold."""
     schema = rows.withColumn(f"p_{category}", F.lit(None).cast("double")).schema
     shipped = rows.sparkSession.sparkContext.broadcast(found)
-    whole = max(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             earlier = [batch.column(f"p_{c}").to_pylist() for c in before]
             made = []
             for k, (t, fold) in enumerate(zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)):
-                made.append(shipped.value.get(fold, shipped.value[whole]).probability(*words_of(t), [e[k] for e in earlier]))
+                made.append(shipped.value.get(fold, shipped.value[WHOLE]).probability(*words_of(t), [e[k] for e in earlier]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, f"p_{category}"])
 
     return rows.mapInArrow(run, schema)
@@ -211,9 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Every row is scored on its whole text where it lies. Without usable labels all probabilities are 0 and nothing is rejected.
     Null texts are scored as empty. Repeated rows score alike.
     """
-    taken = {f"p_{c}" for c in categories} | {"rejected"}
-    if clash := {c.lower() for c in docs.columns} & taken:
-        raise ValueError(f"docs has columns {sorted(clash)} already")
+    clash(docs, *[f"p_{c}" for c in categories], "rejected")
     chain = fit(docs, labels, categories, key, text, sample)
     out = chain.score(docs, text) if chain else docs
     for c in categories:
