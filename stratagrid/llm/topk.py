@@ -1,11 +1,12 @@
 """Operator 5: exact top-k search with a vector-approximation file.
 
-Every vector gets an approximation: the number of the cell, of 2**BITS per component, in which each component lies. A scan
-of the cells bounds each score from above and below. Then exact vectors are read in the order of their bounds, best first,
-until no vector left can still be among the k best.
+The file holds vectors in chunks. Of each chunk it has the approximations, that is the number of the cell, of 2**BITS per
+component, in which each component lies, and the cells' edges; and, in a column of its own, the exact vectors. A scan of the
+cells bounds each score from above and below. Then exact vectors are read in the order of their bounds, best first, until no
+vector left can still be among the k best: of the exact column only those vectors are ever decoded.
 
-Queries are taken in blocks of bounded size. Each goes to all parts of the vectors, which stay where they lie; every part
-gives its k best for each query, and Spark keeps the k best of those.
+Queries are taken in blocks of bounded size. Each goes to all parts of the file, which stay where they lie; every part gives
+its k best for each query, and Spark keeps the k best of those.
 """
 
 from __future__ import annotations
@@ -17,46 +18,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, written
+from .common import need, new_path, written
 
-K, SCALE, BITS = 5, 256, 7
-#: Queries of one block: with 64 components and 8 bytes each, 4 MB go to the workers at once.
-BLOCK = 8_192
-#: Vectors that are scanned together, queries that are searched for together, and exact vectors read per query and round.
+K, SCALE, BITS = 5, 256, 8
+#: Numbers in the queries of one block: 8 MB go to the workers at once.
+BLOCK_NUMBERS = 1 << 20
+#: Vectors of a chunk, queries that are searched for together, and exact vectors read per query and round.
 CHUNK, TOGETHER, ROUND = 4_096, 512, 16
-#: Components beyond this are taken as this, so that scores of up to 128 components fit a long.
-LIMIT = 1 << 28
+FILE = "n int, most double, ids binary, low binary, width binary, cells binary, kind string, exact binary"
 
 
 def whole_numbers(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``key`` and ``v``, floor(256 * x) of each component. Rows with a null key, vector or component, or a component that isn't finite, are left out."""
+    """``id`` and ``v``, floor(256 * x) of each component. Rows with a null key, vector or component, or a component that isn't finite, are left out."""
     x = F.col(vector).cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    v = F.transform(x, lambda c: F.least(F.greatest(F.floor(c * float(SCALE)), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int"))
-    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine).select(F.col(key).cast("bigint").alias("id"), v.alias("v"))
+    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine).select(F.col(key).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(c * float(SCALE))).alias("v"))
 
 
 class Cells:
     """The approximations of a chunk of vectors: cell numbers, and each component's least value and cell width."""
 
-    def __init__(self, v: np.ndarray):
-        self.low = v.min(0).astype(np.float64)
-        self.width = np.maximum(1.0, np.ceil((v.max(0) - self.low + 1) / 2**BITS))
-        self.cell = ((v - self.low) // self.width).astype(np.uint8)
+    def __init__(self, low: np.ndarray, width: np.ndarray, cell: np.ndarray):
+        self.low, self.width, self.cell = low, width, cell
+
+    @staticmethod
+    def of(v: np.ndarray) -> Cells:
+        low, high = v.min(0), v.max(0)
+        width = np.maximum(1, -(-(high - low + 1) // 2**BITS))
+        return Cells(low, width, ((v - low) // width).astype(np.uint8))
 
     def middles(self) -> np.ndarray:
-        return self.low + (self.cell + 0.5) * self.width - 0.5
+        return (self.low + (self.cell + 0.5) * self.width - 0.5).astype(np.float32)
 
     def slack(self, q: np.ndarray) -> np.ndarray:
-        """By how much a score can differ from that with the cells' middles."""
-        return np.abs(q) @ ((self.width - 1) / 2) + 1e-5 * (np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.low + self.width * 2**BITS))) + 1
+        """By how much a score can differ from the single-precision product with the cells' middles.
+
+        Half a cell per component, and the rounding of a sum of n products, which is below 2n units of 2**-24 of the sum of
+        their sizes, with four more for the rounding of the factors.
+        """
+        size, farthest = np.abs(q), np.maximum(np.abs(self.low), np.abs(self.low + self.width * 2.0**BITS))
+        return size @ ((self.width - 1) / 2) + (len(self.low) + 4) * 2.0**-23 * (size @ farthest) + 1
+
 
+def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: Cells, exact: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> int:
+    """Brings ``best`` (scores, ids; each queries x k, the best first) up to date with a chunk. Scores exclude the query's own id.
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> None:
-    """Brings ``best`` (scores, ids; each queries x k, the best first) up to date with a chunk. Scores exclude the query's own id."""
+    Returns how many exact vectors were read.
+    """
     scores, found = best
-    cells = Cells(v)
-    middles = cells.middles().astype(np.float32)
+    middles, n, count = cells.middles(), len(ids), 0
     for first in range(0, len(q), TOGETHER):
         at = slice(first, first + TOGETHER)
         own = q[at]
@@ -64,7 +74,6 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
         slack = cells.slack(own.astype(np.float64))[:, None]
         own_id = q_ids[at, None] == ids[None, :]
         middle[own_id] = -np.inf
-        n = len(ids)
         # no vector below the k-th largest lower bound, or below the k-th score so far, can be among the best
         floor = scores[at, -1].astype(np.float64)
         if n > k:
@@ -83,88 +92,109 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
             if not now.any():
                 break
             rr, cc = r[now], c[now]
-            exact = np.einsum("ij,ij->i", own[rr].astype(np.int64), v[cc].astype(np.int64))
+            count += len(cc)
+            product = np.einsum("ij,ij->i", own[rr], exact[cc].astype(np.int64))
             touched = np.unique(rr)
             row = np.concatenate([np.searchsorted(touched, rr), np.repeat(np.arange(len(touched)), scores.shape[1])])
-            s = np.concatenate([exact, scores[first + touched].ravel()])
+            s = np.concatenate([product, scores[first + touched].ravel()])
             i = np.concatenate([ids[cc], found[first + touched].ravel()])
             by = np.lexsort((i, -s, row))
             rank = np.arange(len(by)) - np.searchsorted(row[by], np.arange(len(touched)))[row[by]]
             top = by[rank < k]
             scores[first + touched], found[first + touched] = s[top].reshape(-1, k), i[top].reshape(-1, k)
             done += ROUND
+    return count
 
 
 #: No score and no id yet.
 LEAST, NO_ID = -(2**63 - 1), 2**63 - 1
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = K, block: int = BLOCK) -> DataFrame:
+def approximation_file(vectors: DataFrame) -> DataFrame:
+    """The written file of ``vectors`` (id, v): a row per chunk of vectors of one length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            sizes = lists.value_lengths().to_numpy()
+            flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            for n in map(int, np.unique(sizes)):
+                at = np.flatnonzero(sizes == n)
+                held.setdefault(n, []).append((ids[at], flat[starts[at][:, None] + np.arange(n)[None, :]] if n else np.zeros((len(at), 0), np.int64)))
+                if sum(len(x[0]) for x in held[n]) >= CHUNK:
+                    yield from _chunks(held.pop(n))
+        for own in held.values():
+            yield from _chunks(own)
+
+    return written(vectors.mapInArrow(run, FILE), "vectors")
+
+
+def _chunks(held: list) -> Iterator[pa.RecordBatch]:
+    ids, v = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    for first in range(0, len(ids), CHUNK):
+        i, own = ids[first:first + CHUNK], v[first:first + CHUNK]
+        most = max(abs(float(own.min(initial=0))), abs(float(own.max(initial=0))))
+        if own.shape[1] * most * most >= 2.0**63:
+            raise ValueError(f"the product of two vectors with {own.shape[1]} components of up to {most:g} does not fit a long")
+        cells = Cells.of(own)
+        kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<i8"
+        row = [own.shape[1], most, i.tobytes(), cells.low.tobytes(), cells.width.tobytes(), cells.cell.tobytes(), kind, own.astype(kind).tobytes()]
+        types = [pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in FILE.split(", ")])
+
+
+def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = K, block: int = BLOCK_NUMBERS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products of each query with all other rows.
 
     Queries are the rows whose ``key`` is divisible by ``every``. Scores are of whole numbers, floor(256 * x); ties go to the smaller id.
-    Rows with a null key, vector or component, or one that isn't finite, take no part. Vectors of other lengths than the query's
-    do not count as candidates for it. Repeated rows count as often as they occur, but none with the query's own id counts.
+    Components so large that a score might not fit a long are an error. Rows with a null key, vector or component, or one that isn't
+    finite, take no part. Vectors of other lengths than the query's do not count as candidates for it. Repeated rows count as often
+    as they occur, but none with the query's own id counts. An empty table gives no rows. Other columns do not matter.
     """
     need(df, key, vector)
-    spark = df.sparkSession
-    index = written(whole_numbers(df, key, vector), "vectors")
-    asked = index.where(F.col("id") % every == 0).distinct()
-    out = None
-    held: list = []
+    spark, vectors = df.sparkSession, whole_numbers(df, key, vector)
+    file = approximation_file(vectors)
+    # the largest numbers may be in different chunks
+    reach = file.groupBy("n").agg(F.max(F.col("n") * F.col("most") * F.col("most")).alias("reach")).agg(F.max("reach")).first()[0]
+    if reach is not None and reach >= 2.0**63:
+        raise ValueError("the product of two vectors does not fit a long")
+    asked = written(vectors.where(F.col("id") % every == 0).distinct(), "queries")
+    path, held, size = new_path(spark, "nearest"), [], 0
     for copy, row in enumerate(asked.toLocalIterator()):
         held.append((row["id"], copy, row["v"]))
-        if len(held) >= block:
-            part, held = _block(index, held, k), []
-            out = part if out is None else out.unionByName(part)
-    if held or out is None:
-        part = _block(index, held, k)
-        out = part if out is None else out.unionByName(part)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-
-
-def _block(index: DataFrame, rows: list, k: int) -> DataFrame:
-    """The ``k`` best of each part of ``index`` for a block of queries."""
+        size += len(row["v"]) + 2
+        if size >= block:
+            _block(file, held, k, path)
+            held, size = [], 0
+    _block(file, held, k, path)
+    by = Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), "vec_id")
+    found = spark.read.schema("query_id long, copy long, vec_id long, score long").parquet(path)
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _block(file: DataFrame, rows: list, k: int, path: str) -> None:
+    """Adds the ``k`` best of each part of ``file`` for a block of queries to the table at ``path``."""
     by_length: dict[int, list] = {}
-    for i, copy, v in rows:
-        by_length.setdefault(len(v), []).append((i, copy, v))
-    queries = {n: (np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own], np.int32).reshape(len(own), n)) for n, own in by_length.items()}
-    shipped = index.sparkSession.sparkContext.broadcast(queries)
+    for x in rows:
+        by_length.setdefault(len(x[2]), []).append(x)
+    queries = {n: (np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own], np.int64).reshape(len(own), n)) for n, own in by_length.items()}
+    shipped = file.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shipped.value
         best = {n: (np.full((len(own[0]), k), LEAST), np.full((len(own[0]), k), NO_ID)) for n, own in asked.items()}
-        held: dict[int, list] = {}
-        counts: dict[int, int] = {}
-
-        def flush(n: int) -> None:
-            ids = np.concatenate([x[0] for x in held[n]])
-            v = np.concatenate([x[1] for x in held[n]])
-            held[n], counts[n] = [], 0
-            for first in range(0, len(ids), CHUNK):
-                search(asked[n][0], asked[n][2], ids[first:first + CHUNK], v[first:first + CHUNK], k, best[n])
-
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            sizes = lists.value_lengths().to_numpy()
-            flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-            for n in np.unique(sizes):
-                n = int(n)
-                if n not in asked:
-                    continue
-                at = np.flatnonzero(sizes == n)
-                v = flat[starts[at][:, None] + np.arange(n)[None, :]] if n else np.zeros((len(at), 0), np.int32)
-                held.setdefault(n, []).append((ids[at], v))
-                counts[n] = counts.get(n, 0) + len(at)
-                if counts[n] >= CHUNK:
-                    flush(n)
-        for n in list(held):
-            if counts[n]:
-                flush(n)
+            for r in range(batch.num_rows):
+                n, ids, low, width, cell, kind, exact = (batch.column(c)[r] for c in ("n", "ids", "low", "width", "cells", "kind", "exact"))
+                n, see = n.as_py(), lambda x, t: np.frombuffer(x.as_buffer(), t) if len(x.as_buffer()) else np.zeros(0, t)
+                ids = see(ids, np.int64)
+                cells = Cells(see(low, np.int64), see(width, np.int64), see(cell, np.uint8).reshape(len(ids), n))
+                search(asked[n][0], asked[n][2], ids, cells, see(exact, kind.as_py()).reshape(len(ids), n), k, best[n])
         for n, (q_ids, copies, _) in asked.items():
             scores, found = best[n]
             r, c = np.nonzero(scores > LEAST)
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(copies[r]), pa.array(found[r, c]), pa.array(scores[r, c])], names=["query_id", "copy", "vec_id", "score"])
 
-    return index.mapInArrow(run, "query_id long, copy long, vec_id long, score long")
+    own = file.where(F.col("n").isin(list(queries)) if queries else F.lit(False)).drop("most")
+    own.mapInArrow(run, "query_id long, copy long, vec_id long, score long").write.mode("append").parquet(path)
+    shipped.destroy()

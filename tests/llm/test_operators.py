@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -189,24 +190,71 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(docs, marked.limit(0)).where("rejected").count() == 0
 
 
+def test_toxicity_chain_against_a_plain_one(spark):
+    """Out-of-fold probabilities by hand; the models that score are fitted on all labelled rows."""
+    rng = random.Random(3)
+    data = []
+    for k in range(300):
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(12)]
+        good, toxic = k % 3 == 0, k % 5 == 0
+        words += ["polished"] * (rng.random() < (0.9 if good else 0.1)) + ["vileword"] * (rng.random() < (0.9 if toxic else 0.05))
+        data.append((k, " ".join(words), int(good), int(toxic)))
+    docs = spark.createDataFrame([(k, t) for k, t, _, _ in data], "doc_id long, text string").repartition(3)
+    marked = spark.createDataFrame([(k, q, x) for k, _, q, x in data] + [(1, 7, 0)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs, marked)
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(toxicity.SEED + 1)), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    fold = np.array([fold[r[0]] for r in data])
+    texts, quality, toxic = [r[1].encode() for r in data], np.array([r[2] for r in data], float), np.array([r[3] for r in data], float)
+    none = np.zeros((len(data), 0))
+    first = toxicity.Linear(*toxicity.fit_linear(texts, quality, none))
+    out_of_fold = np.zeros(len(data))
+    for f in range(toxicity.FOLDS):
+        rest = np.flatnonzero(fold != f)
+        model = toxicity.Linear(*toxicity.fit_linear([texts[k] for k in rest], quality[rest], none[rest]))
+        for k in np.flatnonzero(fold == f):
+            out_of_fold[k] = model.probability(*toxicity.words_of(texts[k]), [])
+    second = toxicity.Linear(*toxicity.fit_linear(texts, toxic, out_of_fold[:, None]))
+    for got, want in zip(chain.models, (first, second), strict=True):
+        assert got.weights.keys() == want.weights.keys() and len(got.weights) > 1
+        assert all(abs(got.weights[t] - w) < 1e-6 for t, w in want.weights.items())
+        assert np.allclose(got.earlier, want.earlier, atol=1e-6)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     vectors = [rng.normal(0, 0.2, 8).tolist() for _ in range(700)] + [[0.5] * 8] * 9
     data = [(k, v, 1) for k, v in enumerate(vectors)]
-    data += [(1000, None, 1), (None, [0.1] * 8, 1), (1050, [0.1, None] * 4, 1), (1100, [float("nan")] * 8, 1), (1150, [float("inf")] * 8, 1), (1200, [1.0, 2.0], 1), (1201, [3.0, 1.0], 1), (1250, [], 1), (1300, [7.0], 1), (51, vectors[51], 1), (1350, [3e38] * 8, 1)]
+    data += [(1000, None, 1), (None, [0.1] * 8, 1), (1050, [0.1, None] * 4, 1), (1100, [float("nan")] * 8, 1), (1150, [float("inf")] * 8, 1), (1200, [1.0, 2.0], 1), (1201, [3.0, 1.0], 1), (1250, [], 1), (1300, [7.0], 1), (51, vectors[51], 1)]
+    # far beyond 32 bits, but not so far that a score would not fit
+    data += [(1350, [2.0**22, -(2.0**21)], 1), (1351, [-(2.0**22), 1.0], 1), (1352, [2.0**22, 0.5], 1)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, score int").repartition(5)
     good = []
     for k, v, _ in data:
         if k is not None and v is not None and None not in v and np.isfinite(np.array(v, np.float32)).all():
-            good.append((k, [int(np.clip(np.floor(256 * float(np.float32(x))), -topk.LIMIT, topk.LIMIT)) for x in v]))
+            good.append((k, [math.floor(256 * float(np.float32(x))) for x in v]))
     want = Counter()
     for q, a in good:
         if q % 50 == 0:
             scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in good if c != q and len(a) == len(b))[:5]
             want.update((q, rank, c, -s) for rank, (s, c) in enumerate(scores, 1))
     assert rows(topk.nearest(df)) == want
-    assert rows(topk.nearest(df, block=3)) == want
+    assert rows(topk.nearest(df, block=30)) == want
     assert topk.nearest(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="fit a long"):
+        topk.nearest(spark.createDataFrame([(0, [3e38], 1), (1, [1.0], 1)], df.schema))
+
+
+def test_topk_reads_few_exact_vectors():
+    rng = np.random.default_rng(5)
+    for n, spread in ((64, 400), (300, 40_000)):
+        v = rng.normal(0, spread, (4000, n)).astype(np.int64)
+        q, ids = v[:200], np.arange(4000)
+        best = (np.full((200, 5), topk.LEAST), np.full((200, 5), topk.NO_ID))
+        read = topk.search(ids[:200], q, ids, topk.Cells.of(v), v, 5, best)
+        product = q @ v.T
+        product[np.arange(200), np.arange(200)] = -(2**62)
+        assert (best[1] == np.argsort(-product, axis=1, kind="stable")[:, :5]).all()
+        assert read < 0.02 * 200 * 4000
 
 
 def brute_fingerprint(text):
@@ -355,6 +403,42 @@ def test_sharding(spark, docs, empty):
     assert abs(np.corrcoef(order[1:], order[:-1])[0, 1]) < 0.04
 
 
+def test_sharding_is_jointly_uniform(spark):
+    """What becomes of row i of one partition says nothing of row i, or any other, of the next."""
+    n, parts = 10_000, 4
+    found = []
+    for seed in range(12):
+        places = sharding.shuffle(spark.range(0, n * parts, 1, parts), 4, seed).select("id", (F.col("shard") * n + F.col("slot")).alias("at"), "shard", "slot").orderBy("id").toPandas()
+        at, shard, slot = (places[c].to_numpy(float).reshape(parts, n) for c in ("at", "shard", "slot"))
+        found += [np.corrcoef(x[p], y[q])[0, 1] for x in (at, shard, slot) for y in (at, shard, slot) for p in range(parts) for q in range(p)]
+    # 648 coefficients with deviation 0.01
+    assert max(map(abs, found)) < 0.05 and abs(np.std(found) - 0.01) < 0.002
+
+
+def test_sharding_takes_all_orders_alike(spark):
+    """The places of row i of four partitions come in each of the 24 orders equally often, and so do those of neighbours."""
+    n, parts = 10_000, 4
+    out = sharding.shuffle(spark.range(0, n * parts, 1, parts), 4, 5).select("id", (F.col("shard") * n + F.col("slot")).alias("at")).orderBy("id").toPandas()["at"].to_numpy()
+    for columns in (out.reshape(parts, n).T, out.reshape(n, parts)):
+        counts = Counter(map(tuple, np.argsort(columns, axis=1)))
+        # chi-square with 23 degrees of freedom is below 49.7 in 999 of 1000 cases
+        assert len(counts) == 24 and sum((c - n / 24) ** 2 / (n / 24) for c in counts.values()) < 49.7
+
+
+def test_sharding_bounds_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_NUMBERS", 15)
+    monkeypatch.setattr(sharding, "PLAN_ROWS", 2)
+    out = sharding.shuffle(spark.range(0, 1000, 1, 8), 5).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in out) == [200] * 5
+
+
+def test_log_step():
+    for n, k in ((5, 3), (5000, -700), (10**6, 10**5), (2000, -1500)):
+        assert abs(sharding._log_step(n, k) - (math.lgamma(n + k + 1) - math.lgamma(n + 1))) < 1e-8 * abs(math.lgamma(n + 1))
+    # at 10**12 the quotient of neighbouring factorials is known to all digits
+    assert abs(sharding._log_step(10**12, 1000) - sum(math.log(10**12 + j) for j in range(1, 1001))) < 1e-7
+
+
 def test_hypergeometric():
     rng = random.Random(9)
     for good, bad, draws in ((30, 50, 20), (5, 400, 100), (1000, 3000, 2500), (10**10, 10**11, 10**9)):
