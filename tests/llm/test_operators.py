@@ -145,10 +145,12 @@ def brute_contamination(text, items, window=10):
 @pytest.mark.parametrize("block", [1, 1 << 20])
 def test_contamination(spark, docs, empty, block):
     benchmark = spark.createDataFrame(BENCHMARK, "item_id long, text string")
-    short = docs.where("length(text) < 5000 OR text IS NULL")
-    got = decontaminate.contamination(short, benchmark, block_bytes=block)
+    got = decontaminate.contamination(docs, benchmark, block_bytes=block, keep=block == 1)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    assert rows(got.select(*names)) == Counter((r[0], *brute_contamination(r[1], BENCHMARK)) for r in table() if len(r[1] or "") < 5000)
+    assert rows(got.select(*names)) == Counter((r[0], *brute_contamination(r[1], BENCHMARK)) for r in table())
+    assert got.columns[:-6] == (docs.columns if block == 1 else ["doc_id"])
+    spans = {r["doc_id"]: [tuple(x) for x in r["hits"]] for r in got.where("n_hit > 0").collect()}
+    assert all(sum(b - a for a, b in s) and all(x[1] < y[0] for x, y in zip(s, s[1:])) for s in spans.values())
     assert decontaminate.contamination(empty, benchmark).count() == 0
     assert decontaminate.contamination(docs, benchmark.limit(0), keep=True).where("contaminated").count() == 0
 
@@ -160,7 +162,20 @@ def test_wu_manber_random():
         m = rng.randint(1, 5)
         patterns = list({tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(m)) for _ in range(4)})
         want = {(k, j) for j, p in enumerate(patterns) for k in range(len(words) - m + 1) if tuple(words[k:k + m]) == p}
-        assert set(decontaminate.Search(patterns, m).occurrences(words)) == want
+        flat = [w for p in patterns for w in p] * 2
+        search = decontaminate.Search(flat, range(0, 2 * m * len(patterns), m), [*range(len(patterns))] * 2, m)
+        assert {(k, j) for k, place in search.occurrences(words) for j in search.owners(place)} == want
+
+
+def test_benchmark_of_one_phrase_over_and_over():
+    bench = decontaminate.Benchmark([(k, b"same words " * 400) for k in range(5)] + [(9, b"w" + b" same" * 30)], 10)
+    assert sum(len(s.keys) for _, s in bench.searches) == 4
+    assert bench.hits(b"same words same words same words same words same words".split()) == ([(0, 10)], {0, 1, 2, 3, 4})
+    # nearly every pair of words is the end of a window, and yet most buckets are empty
+    rng = random.Random(1)
+    text = [b"%d" % int(rng.paretovariate(0.7)) for _ in range(60_000)]
+    bench = decontaminate.Benchmark([(1, b" ".join(text))], 10)
+    assert bench.hits(text[500:530]) == ([(0, 30)], {1}) and len(bench.searches[0][1].keys) <= 60_000
 
 
 def test_toxicity(spark, empty):
