@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, need
+from .common import clash, fresh, need, written
 
 #: Bits for each listed key, and blocks of 512 bits at most: 32 MB go to each worker at most. Longer lists make more false
 #: positives, which the join removes.
 BITS_PER_KEY, MAX_BLOCKS = 16, 1 << 19
 LANES = 8
+#: Listed keys up to which the exact join sends them to every task (some 10 MB); beyond that, tasks among which a popular key is dealt.
+MOST_SENT, SALTS = 100_000, 64
 ASCII_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -77,15 +79,14 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """
     need(pages, url)
     need(rules, "host", "path", "verdict")
-    if clash := {c.lower() for c in pages.columns} & {"host", "path", "rule", "verdict"}:
-        raise ValueError(f"pages has columns {sorted(clash)} already")
+    clash(pages, "host", "path", "rule", "verdict")
     spark = pages.sparkSession
     listed = rules.select("host", "path", "verdict").dropna().withColumn("key", F.concat("host", F.lit("\0"), "path"))
     listed = listed.groupBy("key").agg(F.max("verdict").alias("ruled"), F.first("host").alias("rule_host"), F.first("path").alias("rule_path"))
+    listed = written(listed, "rules")
     lengths = sorted(r[0] for r in listed.select(F.char_length("rule_path")).distinct().collect())
     shipped = spark.sparkContext.broadcast(bloom(listed, "key"))
-    (row,) = fresh(pages, "sg_row")
-    hits, key = fresh(pages, "sg_hits", "sg_key")
+    row, hits = fresh(pages, "sg_row", "sg_hits")
     mine = F.lit(None)
     schema = pages.withColumns({"host": mine.cast("string"), "path": mine.cast("string"), hits: mine.cast("array<string>")}).schema
 
@@ -106,11 +107,22 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
                     found[owner[j]].append(keys[j])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, "host", "path", hits])
 
-    numbered = pages.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id())
-    open_ = numbered.withColumn(key, F.explode_outer(hits)).drop(hits)
-    joined = open_.join(listed.withColumnRenamed("key", key), key, "left")
+    # only possible hits go on to the join; row numbers are fixed by writing them
+    numbered = written(pages.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "urls")
+    possible = F.size(hits) > 0
+    open_ = numbered.where(possible).select(F.col(row).alias("row"), F.explode(hits).alias("key"))
     best = F.struct((F.char_length("rule_host") + F.char_length("rule_path")).alias("size"), F.char_length("rule_host").alias("host_size"), F.concat("rule_host", "rule_path").alias("rule"), "ruled")
+    found = _listed(open_, listed).groupBy("row").agg(F.max(best).alias("best")).select(F.col("row").alias(row), F.col("best.rule").alias("rule"), F.col("best.ruled").alias("ruled"))
     columns = [*pages.columns, "host", "path"]
-    held = F.struct(*[F.col(c) for c in columns])
-    out = joined.groupBy(row).agg(F.any_value(held).alias("sg_held"), F.max(F.when(F.col("ruled").isNotNull(), best)).alias("sg_best"))
-    return out.select("sg_held.*", F.col("sg_best.rule").alias("rule"), F.coalesce("sg_best.ruled", F.lit(default)).alias("verdict"))
+    held = numbered.where(possible).drop(hits).join(found, row, "left")
+    judged = held.select(*columns, "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+    return judged.unionByName(numbered.where(~possible).select(*columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
+
+
+def _listed(open_: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows (row, key) of ``open_`` whose key is listed, with the rule."""
+    if listed.count() <= MOST_SENT:
+        return open_.join(F.broadcast(listed), "key")
+    # a popular key's rows are dealt over salts, and its rule is copied to those salts that have rows
+    salted = open_.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    return salted.join(salted.select("key", "salt").distinct().join(listed, "key"), ["key", "salt"])

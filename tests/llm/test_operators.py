@@ -536,7 +536,9 @@ def brute_url(url):
     return host, path, best[1], best[2]
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_url_filter(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_SENT", most)
     urls = [None, "", "x", "://", "http://NET", "http://net/", "http://net?x", "https://a.example.net/en/1?q=://", "https://a.example.net/en", "http://deep.example.net/en/1", "http://x.deep.example.net", "http://example.com/de/#f", "http://notexample.com/de/", "http://b.org/fr/x", "http://b.org/en/x", "http://..net/", "http://É.net/ü", "http://com.net/\n"]
     data = [(k, u, 1, "x") for k, u in enumerate(urls)] + [(5, urls[5], 1, "x"), (None, urls[7], None, None)]
     pages = spark.createDataFrame(data, "page_id long, url string, sg_row int, key string").repartition(3)
@@ -548,6 +550,17 @@ def test_url_filter(spark):
     assert url_filter.judge(pages, rules.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_url_filter_joins_only_possible_hits(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_SENT", 0)
+    seen = []
+    joined = url_filter._listed
+    monkeypatch.setattr(url_filter, "_listed", lambda a, b: (seen.append(a.count()), joined(a, b))[1])
+    pages = spark.range(1000).select(F.when(F.col("id") % 100 == 0, "http://a.example.com/de/x").otherwise(F.concat(F.lit("http://h"), "id", F.lit(".test/p"))).alias("url"))
+    rules = spark.createDataFrame([("example.com", "/de/", "block")], "host string, path string, verdict string")
+    assert url_filter.judge(pages, rules).where("verdict = 'block'").count() == 10
+    assert 10 <= seen[0] <= 30
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"))
     bits = url_filter.bloom(keys, "k")
