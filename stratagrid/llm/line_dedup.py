@@ -1,16 +1,20 @@
 """Operator 8: line deduplication by a sharded minimal perfect hash.
 
-The lines' 128-bit hashes are counted in Spark. Those that recur in enough documents are dealt to shards by their hash;
-each shard's task builds a minimal perfect hash and two compact arrays behind it: a fingerprint, which tells a line of
-the index from any other, and a count; a third holds the document that keeps the line. Documents are then read once more
-and probe the arrays where they lie: no line is joined.
+The lines' 128-bit hashes are counted in Spark. The distinct lines that recur at all are dealt to shards by their hash; each
+shard's task builds a minimal perfect hash and compact arrays behind it: a fingerprint, which tells a line of the index from
+any other, the count of documents, and the document that keeps the line. Documents then probe the arrays, and the counts
+there decide: no line is joined. A line of one document alone can't be dropped, so it needs no place in the index.
+
+An index of up to ``PASS_BYTES`` goes to all documents at once. A larger one takes several passes. For these, documents and
+the hashes of their lines are written once, the hashes by the pass that has their shard, so each hash is probed once, and
+only what is to be dropped (row and line numbers) is written by a pass.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, utf8, written
+from .common import clash, fresh, need, new_path, utf8, written
 
 #: Code points that a line's key has at least, and documents that hold it at least.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -57,7 +61,8 @@ class PerfectHash:
         self.rank = np.cumsum(flat, dtype=np.int64) - flat
 
     @staticmethod
-    def build(keys: np.ndarray) -> PerfectHash:
+    def build(keys: np.ndarray) -> PerfectHash | None:
+        """None if two keys are equal."""
         sizes, levels, left = [], [], keys
         for level in range(LEVELS):
             if not len(left):
@@ -69,7 +74,7 @@ class PerfectHash:
             sizes.append(size)
             left = left[counts[at] != 1]
         if len(left):
-            raise ValueError("two keys of a shard are equal")
+            return None
         return PerfectHash(np.array(sizes, np.int64), np.packbits(np.concatenate(levels)) if levels else np.zeros(0, np.uint8))
 
     def index(self, keys: np.ndarray) -> np.ndarray:
@@ -86,49 +91,63 @@ class PerfectHash:
         return out
 
 
-def line_counts(docs: DataFrame, key: str, text: str, min_chars: int, min_docs: int) -> DataFrame:
-    """h1, h2 (halves of the key's hash), n (documents, that is rows), keeper (the largest ``key``; null if all are null)."""
+def _mixed_halves(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of both halves of hashes; another seed parts what one seed maps to the same bits."""
+    return h1.view(np.uint64) ^ _mixed(h2.view(np.uint64), seed)
+
+
+def _long_lines(text: bytes | None, min_chars: int) -> Iterator[tuple[int, bytes]]:
+    """Number and 128-bit hash of the key of each line that is long enough."""
+    import xxhash
+
+    if text and len(text) >= min_chars:
+        for j, line in enumerate(text.split(b"\n")):
+            if len(line) >= min_chars and _long(x := key_of(line), min_chars):
+                yield j, xxhash.xxh3_128_digest(x)
+
+
+def line_counts(docs: DataFrame, key: str, text: str, min_chars: int, least: int) -> DataFrame:
+    """h1, h2 (halves of the key's hash), n (documents, that is rows, ``least`` at least), keeper (the largest ``key``; null if all are null)."""
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keeper", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh3_128_digest
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
                 found, rows = [], []
                 for k, value in enumerate(utf8(batch.column(1))):
-                    if value and len(value) >= min_chars:
-                        own = {digest(x) for line in value.split(b"\n") if len(line) >= min_chars and _long(x := key_of(line), min_chars)}
-                        found += own
-                        rows += [k] * len(own)
+                    own = {h for _, h in _long_lines(value, min_chars)}
+                    found += own
+                    rows += [k] * len(own)
                 if found:
                     h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["h1", "h2", "keeper"])
 
-    return docs.select(key, text).mapInArrow(run, schema).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= min_docs)
+    return docs.select(key, text).mapInArrow(run, schema).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= least)
 
 
 def build_index(lines: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: shard, sizes and bits of the perfect hash, and the arrays fingerprints, counts, keepers, has_keeper (binary), n."""
-    schema = "shard int, n int, sizes binary, bits binary, fingerprints binary, counts binary, keepers binary, has_keeper binary"
+    """One row per shard: shard, n, seed, sizes and bits of the perfect hash, and the arrays fingerprints, counts, keepers, has_keeper (binary)."""
+    schema = "shard int, n int, seed int, sizes binary, bits binary, fingerprints binary, counts binary, keepers binary, has_keeper binary"
 
     def build(pdf):
         import pandas as pd
 
-        keys = pdf["h1"].to_numpy(np.int64).view(np.uint64) ^ (pdf["h2"].to_numpy(np.int64).view(np.uint64) << np.uint64(1))
-        h = PerfectHash.build(keys)
+        h1, h2 = (pdf[c].to_numpy(np.int64) for c in ("h1", "h2"))
+        seed, h = 0, None
+        while h is None:
+            keys = _mixed_halves(h1, h2, seed)
+            h, seed = PerfectHash.build(keys), seed + 1
         at = h.index(keys)
         n = len(pdf)
         prints, counts, keepers, has = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.uint8)
-        prints[at] = pdf["h2"].to_numpy(np.int64)
+        prints[at] = h2
         counts[at] = np.minimum(pdf["n"].to_numpy(np.int64), 2**31 - 1)
         known = pdf["known"].to_numpy(bool)
         has[at] = known
         keepers[at] = np.where(known, pdf["keep"].to_numpy(np.int64), 0)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [n], "sizes": [h.sizes.tobytes()], "bits": [h.bits.tobytes()], "fingerprints": [prints.tobytes()], "counts": [counts.tobytes()], "keepers": [keepers.tobytes()], "has_keeper": [has.tobytes()]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [n], "seed": [seed - 1], "sizes": [h.sizes.tobytes()], "bits": [h.bits.tobytes()], "fingerprints": [prints.tobytes()], "counts": [counts.tobytes()], "keepers": [keepers.tobytes()], "has_keeper": [has.tobytes()]})
 
     dealt = lines.select("h1", "h2", "n", F.coalesce(F.col("keeper").cast("bigint"), F.lit(0)).alias("keep"), F.col("keeper").isNotNull().alias("known"), F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard"))
     return dealt.groupBy("shard").applyInPandas(build, schema)
@@ -137,36 +156,37 @@ def build_index(lines: DataFrame, shards: int) -> DataFrame:
 class Index:
     """The arrays of some shards, as a worker holds them."""
 
-    def __init__(self, rows: list, shards: int):
-        self.shards = shards
+    def __init__(self, rows: list, shards: int, min_docs: int):
+        self.shards, self.min_docs = shards, min_docs
         self.by = {}
         for r in rows:
             get = lambda c, t, r=r: np.frombuffer(bytes(r[c]), t)
-            self.by[r["shard"]] = (PerfectHash(get("sizes", np.int64), get("bits", np.uint8)), get("fingerprints", np.int64), get("keepers", np.int64), get("has_keeper", np.uint8))
+            self.by[r["shard"]] = (r["seed"], PerfectHash(get("sizes", np.int64), get("bits", np.uint8)), get("fingerprints", np.int64), get("counts", np.int32), get("keepers", np.int64), get("has_keeper", np.uint8))
 
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each hash (n x 2): whether it is in the index, and its keeper, and whether it has one."""
-        found, keeper, has = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    def drops(self, h: np.ndarray, keys: list) -> np.ndarray:
+        """Of each hash (n x 2) of a line of the document ``keys``: whether the line goes. Its fingerprint must be in the index,
+        the count there large enough, and its keeper another document."""
+        out = np.zeros(len(h), bool)
         shard = h[:, 0] % np.int64(self.shards)
-        mixed = h[:, 0].view(np.uint64) ^ (h[:, 1].view(np.uint64) << np.uint64(1))
         for s in np.unique(shard):
             if (own := self.by.get(int(s))) is None:
                 continue
+            seed, perfect, prints, counts, keepers, has = own
             at = np.flatnonzero(shard == s)
-            k = own[0].index(mixed[at])
-            good = (k >= 0) & (own[1][np.maximum(k, 0)] == h[at, 1])
-            at, k = at[good], k[good]
-            found[at], keeper[at], has[at] = True, own[2][k], own[3][k] == 1
-        return found, keeper, has
+            k = perfect.index(_mixed_halves(h[at, 0].copy(), h[at, 1].copy(), seed))
+            good = (k >= 0) & (prints[np.maximum(k, 0)] == h[at, 1]) & (counts[np.maximum(k, 0)] >= self.min_docs)
+            for p, i in zip(at[good].tolist(), k[good].tolist(), strict=True):
+                out[p] = keys[p] != keepers[i] if has[i] else keys[p] is not None
+        return out
 
 
 _indexes: dict[str, Index] = {}
 
 
-def _held(name: str, shipped, shards: int) -> Index:
+def _held(name: str, shipped, shards: int, min_docs: int) -> Index:
     if name not in _indexes:
         _indexes.clear()
-        _indexes[name] = Index(shipped.value, shards)
+        _indexes[name] = Index(shipped.value, shards, min_docs)
     return _indexes[name]
 
 
@@ -178,64 +198,98 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     them. Hashes of 128 bits stand for keys: 64 pick shard and place, 64 are compared.
     Null or empty text: one empty line, and the text stays as it is. A row all of whose lines go gets an empty text.
     A null ``key`` is less than any other; if all holders of a line have one, all keep it. Repeated rows count each, and
-    those with the largest key all keep the line. No columns n_lines, n_dropped, kept_sha256 may be there before.
+    those with the largest key all keep the line. No documents give no rows. No columns n_lines, n_dropped, kept_sha256 may be
+    there before.
     """
     need(docs, key, text)
-    if clash := {c.lower() for c in docs.columns} & {"n_lines", "n_dropped", "kept_sha256"}:
-        raise ValueError(f"docs has columns {sorted(clash)} already")
+    clash(docs, "n_lines", "n_dropped", "kept_sha256")
+    if not isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{key} must hold whole numbers, not {docs.schema[key].dataType.simpleString()}")
     spark = docs.sparkSession
-    lines = written(line_counts(docs, key, text, min_chars, min_docs), "lines")
+    # without the lines of one document: they never go, unless one document is enough
+    lines = written(line_counts(docs, key, text, min_chars, min(2, min_docs)), "lines")
     n = lines.count()
     shards = max(1, -(-n // shard_keys))
-    index = written(build_index(lines, shards), "line-index") if n else None
-    none = F.lit(None)
-    extra = {"n_lines": none.cast("bigint"), "n_dropped": none.cast("bigint"), "kept_sha256": none.cast("string")}
-    out, per_pass = docs.withColumn("_stratagrid_drop", none.cast("array<bigint>")), max(1, pass_bytes // (shard_keys * 24))
-    for first in range(0, shards, per_pass):
-        rows = [r.asDict() for r in index.where(F.col("shard").between(first, first + per_pass - 1)).collect()] if index is not None else []
-        last = first + per_pass >= shards
-        schema = (docs.withColumns(extra) if last else out).schema
-        out = out.mapInArrow(_probing(spark.sparkContext.broadcast(rows), uuid.uuid4().hex, shards, key, text, min_chars, schema, last), schema)
-        if not last:
-            out = written(out, "line-probe")
-    return out
-
-
-def _probing(shipped, name: str, shards: int, key: str, text: str, min_chars: int, schema: T.StructType, last: bool):
-    from pyspark.sql.pandas.types import to_arrow_schema
+    index = written(build_index(lines, shards), "line-index")
+    per_pass = max(1, pass_bytes // (shard_keys * 28))
+
+    def some(first: int):
+        # at most pass_bytes
+        rows = [r.asDict() for r in index.where(F.col("shard").between(first, first + per_pass - 1)).collect()]
+        return spark.sparkContext.broadcast(rows), uuid.uuid4().hex
+
+    if shards <= per_pass:
+        shipped, name = some(0)
+
+        def probe(batch: pa.RecordBatch) -> list:
+            found = [list(_long_lines(t, min_chars)) for t in utf8(batch.column(text))]
+            flat = b"".join([h for own in found for _, h in own])
+            if not flat:
+                return [()] * len(found)
+            keys = [k for k, own in zip(batch.column(key).to_pylist(), found, strict=True) for _ in own]
+            goes = iter(_held(name, shipped, shards, min_docs).drops(np.frombuffer(flat, "<i8").reshape(-1, 2), keys).tolist())
+            return [[j for j, _ in own if next(goes)] for own in found]
+
+        return _kept(docs, text, probe, docs.columns)
+    row, drop = fresh(docs, "sg_row", "sg_drop")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    hashes = new_path(spark, "line-hashes")
+    _hashes(held.select(F.col(row).alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), min_chars).withColumn("pass", F.floor(F.pmod(F.col("h1"), F.lit(shards)) / per_pass).cast("int")).write.partitionBy("pass").parquet(hashes)
+    table, drops = spark.read.parquet(hashes), new_path(spark, "line-drops")
+    for number in range(-(-shards // per_pass)):
+        shipped, name = some(number * per_pass)
+        _dropped(table.where(F.col("pass") == number).select("row", "key", "line", "h1", "h2"), shipped, name, shards, min_docs).write.mode("append").parquet(drops)
+        shipped.destroy()
+    by_row = spark.read.schema("row long, line int").parquet(drops).groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(drop))
+    return _kept(held.join(by_row, row, "left"), text, lambda batch: [x or () for x in batch.column(drop).to_pylist()], docs.columns)
+
+
+def _hashes(held: DataFrame, min_chars: int) -> DataFrame:
+    """row, key, line number and hash (h1, h2) of each long line of ``held`` (row, key, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                found = [list(_long_lines(t, min_chars)) for t in utf8(batch.column("text"))]
+                at = pa.array([k for k, own in enumerate(found) for _ in own], pa.int64())
+                h = np.frombuffer(b"".join([x for own in found for _, x in own]), "<i8").reshape(-1, 2) if len(at) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("key").take(at), pa.array([j for own in found for j, _ in own], pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["row", "key", "line", "h1", "h2"])
+
+    return held.mapInArrow(run, "row long, key long, line int, h1 long, h2 long")
 
-    target = to_arrow_schema(schema)
 
+def _dropped(table: DataFrame, shipped, name: str, shards: int, min_docs: int) -> DataFrame:
+    """row and number of the lines that go, of lines whose shards are all in the index."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            h = np.column_stack([batch.column(c).to_numpy() for c in ("h1", "h2")])
+            goes = pa.array(_held(name, shipped, shards, min_docs).drops(h, batch.column("key").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(goes) for c in ("row", "line")], names=["row", "line"])
 
-        index = _held(name, shipped, shards)
+    return table.mapInArrow(run, "row long, line int")
+
+
+def _kept(docs: DataFrame, text: str, probe: Callable[[pa.RecordBatch], list], columns: list[str]) -> DataFrame:
+    """The columns ``columns``, with ``text`` without the lines whose numbers ``probe`` gives for each row of a batch, and the result's own."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    none = F.lit(None)
+    schema = docs.select(*columns).withColumns({"n_lines": none.cast("bigint"), "n_dropped": none.cast("bigint"), "kept_sha256": none.cast("string")}).schema
+    own = list(to_arrow_schema(schema))[-3:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                texts, keys = utf8(batch.column(text)), batch.column(key).to_pylist()
-                split, found, where = [], [], []
-                for k, value in enumerate(texts):
-                    parts = value.split(b"\n") if value else [b""]
-                    split.append(parts)
-                    for j, line in enumerate(parts):
-                        if len(line) >= min_chars and _long(x := key_of(line), min_chars):
-                            found.append(xxhash.xxh3_128_digest(x))
-                            where.append((k, j))
-                drop = [set(x or ()) for x in batch.column("_stratagrid_drop").to_pylist()]
-                if found:
-                    hit, keeper, has = index.probe(np.frombuffer(b"".join(found), "<i8").reshape(-1, 2))
-                    for p in np.flatnonzero(hit):
-                        k, j = where[p]
-                        if (keys[k] != keeper[p]) if has[p] else keys[k] is not None:
-                            drop[k].add(j)
-                columns = {c: batch.column(c) for c in batch.schema.names}
-                if last:
-                    kept = [b"\n".join([x for j, x in enumerate(s) if j not in d]) if d else (t or b"") for s, d, t in zip(split, drop, texts, strict=True)]
-                    columns[text] = pa.array([k if d else t for k, d, t in zip(kept, drop, texts, strict=True)], pa.binary()).cast(batch.column(text).type)
-                    columns |= {"n_lines": [len(s) for s in split], "n_dropped": [len(d) for d in drop], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
-                else:
-                    columns["_stratagrid_drop"] = [sorted(d) for d in drop]
-                yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in target], names=[f.name for f in target])
-
-    return run
+                kept, lines, dropped = [], [], []
+                for value, go in zip(utf8(batch.column(text)), probe(batch), strict=True):
+                    lines.append(value.count(b"\n") + 1 if value else 1)
+                    dropped.append(len(go))
+                    out = set(go)
+                    kept.append(b"\n".join([x for j, x in enumerate(value.split(b"\n")) if j not in out]) if out else value)
+                made = {c: batch.column(c) for c in columns}
+                made[text] = pa.array(kept, pa.binary()).cast(batch.column(text).type)
+                new = [lines, dropped, [hashlib.sha256(k or b"").hexdigest() for k in kept]]
+                yield pa.RecordBatch.from_arrays([*made.values(), *(pa.array(x, f.type) for x, f in zip(new, own, strict=True))], names=[*made, *(f.name for f in own)])
+
+    return docs.mapInArrow(run, schema)

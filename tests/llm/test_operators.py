@@ -479,13 +479,30 @@ def brute_lines(data):
         yield r[0], len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("shard, passes", [(1, 1), (50_000, 1 << 30)])
+@pytest.mark.parametrize("shard, passes", [(3, 1), (50_000, 1 << 30)])
 def test_line_dedup(spark, docs, empty, shard, passes):
     got = line_dedup.dedup_lines(docs, shard_keys=shard, pass_bytes=passes)
     assert rows(got.select("doc_id", "n_lines", "n_dropped", "kept_sha256")) == Counter(brute_lines(table()))
     assert line_dedup.dedup_lines(empty).count() == 0
+    assert got.columns[:-3] == docs.columns
     nobody = spark.createDataFrame([(None, LINE)] * 6, "doc_id long, text string")
     assert line_dedup.dedup_lines(nobody).where("n_dropped > 0").count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(nobody.select(F.lit("a").alias("doc_id"), "text"))
+
+
+def test_line_index_decides_by_its_counts():
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(2**62), 2**62, (1000, 2))
+    keys = line_dedup._mixed_halves(h[:, 0].copy(), h[:, 1].copy(), 0)
+    perfect = line_dedup.PerfectHash.build(keys)
+    at, counts, prints = perfect.index(keys), np.zeros(1000, np.int32), np.zeros(1000, np.int64)
+    counts[at], prints[at] = np.arange(1000) % 10, h[:, 1]
+    row = {"shard": 0, "seed": 0, "sizes": perfect.sizes.tobytes(), "bits": perfect.bits.tobytes(), "fingerprints": prints.tobytes(), "counts": counts.tobytes(), "keepers": np.zeros(1000, np.int64).tobytes(), "has_keeper": np.ones(1000, np.uint8).tobytes()}
+    index = line_dedup.Index([row], 1, 5)
+    assert (index.drops(h, [7] * 1000) == (np.arange(1000) % 10 >= 5)).all()
+    assert not index.drops(h, [0] * 1000).any() and not index.drops(rng.integers(-(2**62), 2**62, (1000, 2)), [7] * 1000).any()
+    assert line_dedup.PerfectHash.build(np.array([3, 3], np.uint64)) is None
 
 
 def test_perfect_hash():
