@@ -25,6 +25,7 @@ FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 128 << 20, 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:stratagrid:page:"
+#: Tasks among which a group of pages with one payload is dealt, at least; else as many as a shuffle has partitions.
 SALTS = 64
 INDEX = "record_id string, bundle string, frame int, offset int, length int"
 
@@ -135,8 +136,11 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
     """Writes a record per row into bundles under ``folder``, which all machines must share; the index, as a written table.
 
     Of rows with equal payloads (null: empty), those with the largest ``page`` are responses, all others revisits of it. A null
-    ``page`` is less than any other; if all are null, all are responses. Each task writes files of its own; the index names only
-    those of tasks that ended well, so what lost executors leave behind is never read. Other columns are not archived.
+    ``page`` is less than any other; if all are null, all are responses. Repeated rows each make a record; these have one
+    record id, and one salt if all three columns are equal. Blanks and control characters of a URL are percent-encoded in the
+    record, and ``read`` returns it so; a null URL has no header. No rows make no files and an empty index. Each task writes
+    files of its own; the index names only those of tasks that ended well, so what lost executors leave behind is never read.
+    Other columns are not archived.
     """
     need(pages, page, url, html)
     spark = pages.sparkSession
@@ -144,8 +148,9 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
 
     files, path = fs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
+    salts = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     digest, keeper, salt, shared = fresh(pages, "sg_digest", "sg_keeper", "sg_salt", "sg_shared")
-    rows = pages.select(page, url, html).withColumns({digest: F.sha1(F.coalesce(F.col(html), F.lit("")).cast("binary")), salt: F.pmod(F.xxhash64(page, url), F.lit(SALTS))})
+    rows = pages.select(page, url, html).withColumns({digest: F.sha1(F.coalesce(F.col(html), F.lit("")).cast("binary")), salt: F.pmod(F.xxhash64(page, url), F.lit(salts))})
     groups = rows.groupBy(digest).agg(F.max(page).alias(keeper), F.count(F.lit(1)).alias(shared)).where(F.col(shared) > 1).drop(shared)
     # salts deal a large group over many tasks: the group's row is copied to the salts that its pages have
     spread = rows.select(digest, salt).distinct().join(groups, digest)
@@ -174,14 +179,14 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
 
 
 def read(index: DataFrame, payload: bool = True) -> DataFrame:
-    """The records that ``index`` names: page_id (long), url, payload_bytes, payload_digest, record_type, refers_to (long), payload (responses).
+    """The records that ``index`` names: page_id (long), url (percent-encoded as ``write`` says), payload_bytes, payload_digest, record_type, refers_to (long), payload (responses).
 
-    Rows of one frame go to one task, which reads the frame once. ``index`` may be any part of what ``write`` returned, to read
+    Rows of one frame go to one task, which reads the frame once, and a bundle's frames in turn. ``index`` may be any part of what ``write`` returned, to read
     single records. A damaged record is an error.
     """
     # an index row is small and its frame is not, so partitions aren't to be put together by their bytes
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frames = index.repartition(parts, "bundle", "frame").groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
+    frames = index.repartition(parts, "bundle", "frame").groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at")).sortWithinPartitions("bundle", "frame")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][:6 + payload]
     names = [x.split()[0] for x in schema.split(", ")]
