@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without decoding them."""
     return column.cast(pa.large_binary()).to_pylist()
+
+
+def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The XXH64 of the shingles of a text's words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, in order and in arrays of bounded size
+    (big-endian). A text of fewer words is one shingle; one without words has none."""
+    import xxhash
+
+    words = text.translate(ASCII_LOWER).split() if text else []
+    if not words:
+        return
+    digest = xxhash.xxh64_digest
+    joined = b" ".join(words)
+    n = max(1, len(words) - shingle + 1)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:n - 1].tolist()]
+    stops = (ends[min(shingle, len(words)) - 1:] - 1).tolist()
+    for k in range(0, n, 65_536):
+        yield np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k:k + 65_536], stops[k:k + 65_536])]), ">u8")

@@ -1,8 +1,8 @@
-"""Near copies by the share of word shingles that two texts have in common (Jaccard), for the pipeline.
+"""How operator 6 finds texts that share so much of their word shingles (Jaccard) where fingerprints can't tell.
 
-MinHash bands propose: texts that agree on all rows of some band are linked, and connected parts of these links hold all that
-can be similar. Within each part the shingles themselves decide, so no link below the wanted similarity is made. At exactly
-0.8, 40 bands of 5 rows miss one pair in eight million (``(1 - 0.8**5)**40``), above it fewer.
+MinHash bands propose: texts that agree on all rows of some band are linked, and connected parts of all proposed links hold
+all that can be similar. Within each part the shingles themselves decide, so no link below the wanted similarity is made. At
+exactly 0.8, 40 bands of 5 rows miss one pair in eight million (``(1 - 0.8**5)**40``), above it fewer.
 
 Parts with many shingles are dealt into blocks, and each pair of blocks is a group of its own: all pairs of the part meet, and
 no task holds more than two blocks.
@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, fresh, need, utf8, written
-from .simhash import components
+from .common import shingle_hashes, utf8, written
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction, so that comparing is exact.
@@ -32,18 +31,14 @@ SALTS = 64
 
 def shingles(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The distinct XXH64 of a text's shingles, ascending; shorter texts are one shingle, those without words have none."""
-    import xxhash
+    parts = [h.astype(np.uint64) for h in shingle_hashes(text, shingle, seed)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
 
-    words = text.translate(ASCII_LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - shingle + 1)
-    starts = [0, *ends[:n - 1].tolist()]
-    stops = (ends[min(shingle, len(words)) - 1:] - 1).tolist()
-    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n))
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bits set in over half the distinct hashes."""
+    counts = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
 @cache
@@ -105,10 +100,10 @@ def similar_links(ids: list[int], sets: list[np.ndarray], similar: tuple[int, in
     return out
 
 
-def _marked(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
-    """``docs`` with the digest of each text's shingles, their number and its bands."""
-    digest, size, keys = names
-    schema = docs.withColumns({digest: F.lit(b"").cast("binary"), size: F.lit(0).cast("bigint"), keys: F.lit(None).cast("array<bigint>")}).schema
+def marked(docs: DataFrame, text: str, shingle: int, names: list[str]) -> DataFrame:
+    """``docs`` with the digest of each text's distinct shingles, their number, their bands and their fingerprint, under the four ``names``."""
+    digest, size, keys, print_ = names
+    schema = docs.withColumns({digest: F.lit(b"").cast("binary"), size: F.lit(0).cast("bigint"), keys: F.lit(None).cast("array<bigint>"), print_: F.lit(0).cast("bigint")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -116,29 +111,43 @@ def _marked(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
         for whole in batches:
             for first in range(0, whole.num_rows, 1024):
                 batch = whole.slice(first, 1024)
-                sets = [shingles(t) for t in utf8(batch.column(text))]
-                made = [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+                made: list[list] = [[], [], [], []]
+                for t in utf8(batch.column(text)):
+                    s = shingles(t, shingle)
+                    for c, x in zip(made, (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), bands(s), fingerprint(s)), strict=True):
+                        c.append(x)
+                types = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
-def _proposed(nodes: DataFrame) -> DataFrame:
+def proposed(nodes: DataFrame) -> DataFrame:
     """Links (a, b) of each band's members (``node``, ``keys``) with its smallest; salts deal large bands over many tasks."""
     own = nodes.select("node", F.explode("keys").alias("band")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     least = written(own.groupBy("band").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "b"), "bands")
     spread = own.select("band", "salt").distinct().join(least, "band")
-    return own.join(spread, ["band", "salt"]).where("node > b").select(F.col("node").alias("a"), "b").distinct()
+    return own.join(spread, ["band", "salt"]).where("node > b").select(F.col("node").alias("a"), "b")
+
+
+def decided(parts: DataFrame, sizes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) within the proposed ``parts`` (node, root), by the shingles of ``texts`` (node, text) themselves, as a written table."""
+    parts = parts.select("node", F.col("root").alias("part"))
+    members = written(parts.unionByName(parts.select(F.col("part").alias("node"), "part").distinct()), "parts")
+    blocks = members.join(sizes, "node").groupBy("part").agg(F.ceil(F.sum("size") / block).cast("int").alias("n"))
+    k = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    dealt = members.join(blocks, "part").withColumn("k", k).withColumn("l", F.explode(F.expr("sequence(0, n - 1)"))).where("n = 1 OR k != l")
+    dealt = dealt.select("node", "part", F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j"))
+    return written(_decided(texts.join(dealt, "node").select("part", "i", "j", "node", "text"), shingle, similar).distinct(), "decided")
 
 
-def _decided(texts: DataFrame) -> DataFrame:
+def _decided(texts: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
     """Links (a, b) by the shingles themselves, of rows (part, i, j, node, text) of one group (part, i, j) each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
 
         def links() -> pa.RecordBatch:
-            found = similar_links(ids, sets)
+            found = similar_links(ids, sets, similar)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -149,34 +158,9 @@ def _decided(texts: DataFrame) -> DataFrame:
                         yield links()
                     now, ids, sets = group, [], []
                 ids.append(node)
-                sets.append(shingles(text))
+                sets.append(shingles(text, shingle))
         if len(ids) > 1:
             yield links()
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return texts.repartition(parts, "part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(run, "a long, b long")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """``docs`` with one row of each component of similar texts: that with the smallest ``key`` (nulls last; of several such rows, one).
-
-    Similar: at least 0.8 of the distinct 5-word shingles of both are common. Texts without words are copies of each other.
-    """
-    need(docs, key, text)
-    row, digest, size, keys = fresh(docs, "sg_row", "sg_digest", "sg_size", "sg_keys")
-    # rows get their numbers as they are written, so these stand
-    held = written(_marked(docs, text, [digest, size, keys]).withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))).alias("first")
-    nodes = written(held.groupBy(F.col(digest).alias("digest")).agg(first, F.min(row).alias("node")).drop("digest"), "nodes")
-    mine = held.select(F.col(row).alias("node"), F.col(keys).alias("keys")).join(nodes.select("node"), "node", "left_semi")
-    parts = components(written(_proposed(mine), "proposed")).select("node", F.col("root").alias("part"))
-    members = written(parts.unionByName(parts.select(F.col("part").alias("node"), "part").distinct()), "parts")
-    sized = held.select(F.col(row).alias("node"), F.col(size).alias("size"))
-    blocks = members.join(sized, "node").groupBy("part").agg(F.ceil(F.sum("size") / block).cast("int").alias("n"))
-    k = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-    dealt = members.join(blocks, "part").withColumn("k", k).withColumn("l", F.explode(F.expr("sequence(0, n - 1)"))).where("n = 1 OR k != l")
-    dealt = dealt.select("node", "part", F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j"))
-    texts = held.select(F.col(row).alias("node"), F.col(text).alias("text")).join(dealt, "node").select("part", "i", "j", "node", "text")
-    roots = components(written(_decided(texts).distinct(), "decided"))
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return held.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

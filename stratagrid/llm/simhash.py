@@ -5,6 +5,10 @@ Each of a fingerprint's 64 bits gets a vector of ``radius + 1`` binary digits th
 The vectors of up to ``radius`` differing bits span too little to reach every v, so some table's mask keeps none of them
 and the two fingerprints fall into one bucket there: every pair within the radius is found.
 
+``near_duplicates`` links by the fingerprints alone. ``keep_one`` wants texts that share so much of their shingles: fingerprints
+within the radius propose pairs, the shingles decide. Most pairs that share 0.8 differ in more bits than any such radius, so
+bands of least hashes propose the others (see ``near``).
+
 Buckets of up to ``bucket`` fingerprints are searched by one task. In a larger one, fingerprints meet at the points halfway
 between them instead: two are within the radius if and only if balls of half the radius around them share a point. That is
 linear in the bucket and needs no task that holds it.
@@ -20,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, fresh, need, utf8, written
+from . import near
+from .common import clash, fresh, need, shingle_hashes, utf8, written
+from .graph import components, dealt_join
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a bucket that one task compares.
@@ -30,27 +36,17 @@ TOP = 1 << 63
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bits set in over half the shingles' XXH64; 0 without words. Signed, as Spark holds 64 bits."""
-    import xxhash
-
-    words = text.translate(ASCII_LOWER).split() if text else []
-    if not words:
-        return 0
-    digest = xxhash.xxh64_digest
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:n - 1].tolist()]
-    stops = (ends[min(shingle, len(words)) - 1:] - 1).tolist()
-    counts = np.zeros(64, np.int64)
-    for k in range(0, n, 65_536):
-        h = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k:k + 65_536], stops[k:k + 65_536])])
-        counts += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle, seed):
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint_bits", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with the column ``into`` (long), the whole text's fingerprint; null and blank texts have 0."""
+    """``docs`` with the new column ``into`` (long), the whole text's fingerprint; null and blank texts have 0."""
     need(docs, text)
+    clash(docs, into)
     schema = docs.withColumn(into, F.lit(None).cast("bigint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,36 +124,6 @@ def _ball_links(prints: DataFrame, radius: int) -> DataFrame:
     return own.join(spread, ["point", "salt"]).where("fp > b").select(F.col("fp").alias("a"), "b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): each node of ``edges`` (a, b) and the smallest node that it can reach.
-
-    Large-star and small-star by turns (Kiveris et al., Connected Components in MapReduce and Beyond, 2014): each round is
-    a few aggregations over the edges, written out, until nothing changes; the number of rounds grows with the logarithm.
-    """
-    def star(df: DataFrame, both: bool) -> DataFrame:
-        # the hub u of each star, its neighbours v, and m, the least of all
-        around = df.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if both:
-            around = around.unionByName(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        joined = around.join(least, "u")
-        if both:
-            return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-
-    now, before = edges.select("a", "b"), None
-    for _ in range(rounds):
-        now = written(star(star(now, True), False).where("a > b").distinct(), "stars")
-        # edges only move towards smaller nodes, so equal sums and counts mean that nothing has moved
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components still change after {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Per row: ``key``, fingerprint (16 lowercase hex digits), component_id (the smallest ``key`` reachable by links, itself included).
 
@@ -168,29 +134,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return _components_of(docs, key, text, radius, bucket).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _roots(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """(fp, root): each fingerprint of the written table ``prints`` and the smallest one that it reaches, as a written table."""
-    roots = components(links(prints, "fp", radius, bucket))
-    return written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
-
-
 def _components_of(docs: DataFrame, key: str, text: str, radius: int, bucket: int) -> DataFrame:
     need(docs, key, text)
     rows = written(fingerprints(docs.select(key, text), text, "fp").select(key, "fp"), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "prints")
-    rooted = prints.join(_roots(prints.select("fp"), radius, bucket), "fp")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = written(rooted.join(ids, "root").select("fp", "component_id"), "components")
-    return rows.join(by_print, "fp")
+    # the search for links is costly, and components read them several times
+    roots = components(written(links(prints, "fp", radius, bucket), "links"))
+    rooted = written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    by_print = written(dealt_join(rooted.select("fp", "root"), ids, "root", "fp").select("fp", "component_id"), "components")
+    return dealt_join(rows, by_print, "fp", key)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest ``key`` (nulls last; of several such rows, one)."""
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = near.SHINGLE, similar: tuple[int, int] = near.SIMILAR, radius: int = RADIUS, block: int = near.BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: that with the smallest ``key`` (nulls last; of several such rows, one).
+
+    Similar: of the distinct ``shingle``-word shingles of both, the share ``similar`` (a fraction, 4/5) at least is common.
+    Fingerprints of these shingles within ``radius`` bits, found by covering tables, propose pairs, and so do bands of least
+    hashes; the shingles decide. Texts without words, null ones among them, are copies of each other, as are texts of equal
+    shingles. Repeated rows are copies. No rows give none. Other columns stay as they are.
+    """
     need(docs, key, text)
-    row, fp = fresh(docs, "sg_row", "sg_fp")
+    row, digest, size, keys, print_ = fresh(docs, "sg_row", "sg_digest", "sg_size", "sg_keys", "sg_print")
     # rows get their numbers as they are written, so these stand
-    held = written(fingerprints(docs, text, fp).withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    held = written(near.marked(docs, text, shingle, [digest, size, keys, print_]).withColumn(row, F.monotonically_increasing_id()), "near-docs")
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))).alias("first")
-    prints = written(held.groupBy(F.col(fp).alias("fp")).agg(first), "prints")
-    kept = prints.join(_roots(prints.select("fp"), radius, bucket), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    # texts of equal shingles are one node, the row of the first of them
+    nodes = written(held.groupBy(F.col(digest).alias("digest")).agg(first, F.min(row).alias("node")).drop("digest"), "nodes")
+    mine = written(held.select(F.col(row).alias("node"), F.col(keys).alias("keys"), F.col(print_).alias("fp"), F.col(size).alias("size")).join(nodes.select("node"), "node", "left_semi"), "marks")
+    prints = written(mine.where("size > 0").groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    close = links(prints.select("fp"), "fp", radius, bucket)
+    ends = close.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("left")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("right")), "b")
+    same = dealt_join(mine.where("size > 0").select("node", "fp"), prints, "fp", "node").where("node > least")
+    proposed = ends.select(F.greatest("left", "right").alias("a"), F.least("left", "right").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("least").alias("b"))).unionByName(near.proposed(mine))
+    texts = held.select(F.col(row).alias("node"), F.col(text).alias("text"))
+    roots = components(near.decided(components(written(proposed.distinct(), "proposed")), mine.select("node", "size"), texts, shingle, similar, block))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return held.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

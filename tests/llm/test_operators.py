@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stratagrid.llm import bpe, decontaminate, licenses, line_dedup, near, sharding, simhash, topk, toxicity, url_filter, warc  # noqa: E402
+from stratagrid.llm import bpe, decontaminate, graph, licenses, line_dedup, sharding, simhash, topk, toxicity, url_filter, warc  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -302,17 +302,14 @@ def brute_components(prints):
     return {p: least.get(find(p)) for p in values}
 
 
-def test_simhash(docs, empty):
+def test_simhash(docs, empty, monkeypatch):
     prints = [(r[0], brute_fingerprint(r[1])) for r in table()]
     roots = brute_components(prints)
     want = Counter((i, f"{p:016x}", roots[p]) for i, p in prints)
     assert rows(simhash.near_duplicates(docs)) == want
-    kept = simhash.keep_one(docs).collect()
-    assert Counter(r["doc_id"] for r in kept) == Counter(set(roots.values()))
-    assert simhash.keep_one(docs).columns == docs.columns
-    unnamed = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
-    assert simhash.keep_one(unnamed).count() == len(set(roots.values()))
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
+    monkeypatch.setattr(graph, "MOST_SENT", 0)
+    assert rows(simhash.near_duplicates(docs)) == want
 
 
 def test_simhash_masks_cover():
@@ -335,7 +332,7 @@ def test_simhash_links(spark, bucket):
             at ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     prints = spark.createDataFrame([(v,) for v in signed], "fp long")
-    found = simhash.components(simhash.links(prints, "fp", 4, bucket)).collect()
+    found = graph.components(simhash.links(prints, "fp", 4, bucket)).collect()
     got = {v: v for v in signed} | {r["node"]: r["root"] for r in found}
     want = brute_components([(k, v & (1 << 64) - 1) for k, v in enumerate(sorted(signed))])
     groups = lambda pairs: sorted(sorted(g) for g in _grouped(pairs))
@@ -379,8 +376,13 @@ def test_near_keeps_one_of_all_similar(spark, docs, empty, block):
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     part = brute_similar(texts)
     least = {p: k for k, p in reversed(list(enumerate(part)))}
-    assert sorted(r[0] for r in near.keep_one(made, block=block).select("doc_id").collect()) == sorted(least.values())
-    assert near.keep_one(docs).columns == docs.columns and near.keep_one(empty).count() == 0
+    assert sorted(r[0] for r in simhash.keep_one(made, block=block).select("doc_id").collect()) == sorted(least.values())
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(empty).count() == 0
+
+
+def test_near_keeps_one_of_rows_without_keys(spark, docs):
+    unnamed = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert simhash.keep_one(unnamed).count() == len(set(brute_similar([r[1] for r in table()])))
 
 
 def test_pipeline_stage_drops_near_copies(spark):
