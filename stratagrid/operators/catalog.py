@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import boxes_touch, overlap_area
 from ..functions.text import floor_days, midpoint, normal_name, years_between
+from ..plans.tables import written
+from . import polygons
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 TIERS = (1, 2, 3, 4)
@@ -103,65 +104,40 @@ def coverage(surveys: DataFrame, areas: DataFrame, by: Sequence[str]) -> DataFra
     return surveys.join(a, list(by)).where(boxes_touch(box, own)).withColumn("share", overlap_area(box, own) / size).drop(*[f"a_{c}" for c in BOX])
 
 
-def _slabs(boxes: DataFrame, areas: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Each area cut by its boxes' edges into cells (x0, y0, x1, y1), with ``covered``, whether any box holds the cell."""
-    by = list(by)
-    a = areas.select(*by, *[F.col(c).alias(f"a_{c}") for c in BOX])
-    clipped = boxes.join(a, by).select(*by, F.greatest("xmin", "a_xmin").alias("xmin"), F.greatest("ymin", "a_ymin").alias("ymin"), F.least("xmax", "a_xmax").alias("xmax"), F.least("ymax", "a_ymax").alias("ymax")).where("xmin < xmax AND ymin < ymax")
-    edges = clipped.unionByName(areas.select(*by, *BOX))
-
-    def cuts(lo: str, hi: str, name: str) -> DataFrame:
-        at = edges.select(*by, F.explode(F.array(lo, hi)).alias("a")).distinct()
-        return at.withColumn("b", F.lead("a").over(Window.partitionBy(*by).orderBy("a"))).where("b IS NOT NULL").select(*by, F.col("a").alias(f"{name}0"), F.col("b").alias(f"{name}1"))
-
-    grid = cuts("xmin", "xmax", "x").join(cuts("ymin", "ymax", "y"), by)
-    inside = (F.col("x0") >= F.col("xmin")) & (F.col("x1") <= F.col("xmax")) & (F.col("y0") >= F.col("ymin")) & (F.col("y1") <= F.col("ymax"))
-    held = grid.join(clipped, by).groupBy(*by, "x0", "y0", "x1", "y1").agg(F.bool_or(inside).alias("covered"))
-    return grid.join(held, [*by, "x0", "y0", "x1", "y1"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+def _as_polygons(boxes: DataFrame, areas: DataFrame, by: Sequence[str]) -> DataFrame:
+    parts = lambda df: df.withColumn("parts", polygons.box_parts(*[F.col(c) for c in BOX]))
+    # boxes need no names: only what they cover together counts
+    return polygons.overlay(parts(areas), parts(boxes).withColumn("sg_id", F.monotonically_increasing_id()), by, "sg_id", degrees=False)
 
 
 def union_coverage(boxes: DataFrame, areas: DataFrame, by: Sequence[str]) -> DataFrame:
     """The share of each area that its boxes cover together: no part counts twice."""
-    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return _slabs(boxes, areas, by).groupBy(*by).agg((F.sum(F.when(F.col("covered"), size).otherwise(0.0)) / F.sum(size)).alias("covered_frac"))
+    return polygons.covered_share(_as_polygons(boxes, areas, by), by)
 
 
 def coverage_gaps(boxes: DataFrame, areas: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The parts of each area that no box covers: gap_no, gap_frac and its bounds, one row per connected part.
+    """The parts of each area that no box covers: gap_frac and its bounds, one row per connected part."""
+    return polygons.gaps(_as_polygons(boxes, areas, by), by).drop("area")
+
 
-    The cells of one area, cut by its own boxes, are joined into parts by one task; areas are independent of each other.
+def search(surveys: DataFrame, areas: DataFrame, by: Sequence[str], resources: DataFrame | None = None, least: float = 0.0, name: str = "workunit") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What there is for each area: its surveys, ranked and in epochs; the gaps that these leave; the surveys that cover less than ``least``.
+
+    Shapes are polygons (``parts``). Surveys get aoi_overlap_frac, and with ``resources`` ept_names and ept_coverage_frac (see
+    ``polygons.inventory``), the comparison with the anchor, priority and epoch.
     """
-    cells = _slabs(boxes, areas, by)
-    keys = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by)
-
-    def parts(pdf):
-        import pandas as pd
-
-        total = float(((pdf.x1 - pdf.x0) * (pdf.y1 - pdf.y0)).sum())
-        open_ = pdf[~pdf.covered.to_numpy(bool)].sort_values(["x0", "y0"]).reset_index(drop=True)
-        xs, ys = {v: k for k, v in enumerate(sorted(pdf.x0.unique()))}, {v: k for k, v in enumerate(sorted(pdf.y0.unique()))}
-        at = {(xs[x], ys[y]): k for k, (x, y) in enumerate(zip(open_.x0, open_.y0, strict=True))}
-        label = np.full(len(open_), -1)
-        n = 0
-        for seed in at:
-            if label[at[seed]] < 0:
-                stack = [seed]
-                label[at[seed]] = n
-                while stack:
-                    i, j = stack.pop()
-                    for nxt in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
-                        if nxt in at and label[at[nxt]] < 0:
-                            label[at[nxt]] = n
-                            stack.append(nxt)
-                n += 1
-        open_["gap_no"] = label + 1
-        open_["gap_frac"] = (open_.x1 - open_.x0) * (open_.y1 - open_.y0) / total
-        g = open_.groupby("gap_no").agg(gap_frac=("gap_frac", "sum"), xmin=("x0", "min"), ymin=("y0", "min"), xmax=("x1", "max"), ymax=("y1", "max")).reset_index()
-        for c in reversed(list(by)):
-            g.insert(0, c, pdf[c].iloc[0])
-        return pd.DataFrame(g)
-
-    return cells.groupBy(*by).applyInPandas(parts, f"{keys}, gap_no long, gap_frac double, xmin double, ymin double, xmax double, ymax double")
+    pieces = polygons.overlay(areas, surveys, by, name, resources)
+    found = polygons.inventory(pieces, surveys, by, name, resources is not None).withColumn("overlap", F.col("aoi_overlap_frac"))
+    kept, dropped = min_overlap(written(found, "inventory"), least)
+    ranked = assign_epochs(rank_collections(relative_metrics(kept, by, name), by, [name]), by, [name])
+    # the dropped ones cover nothing that counts
+    after = pieces if least <= 0 else polygons.overlay(areas, kept, by, name)
+    return ranked, polygons.gaps(after, by), dropped
+
+
+def with_resource(surveys: DataFrame, resources: DataFrame, name: str = "workunit") -> DataFrame:
+    """Surveys whose name resolves to a resource, with it: only these can be read remotely. Lying under a resource is not enough."""
+    return surveys.join(resolve_names(surveys, resources, name).select(name, "resource", "tier"), name)
 
 
 def min_overlap(surveys: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -171,5 +147,7 @@ def min_overlap(surveys: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
 
 
 def epoch_summary(surveys: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Number of surveys and least distance in time of each epoch; the anchor's epoch first, then the nearest."""
-    return surveys.groupBy(*by, "epoch").agg(F.count(F.lit(1)).alias("n"), F.min(F.abs("dt_years")).alias("least_dt"), F.bool_or("anchor").alias("has_anchor"))
+    """Number of surveys and least distance in time of each epoch, and its place: the anchor's epoch first, then the nearest, those without a distance last."""
+    out = surveys.groupBy(*by, "epoch").agg(F.count(F.lit(1)).alias("n"), F.min(F.abs("dt_years")).alias("least_dt"), F.bool_or("anchor").alias("has_anchor"))
+    order = [F.col("has_anchor").desc_nulls_last(), F.col("least_dt").asc_nulls_last(), F.col("epoch").asc()]
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geo, geodesy, text
-from .operators import catalog, merge, points, raster, reports, staging
+from .operators import catalog, merge, points, polygons, raster, reports, staging
 from .plans import batch
 from .streaming import epochs
 
@@ -394,20 +394,84 @@ def union_coverage(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE """ + SRV[5:] + AREA + """, u AS (SELECT aoi, ax0 + i AS x, ay0 + j AS y FROM ar, range(8) a(i), range(8) b(j)),
-g AS (SELECT aoi, x, y, x * 100 + y AS id FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.aoi = u.aoi AND m.workunit_id % 2 = 0 AND m.xmin <= u.x AND m.xmax >= u.x + 1 AND m.ymin <= u.y AND m.ymax >= u.y + 1)),
+g AS (SELECT aoi, x, y, x * 100 + y AS id FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.aoi = u.aoi AND m.xmin <= u.x AND m.xmin + 1 + m.workunit_id % 2 >= u.x + 1 AND m.ymin <= u.y AND m.ymin + 1 >= u.y + 1)),
 c AS (SELECT aoi, x, y, id FROM g UNION SELECT g.aoi, g.x, g.y, c.id FROM c JOIN g ON g.aoi = c.aoi AND abs(g.x - c.x) + abs(g.y - c.y) = 1),
 l AS (SELECT aoi, x, y, min(id) AS part FROM c GROUP BY 1, 2, 3)
 SELECT aoi, count(*) / 64.0 AS gap_frac, CAST(min(x) AS DOUBLE) AS xmin, CAST(min(y) AS DOUBLE) AS ymin, CAST(max(x) + 1 AS DOUBLE) AS xmax, CAST(max(y) + 1 AS DOUBLE) AS ymax FROM l GROUP BY aoi, part""")
 def gap_boxes(spark, sf_dir):
-    half = surveys(spark, sf_dir).where("workunit_id % 2 = 0")
-    return catalog.coverage_gaps(half, areas(spark), ["aoi"]).select("aoi", F.round("gap_frac", 6).alias("gap_frac"), "xmin", "ymin", "xmax", "ymax")
+    small = surveys(spark, sf_dir).withColumns({"xmax": F.col("xmin") + 1 + F.col("workunit_id") % 2, "ymax": F.col("ymin") + 1})
+    return catalog.coverage_gaps(small, areas(spark), ["aoi"]).select("aoi", F.round("gap_frac", 6).alias("gap_frac"), "xmin", "ymin", "xmax", "ymax")
 
 
-@query(EPOCHS.replace("WITH o AS", "WITH o AS", 1) + " SELECT aoi, epoch, count(*) AS n FROM ep WHERE overlap >= 0.2 GROUP BY 1, 2")
+@query(ANCHOR + """, l AS (SELECT *, CASE WHEN mid IS NOT NULL THEN coalesce(CAST(floor((mid - lag(mid) OVER w) / 86400000000) > 5 AS INT), 1) END AS fresh FROM rel WINDOW w AS (PARTITION BY aoi, mid IS NULL ORDER BY mid, workunit)),
+n AS (SELECT *, CASE WHEN mid IS NOT NULL THEN sum(fresh) OVER (PARTITION BY aoi, mid IS NULL ORDER BY mid, workunit) END AS epoch_no FROM l),
+y AS (SELECT *, min(year(make_timestamp(mid))) OVER (PARTITION BY aoi, epoch_no) AS y0, max(year(make_timestamp(mid))) OVER (PARTITION BY aoi, epoch_no) AS y1 FROM n),
+ep AS (SELECT *, CASE WHEN epoch_no IS NULL THEN 'undated' WHEN y0 = y1 THEN CAST(y0 AS VARCHAR) ELSE y0 || '-' || y1 END AS epoch FROM y),
+g AS (SELECT aoi, epoch, count(*) AS n, min(abs(dt_years)) AS least_dt, bool_or(anchor) AS has_anchor FROM ep WHERE overlap >= 0.2 GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY aoi ORDER BY has_anchor DESC NULLS LAST, least_dt NULLS LAST, epoch) AS INT) AS place FROM g""")
 def epoch_summary(spark, sf_dir):
-    kept, _ = catalog.min_overlap(catalog.assign_epochs(surveys(spark, sf_dir), ["aoi"], ["workunit"], gap_days=5), 0.2)
-    out = catalog.epoch_summary(kept.withColumns({"dt_years": F.lit(0.0), "anchor": F.lit(False)}), ["aoi"])
-    return out.select("aoi", "epoch", "n")
+    related = catalog.relative_metrics(surveys(spark, sf_dir), ["aoi"])
+    kept, _ = catalog.min_overlap(catalog.assign_epochs(related, ["aoi"], ["workunit"], gap_days=5), 0.2)
+    return catalog.epoch_summary(kept, ["aoi"])
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surveys as polygons: boxes without their north-eastern degree, every sixth with a second part."""
+    k, x, y = F.col("workunit_id"), F.col("xmin"), F.col("ymin")
+    w, h = 1 + k % 3, 1 + k % 2
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    notched = F.array(point(x, y), point(x + w, y), point(x + w, y + h - 1), point(x + w - 1, y + h - 1), point(x + w - 1, y + h), point(x, y + h))
+    first = F.when((w > 1) & (h > 1), F.array(F.array(notched))).otherwise(polygons.box_parts(x, y, x + w, y + h))
+    return surveys(spark, sf_dir).withColumn("parts", F.when(k % 6 == 0, F.concat(first, polygons.box_parts(x + 6, y, x + 7, y + 1))).otherwise(first))
+
+
+def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources: suppliers as boxes of 3 x 3 degrees with a hole in the middle."""
+    k = F.col("s_suppkey")
+    x, y = (k * 5 % 19).cast("double"), (k * 3 % 14).cast("double")
+    ring = F.concat(polygons.box_parts(x, y, x + 3, y + 3)[0], polygons.box_parts(x + 1, y + 1, x + 2, y + 2)[0])
+    return read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.array(ring).alias("parts"))
+
+
+#: Squares of one degree of each area, with their true size but for a constant.
+DEGREES = SRV + AREA + """, k AS (SELECT sqrt((1 / 298.257223563) * (2 - 1 / 298.257223563)) AS e),
+q AS (SELECT y, (SELECT (1 - e * e) * (s / (1 - e * e * s * s) - ln((1 - e * s) / (1 + e * s)) / (2 * e)) FROM k) AS q FROM (SELECT y, sin(radians(y)) AS s FROM range(30) t(y))),
+u AS (SELECT aoi, ax0 + i AS x, ay0 + j AS y, b.q - a.q AS size FROM ar, range(8) c(i), range(8) d(j), q a, q b WHERE a.y = ay0 + j AND b.y = ay0 + j + 1),
+sc AS (SELECT DISTINCT m.aoi, workunit, u.x, u.y, size FROM m JOIN u ON m.aoi = u.aoi AND ((u.x >= xmin AND u.x < xmin + 1 + workunit_id % 3 AND u.y >= ymin AND u.y < ymin + 1 + workunit_id % 2
+  AND NOT (workunit_id % 3 > 0 AND workunit_id % 2 > 0 AND u.x = xmin + workunit_id % 3 AND u.y = ymin + workunit_id % 2)) OR (workunit_id % 6 = 0 AND u.x = xmin + 6 AND u.y = ymin))),
+tot AS (SELECT aoi, sum(size) AS total FROM u GROUP BY 1),
+rc AS (SELECT s_name AS name, s_suppkey * 5 % 19 + i AS x, s_suppkey * 3 % 14 + j AS y FROM supplier, range(3) a(i), range(3) b(j) WHERE NOT (i = 1 AND j = 1))"""
+
+
+@query(DEGREES + " SELECT aoi, workunit, round(sum(size) / any_value(total), 6) AS aoi_overlap_frac FROM sc JOIN tot USING (aoi) GROUP BY 1, 2")
+def survey_inventory(spark, sf_dir):
+    own = shapes(spark, sf_dir)
+    pieces = polygons.overlay(_square_areas(spark), own, ["aoi"])
+    found = polygons.inventory(pieces, own, ["aoi"], resources=False)
+    return found.select("aoi", "workunit", F.round("aoi_overlap_frac", 6).alias("aoi_overlap_frac"))
+
+
+@query(DEGREES + """, cv AS (SELECT *, EXISTS (SELECT 1 FROM rc WHERE rc.x = sc.x AND rc.y = sc.y) AS held FROM sc), nm AS (SELECT aoi, workunit, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM sc JOIN rc USING (x, y) GROUP BY 1, 2)
+SELECT aoi, workunit, coalesce(any_value(names), '') AS ept_names, round(coalesce(sum(size) FILTER (held), 0) / sum(size), 6) AS ept_coverage_frac FROM cv LEFT JOIN nm USING (aoi, workunit) GROUP BY 1, 2""")
+def ept_coverage(spark, sf_dir):
+    own = shapes(spark, sf_dir)
+    pieces = polygons.overlay(_square_areas(spark), own, ["aoi"], resources=builds(spark, sf_dir))
+    found = polygons.inventory(pieces, own, ["aoi"])
+    return found.select("aoi", "workunit", F.array_join("ept_names", ",").alias("ept_names"), F.round("ept_coverage_frac", 6).alias("ept_coverage_frac"))
+
+
+def _square_areas(spark: SparkSession) -> DataFrame:
+    return areas(spark).select("aoi", polygons.box_parts(*[F.col(c) for c in catalog.BOX]).alias("parts"))
+
+
+@query("WITH RECURSIVE " + DEGREES[5:] + """, g AS (SELECT aoi, x, y, size, x * 100 + y AS id FROM u WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.aoi = u.aoi AND sc.x = u.x AND sc.y = u.y)),
+c AS (SELECT aoi, x, y, id FROM g UNION SELECT g.aoi, g.x, g.y, c.id FROM c JOIN g ON g.aoi = c.aoi AND abs(g.x - c.x) + abs(g.y - c.y) = 1),
+l AS (SELECT aoi, x, y, min(id) AS part FROM c GROUP BY 1, 2, 3)
+SELECT aoi, round(sum(size) / any_value(total), 6) AS gap_frac, CAST(min(x) AS DOUBLE) AS west, CAST(max(x) + 1 AS DOUBLE) AS east FROM l JOIN g USING (aoi, x, y) JOIN tot USING (aoi) GROUP BY aoi, part""")
+def gap_polygons(spark, sf_dir):
+    pieces = polygons.overlay(_square_areas(spark), shapes(spark, sf_dir), ["aoi"])
+    degree = polygons.equal_area_metres()
+    return polygons.gaps(pieces, ["aoi"]).select("aoi", F.round("gap_frac", 6).alias("gap_frac"), F.round(F.col("xmin") / degree, 6).alias("west"), F.round(F.col("xmax") / degree, 6).alias("east"))
 
 
 # --- staging, audits, batches --------------------------------------------------------------------------------------------

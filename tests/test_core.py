@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagrid.functions import geo, geodesy, text
-from stratagrid.operators import catalog, merge, points, raster, reports, staging
+from stratagrid.operators import catalog, merge, points, polygons, raster, reports, staging
 from stratagrid.plans import batch
 from stratagrid.sources import las, readers, writers
 from stratagrid.streaming import epochs
@@ -395,3 +395,109 @@ def test_geodesy(spark):
     with pytest.raises(Exception, match="vertical grid"):
         one(spark, geodesy.swap_vertical_grids(F.lit("+proj=utm"), F.lit("g.tif")))
     assert one(spark, geodesy.lon_in(F.lit(-179.0), F.lit(170.0), F.lit(-150.0)))[0]
+
+
+SHAPE = "aoi int, workunit string, parts array<array<array<struct<x: double, y: double>>>>"
+
+
+def ring(*xy):
+    return [{"x": float(x), "y": float(y)} for x, y in xy]
+
+
+def square(w, s, e, n):
+    return ring((w, s), (e, s), (e, n), (w, n))
+
+
+def test_polygon_coverage_goldens(spark):
+    areas = spark.createDataFrame([(1, "", [[square(0, 0, 1, 1)]]), (2, "", [[square(-150, 60, -140, 70)]])], SHAPE)
+    surveys = spark.createDataFrame([(1, "A", [[square(-1, -1, 0.5, 2)]]), (1, "B", [[square(-1, -1, 2, 2)]]), (1, "far", [[square(5, 5, 6, 6)]]), (2, "north", [[square(-151, 65, -139, 71)]]), (2, "null", None)], SHAPE)
+    builds = spark.createDataFrame([("left", [[square(-1, -1, 0.5, 2)]]), ("far", [[square(9, 9, 10, 10)]])], "name string, parts array<array<array<struct<x: double, y: double>>>>")
+    pieces = polygons.overlay(areas, surveys, ["aoi"], resources=builds)
+    got = {r["workunit"]: r for r in polygons.inventory(pieces, surveys, ["aoi"]).collect()}
+    assert got.keys() == {"A", "B", "north"}
+    assert abs(got["A"]["aoi_overlap_frac"] - 0.5) < 1e-9 and abs(got["B"]["aoi_overlap_frac"] - 1) < 1e-9 and abs(got["north"]["aoi_overlap_frac"] - 0.453) < 0.005
+    assert abs(got["A"]["ept_coverage_frac"] - 1) < 1e-9 and abs(got["B"]["ept_coverage_frac"] - 0.5) < 1e-9
+    assert got["B"]["ept_names"] == ["left"] and got["north"]["ept_names"] == []
+    assert [round(r["gap_frac"], 3) for r in polygons.gaps(pieces, ["aoi"]).collect()] == [round(1 - got["north"]["aoi_overlap_frac"], 3)]
+    only_a = polygons.gaps(polygons.overlay(areas.where("aoi = 1"), surveys.where("workunit = 'A'"), ["aoi"]), ["aoi"]).collect()
+    assert len(only_a) == 1 and abs(only_a[0]["gap_frac"] - 0.5) < 1e-9
+    bare = polygons.gaps(polygons.overlay(areas.where("aoi = 1"), surveys.limit(0), ["aoi"]), ["aoi"]).collect()
+    assert [r["gap_frac"] for r in bare] == [1.0]
+    with pytest.raises(ValueError, match="without extent"):
+        polygons.overlay(spark.createDataFrame([(1, "", [[ring((0.2, 0.2), (0.2, 0.2), (0.2, 0.2))]])], SHAPE), surveys, ["aoi"])
+
+
+def inside(parts, x, y):
+    """Even-odd rule, on arrays of points."""
+    out = np.zeros(x.shape, bool)
+    for r in (r for p in parts for r in p):
+        for a, b in zip(r, r[1:] + r[:1]):
+            if a["y"] != b["y"]:
+                out ^= ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
+    return out
+
+
+@pytest.mark.parametrize("per_strip", [400, 12])
+def test_polygon_coverage_against_a_fine_grid(spark, monkeypatch, per_strip):
+    monkeypatch.setattr(polygons, "EDGES", per_strip)
+    rng = random.Random(6)
+    triangle = lambda size: ring(*[(x0 + rng.uniform(0, size), y0 + rng.uniform(0, size)) for x0, y0 in [(rng.uniform(-1, 9), rng.uniform(-1, 9))] for _ in range(3)])
+    area = [[ring((0, 0), (10, 1), (9, 9), (4, 10), (1, 8)), square(4, 4, 5, 6)]]
+    surveys = [(1, f"s{k}", [[triangle(4)], [triangle(3)]] if k % 3 else [[triangle(5)]]) for k in range(12)] + [(1, "s0", [[triangle(2)]])]
+    builds = [(f"r{k}", [[triangle(5)]]) for k in range(6)]
+    a, s = spark.createDataFrame([(1, "", area)], SHAPE), spark.createDataFrame([*surveys, surveys[1]], SHAPE)
+    r = spark.createDataFrame(builds, "name string, parts array<array<array<struct<x: double, y: double>>>>")
+    pieces = polygons.overlay(a, s, ["aoi"], resources=r, degrees=False)
+    n = 800
+    x, y = (m.ravel() for m in np.meshgrid((np.arange(n) + 0.5) / n * 12 - 1, (np.arange(n) + 0.5) / n * 12 - 1))
+    own, held = inside(area, x, y), np.zeros(n * n, bool)
+    for _, p in builds:
+        held |= inside(p, x, y)
+    masks = {}
+    for _, name, p in surveys:
+        masks[name] = masks.get(name, False) | inside(p, x, y)
+    got = {v["workunit"]: v for v in polygons.inventory(pieces, s.dropDuplicates(["workunit"]), ["aoi"]).collect()}
+    covered = np.zeros(n * n, bool)
+    for name, mask in masks.items():
+        mask = mask & own
+        covered |= mask
+        share = mask.sum() / own.sum()
+        if share > 0.004:
+            assert abs(got[name]["aoi_overlap_frac"] - share) < 0.003
+            assert abs(got[name]["ept_coverage_frac"] - (mask & held).sum() / mask.sum()) < 0.03
+            assert set(got[name]["ept_names"]) >= {b for b, p in builds if (inside(p, x, y) & mask).sum() > 20}
+    assert abs(polygons.covered_share(pieces, ["aoi"]).first()["covered_frac"] - covered.sum() / own.sum()) < 0.002
+    found = polygons.gaps(pieces, ["aoi"]).collect()
+    assert abs(sum(g["gap_frac"] for g in found) - (own & ~covered).sum() / own.sum()) < 0.002
+    # parts of the open squares that hang together by their sides
+    left, sizes = (own & ~covered).reshape(n, n), []
+    while left.any():
+        grown, seed = np.zeros_like(left), tuple(np.argwhere(left)[0])
+        grown[seed] = True
+        while True:
+            more = grown.copy()
+            for _ in range(40):
+                more[1:] |= more[:-1]
+                more[:-1] |= more[1:]
+                more[:, 1:] |= more[:, :-1]
+                more[:, :-1] |= more[:, 1:]
+                more &= left
+            if (more == grown).all():
+                break
+            grown = more
+        sizes.append(grown.sum() / own.sum())
+        left &= ~grown
+    big = lambda values: [round(float(v), 2) for v in sorted(values) if v > 0.004]
+    assert len(big(sizes)) == len(big(g["gap_frac"] for g in found)) and np.allclose(big(sizes), big(g["gap_frac"] for g in found), atol=0.011)
+
+
+def test_search(spark):
+    areas = spark.createDataFrame([(1, "", [[square(0, 0, 1, 1)]])], SHAPE)
+    rows = [(1, "WU_A", "2022-01-01", "2022-02-01", "QL 1", "Meets", "GEOID18", [[square(0, 0, 0.6, 1)]]), (1, "WU_B", "2016-01-01", "2016-02-01", "QL 2", "Meets", "GEOID12B", [[square(0, 0, 0.8, 1)]]), (1, "WU_C", None, None, None, None, None, [[square(0.99, 0, 2, 1)]])]
+    surveys = spark.createDataFrame(rows, "aoi int, workunit string, start string, end string, ql string, category string, geoid string, parts array<array<array<struct<x: double, y: double>>>>").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    builds = spark.createDataFrame([("WU_A", 5, [[square(0, 0, 1, 1)]])], "name string, count long, parts array<array<array<struct<x: double, y: double>>>>")
+    ranked, gaps, dropped = catalog.search(surveys, areas, ["aoi"], builds, 0.05)
+    assert [r["workunit"] for r in ranked.orderBy("priority").collect()] == ["WU_B", "WU_A"]
+    assert [round(r["gap_frac"], 6) for r in gaps.collect()] == [0.2] and [r["workunit"] for r in dropped.collect()] == ["WU_C"]
+    assert {r["epoch"] for r in ranked.collect()} == {"2016", "2022"}
+    assert [r["resource"] for r in catalog.with_resource(surveys, builds).collect()] == ["WU_A"]
