@@ -1,11 +1,11 @@
-"""Connected components, and joins with keys that may hold any share of the rows."""
+"""Joins with keys that may hold any share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh
 
 #: Groups up to which a join sends them to every task (a few MB); salts over which a larger join deals a key's rows.
 MOST_SENT, SALTS = 50_000, 64
@@ -22,36 +22,3 @@ def dealt_join(rows: DataFrame, groups: DataFrame, on: str, by: str) -> DataFram
     (salt,) = fresh(rows, "sg_salt")
     salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)))
     return salted.join(salted.select(on, salt).distinct().join(groups, on), [on, salt]).drop(salt)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): each node of ``edges`` (a, b) and the smallest node that it can reach. ``edges`` should be a written table.
-
-    Large-star and small-star by turns (Kiveris et al., Connected Components in MapReduce and Beyond, 2014): each is an
-    aggregation over the edges and a join with its result, written out, until nothing changes; the number of rounds grows
-    with the logarithm. The least nodes are written before they are joined, so that Spark may send them to all tasks where
-    they are few, and may split a hub's edges where they are many.
-    """
-    def star(df: DataFrame, both: bool) -> DataFrame:
-        # the hub u of each star, its neighbours v, and m, the least of all
-        around = df.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if both:
-            around = around.unionByName(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = written(around.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "least")
-        joined = around.join(least, "u")
-        if both:
-            return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-
-    now, before = edges.select("a", "b"), None
-    for _ in range(rounds):
-        large = written(star(now, True).where("a > b"), "stars")
-        now = written(star(large, False).where("a > b").distinct(), "stars")
-        # edges only move towards smaller nodes, so equal sums and counts mean that nothing has moved
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components still change after {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.components import components
 from . import near
 from .common import clash, fresh, need, shingle_hashes, utf8, written
-from .graph import components, dealt_join
+from .graph import dealt_join
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a bucket that one task compares.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from stratagrid.plans.components import components  # noqa: E402
 from stratagrid.llm import bpe, decontaminate, graph, licenses, line_dedup, sharding, simhash, topk, toxicity, url_filter, warc  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -332,7 +333,7 @@ def test_simhash_links(spark, bucket):
             at ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     prints = spark.createDataFrame([(v,) for v in signed], "fp long")
-    found = graph.components(simhash.links(prints, "fp", 4, bucket)).collect()
+    found = components(simhash.links(prints, "fp", 4, bucket)).collect()
     got = {v: v for v in signed} | {r["node"]: r["root"] for r in found}
     want = brute_components([(k, v & (1 << 64) - 1) for k, v in enumerate(sorted(signed))])
     groups = lambda pairs: sorted(sorted(g) for g in _grouped(pairs))
