@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 A, F_WGS84, F_GRS80 = 6378137.0, 1 / 298.257223563, 1 / 298.257222101
 #: Scale and false coordinates of UTM (fixed values).
 UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500000.0, 10000000.0
+_N = F_WGS84 / (2 - F_WGS84)
 #: Latitude of true scale of the cylindrical equal-area grid.
 EQUAL_AREA_LATITUDE = math.radians(30)
-#: Metres of northing in a degree of latitude, near enough to tell which 2,000 km cycle a grid square is in.
-METRES_PER_DEGREE = 110946.0
+#: Metres of northing in a degree of latitude, on average: a quarter of the meridian. Near enough to tell which 2,000 km cycle a grid square is in.
+METRES_PER_DEGREE = A / (1 + _N) * (1 + _N**2 / 4) * math.pi / 180 * UTM_SCALE
+#: Letters of the grid's latitude bands, and of its columns (by the zone modulo 3) and rows of squares (fixed values).
 BANDS, COLUMN_LETTERS, ROW_LETTERS = "CDEFGHJKLMNPQRSTUVWX", ("STUVWXYZ", "ABCDEFGH", "JKLMNPQR"), "ABCDEFGHJKLMNPQRSTUV"
 
 
@@ -106,7 +108,13 @@ def box_area_m2(west: Column, south: Column, east: Column, north: Column) -> Col
     return (x1 - x0) * (y1 - y0)
 
 
-GRID_ID = r"^(?:(\d{1,2})([C-X]))?([A-Z]{2})(\d{3})(\d{3})$"
+GRID_ID = r"^(?:(\d{1,2})([C-HJ-NP-X]))?([A-HJ-NP-Z][A-HJ-NP-V])(\d{3})(\d{3})$"
+
+
+def grid_zone(identifier: Column) -> tuple[Column, Column]:
+    """The zone that a tile's name begins with, and whether its band lies south of the equator; null where it has none."""
+    band = F.nullif(F.regexp_extract(identifier, GRID_ID, 2), F.lit(""))
+    return F.nullif(F.regexp_extract(identifier, GRID_ID, 1), F.lit("")).try_cast("int"), band <= "M"
 
 
 def grid_square(identifier: Column, zone: int, north_hint: Column | None = None) -> tuple[Column, Column]:
@@ -114,6 +122,7 @@ def grid_square(identifier: Column, zone: int, north_hint: Column | None = None)
 
     Two letters name the 100 km square: columns cycle with the zone modulo 3, rows every 20 letters (five further in even
     zones). Of the squares 2,000 km apart the one nearest to ``north_hint`` is meant; by default the middle of the band.
+    Names of another zone, and those with letters that the zone does not have, give null for both.
     """
     part = lambda k: F.regexp_extract(identifier, GRID_ID, k)
     column = F.call_function("instr", F.lit(COLUMN_LETTERS[zone % 3]), F.substring(part(3), 1, 1))
@@ -121,13 +130,14 @@ def grid_square(identifier: Column, zone: int, north_hint: Column | None = None)
     base = ((row - (5 if zone % 2 == 0 else 0) + 20) % 20) * 100000
     hint = band_northing(part(2)) if north_hint is None else north_hint
     low = base + part(5).try_cast("int") * 100
-    cycle = F.round((hint - low) / 2000000)
-    east = F.when(column > 0, column * 100000 + part(4).try_cast("int") * 100)
-    return east.cast("double"), (low + cycle * 2000000).cast("double")
+    cycle = F.round((hint - base) / 2000000)
+    good = (column > 0) & (row >= 0) & ((part(1) == "") | (part(1).try_cast("int") == zone))
+    east = column * 100000 + part(4).try_cast("int") * 100
+    return F.when(good, east.cast("double")), F.when(good, (low + cycle * 2000000).cast("double"))
 
 
 def band_northing(letter: Column) -> Column:
-    """About the northing of the middle of a latitude band."""
+    """About the northing of the middle of a latitude band; null for other letters."""
     latitude = (F.call_function("instr", F.lit(BANDS), letter) - 1) * 8 - 76
     return latitude * METRES_PER_DEGREE + F.when(latitude < 0, UTM_SOUTH).otherwise(0.0)
 

@@ -44,8 +44,39 @@ def geoid_shift(height: Column, undulation: Column, to_ellipsoid: bool = True) -
     return height + undulation if to_ellipsoid else height - undulation
 
 
-def nice_length(x: Column) -> Column:
-    """The largest of 1, 2, 5 times a power of ten that is not longer."""
-    power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
-    lead = x / power
-    return power * F.when(lead >= 5, 5).when(lead >= 2, 2).otherwise(1)
+def nice_length(span: Column) -> Column:
+    """The length of 1, 2, 5 or 10 times a power of ten nearest to a fifth of ``span`` (borders at 1.5, 3.5 and 7.5)."""
+    target = span / 5
+    power = F.pow(F.lit(10.0), F.floor(F.log10(target)))
+    lead = target / power
+    return power * F.when(lead < 1.5, 1.0).when(lead < 3.5, 2.0).when(lead < 7.5, 5.0).otherwise(10.0)
+
+
+# Public grid files by geoid model and region, and the regions' boxes (west, south, east, north), the first that holds a point.
+GEOID_GRIDS = {
+    "GEOID18": {"conus": ["us_noaa_g2018u0.tif"], "prvi": ["us_noaa_g2018p0.tif"]},
+    "GEOID12B": {
+        "conus": ["us_noaa_g2012bu0.tif"], "ak": ["us_noaa_g2012ba0.tif"], "prvi": ["us_noaa_g2012bp0.tif"], "hi": ["us_noaa_g2012bh0.tif"],
+        "guam": ["us_noaa_g2012bg0.tif"], "samoa": ["us_noaa_g2012bs0.tif"],
+    },
+    "GEOID09": {"conus": ["us_noaa_geoid09_conus.tif"], "ak": ["us_noaa_geoid09_ak.tif"]},
+    "GEOID06": {"ak": ["us_noaa_geoid06_ak.tif"]},
+    "GEOID03": {"conus": ["us_noaa_geoid03_conus.tif"]},
+    "GEOID99": {
+        "conus": [f"us_noaa_g1999u0{k}.tif" for k in range(1, 9)], "ak": [f"us_noaa_g1999a0{k}.tif" for k in range(1, 5)], "hi": ["us_noaa_g1999h01.tif"],
+        "prvi": ["us_noaa_g1999p01.tif"],
+    },
+}
+REGIONS = (
+    ("prvi", -68.5, 17.0, -64.0, 19.5), ("hi", -161.5, 18.0, -154.0, 23.5), ("guam", 144.0, 13.0, 146.5, 16.0), ("samoa", -171.5, -15.0, -169.0, -13.5),
+    ("ak", -190.0, 49.5, -129.0, 72.5), ("conus", -130.0, 23.0, -66.0, 50.0),
+)
+# End of fixed values.
+
+
+def region_grids(model: Column, region: Column, fail: bool = True) -> Column:
+    """The grid files (array) of a geoid model in a region. A model without grids there is an error, or null if not ``fail``; null stays null."""
+    pairs = [F.lit(x) for m, regions in GEOID_GRIDS.items() for r, files in regions.items() for x in (f"{m}/{r}", ",".join(files))]
+    found = F.split(F.element_at(F.create_map(*pairs), F.concat(model, F.lit("/"), region)), ",")
+    missing = F.raise_error(F.concat(F.lit("no grid for "), model, F.lit(" in "), F.coalesce(region, F.lit("no region")))).cast("array<string>") if fail else F.lit(None).cast("array<string>")
+    return F.when(model.isNull(), F.lit(None).cast("array<string>")).when(found.isNotNull(), found).otherwise(missing)

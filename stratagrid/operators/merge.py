@@ -46,7 +46,8 @@ def normalize(raster: DataFrame, order: Sequence, min_overlap: int = MIN_OVERLAP
 
     Every source starts with a stretch of its 2-98 % range to the whole range. Each after the first is then fitted to the
     composite of those before, where they overlap enough and the line rises: the fold is sequential by nature, over a few
-    sources, and each step is a pass over the data in Spark. With one source nothing is changed.
+    sources, and each step is a pass over the data in Spark. Lines are fitted to values as they are; only the result is held
+    between ``LEAST`` and ``MOST``. With one source nothing is changed.
     """
     order = list(order)
     if len(order) < 2:
@@ -62,11 +63,11 @@ def normalize(raster: DataFrame, order: Sequence, min_overlap: int = MIN_OVERLAP
             if fit and fit["n"] >= min_overlap and (fit["slope"] or 0) > 0:
                 gain, offset, method = fit["slope"], fit["intercept"], "overlap-refined"
         fitted.append((source, gain, offset, method))
-        scaled = own.where("value IS NOT NULL").withColumn("value", clamped_line(F.col("value"), F.lit(gain), F.lit(offset)))
+        scaled = own.where("value IS NOT NULL").withColumn("value", F.col("value") * gain + offset)
         if composite is None:
             composite = scaled
         else:
             new = scaled.join(composite.select(*CELL), list(CELL), "left_anti")
             composite = composite.unionByName(new)
         composite = written(composite, "composite")
-    return fitted, composite
+    return fitted, composite.withColumn("value", clamped_line(F.col("value"), F.lit(1.0), F.lit(0.0)))

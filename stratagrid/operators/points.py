@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,12 +45,13 @@ def reset_classes(points: DataFrame, cls: str = "cls") -> DataFrame:
 
 def mark_high_z(points: DataFrame, share: float, by: Sequence[str] = ("tile",), z: str = "z", cls: str = "cls") -> DataFrame:
     """Class 18 for points whose z-score in their group exceeds the normal quantile of ``share``. NaN and null heights are
-    left out of mean and population deviation; a group without spread stays as it is."""
+    left out of mean and population deviation; a group without spread stays as it is. Nulls in ``by`` are a group too."""
     value = F.when(~F.isnan(z), F.col(z))
-    stats = points.groupBy(*by).agg(F.avg(value).alias("sg_mean"), F.stddev_pop(value).alias("sg_std"))
+    stats = points.groupBy(*[F.col(c).alias(f"sg_{c}") for c in by]).agg(F.avg(value).alias("sg_mean"), F.stddev_pop(value).alias("sg_std"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"sg_{c}")) for c in by])
     high = F.try_divide(value - F.col("sg_mean"), F.col("sg_std")) > NormalDist().inv_cdf(share)
     marked = F.when(F.coalesce(high, F.lit(False)), F.lit(HIGH_NOISE)).otherwise(F.col(cls))
-    return points.join(stats, list(by)).withColumn(cls, marked.cast(points.schema[cls].dataType)).drop("sg_mean", "sg_std")
+    return points.join(stats, same).withColumn(cls, marked.cast(points.schema[cls].dataType)).select(*points.columns)
 
 
 def with_cell(points: DataFrame, resolution: float, origin: tuple[float, float] = (0.0, 0.0), x: str = "x", y: str = "y") -> DataFrame:
@@ -63,12 +66,18 @@ def grid_max(points: DataFrame, resolution: float, origin: tuple[float, float] =
 
 def near_cells(points: DataFrame, resolution: float, radius: float, origin: tuple[float, float] = (0.0, 0.0), x: str = "x", y: str = "y") -> DataFrame:
     """Each point once for every cell whose centre is within ``radius``, with row, col and the distance ``d``. Makes no join."""
-    reach = math.ceil(radius / resolution)
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    out = with_cell(points, resolution, origin, x, y).withColumn("sg_dc", F.explode(steps)).withColumn("sg_dr", F.explode(steps))
-    out = out.withColumns({"col": F.col("col") + F.col("sg_dc"), "row": F.col("row") + F.col("sg_dr")}).drop("sg_dc", "sg_dr")
+    # of each column only the rows within the circle are made
+    low = lambda c, o, r: F.ceil((F.col(c) - o - r) / resolution - 0.5).cast("bigint")
+    high = lambda c, o, r: F.floor((F.col(c) - o + r) / resolution - 0.5).cast("bigint")
     centre = lambda i, o: (F.col(i) + 0.5) * resolution + o
-    dx, dy = F.col(x) - centre("col", origin[0]), F.col(y) - centre("row", origin[1])
+    steps = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi))
+    r = F.lit(radius)
+    out = points.withColumn("col", F.explode(steps(low(x, origin[0], r), high(x, origin[0], r))))
+    dx = F.col(x) - centre("col", origin[0])
+    # a little wider, so that rounding loses nothing; the distance decides
+    half = F.sqrt(F.greatest(F.lit(radius * radius) - dx * dx, F.lit(0.0))) + resolution * 1e-9
+    out = out.withColumn("row", F.explode(steps(low(y, origin[1], half), high(y, origin[1], half))))
+    dy = F.col(y) - centre("row", origin[1])
     return out.withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius)
 
 
@@ -120,19 +129,18 @@ def height_above_ground(points: DataFrame, by: Sequence[str] = ("tile",), bucket
     """``points`` with hag: the height above the nearest ground point of the group in x and y (of several, the lowest).
 
     Points look for ground in their own and the eight buckets around; those whose nearest find may not be the nearest go on
-    with buckets four times as wide. So each round is an equi-join, and few points are left for the wide ones. A group without
-    ground has null. By default the first buckets would hold four ground points each if these were spread evenly.
-    Needs ``x``, ``y``, ``z`` and no column starting with ``sg_``.
+    with buckets four times as wide. So each round is an equi-join, made once and written, and few points are left for the wide
+    ones. A group without ground has null. By default the first buckets would hold one ground point each if these were spread
+    evenly. Needs ``x``, ``y``, ``z`` and no column starting with ``sg_``.
     """
     by = list(by)
     ground = points.where(F.col(cls) == GROUND).select(*by, F.col("x").alias("sg_gx"), F.col("y").alias("sg_gy"), F.col("z").alias("sg_gz"))
-    ids = points.select(*by, "x", "y").distinct()
-    with_ground = ids.join(ground.select(*by).distinct(), by, "left_semi")
+    places = points.select(*by, "x", "y").distinct().join(ground.select(*by).distinct(), by, "left_semi")
     extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count_if(F.col(cls) == GROUND)).first()
     width, height = float(extent[0] or 0), float(extent[1] or 0)
-    bucket = bucket or 2 * math.sqrt(max(width * height, 1e-6) / max(extent[2], 1))
+    bucket = bucket or math.sqrt(max(width * height, 1e-6) / max(extent[2], 1))
     widest = max(width, height, bucket)
-    left, out = with_ground, None
+    left, out = places, None
     while True:
         last = bucket > widest
         around = F.sequence(F.lit(-1), F.lit(1))
@@ -140,20 +148,24 @@ def height_above_ground(points: DataFrame, by: Sequence[str] = ("tile",), bucket
         spread = ground.withColumns({"sg_i": at("sg_gx"), "sg_j": at("sg_gy")}).withColumn("sg_a", F.explode(around)).withColumn("sg_b", F.explode(around))
         spread = spread.withColumns({"sg_i": F.col("sg_i") + F.col("sg_a"), "sg_j": F.col("sg_j") + F.col("sg_b")}).drop("sg_a", "sg_b")
         dx, dy = F.col("x") - F.col("sg_gx"), F.col("y") - F.col("sg_gy")
-        d2 = dx * dx + dy * dy
-        found = left.withColumns({"sg_i": at("x"), "sg_j": at("y")}).join(spread, [*by, "sg_i", "sg_j"]).groupBy(*by, "x", "y").agg(F.min(F.struct(d2.alias("d2"), F.col("sg_gz").alias("gz"))).alias("best"))
-        sure = found if last else found.where(F.col("best.d2") <= bucket * bucket)
-        sure = sure.select(*by, "x", "y", F.col("best.gz").alias("sg_ground"))
+        best = F.min(F.when(F.col("sg_gx").isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), F.col("sg_gz").alias("gz"))))
+        found = left.withColumns({"sg_i": at("x"), "sg_j": at("y")}).join(spread, [*by, "sg_i", "sg_j"], "left").groupBy(*by, "x", "y").agg(best.alias("sg_best"))
+        found = written(found.withColumn("sg_sure", F.lit(True) if last else F.coalesce(F.col("sg_best.d2") <= bucket * bucket, F.lit(False))), "nearest-ground")
+        sure = found.where("sg_sure").select(*by, "x", "y", F.col("sg_best.gz").alias("sg_ground"))
         out = sure if out is None else out.unionByName(sure)
-        if last:
-            break
-        left = written(left.join(sure, [*by, "x", "y"], "left_anti"), "without-ground")
-        if left.isEmpty():
+        left = found.where("NOT sg_sure").select(*by, "x", "y")
+        if last or left.isEmpty():
             break
         bucket *= 4
     return points.join(out, [*by, "x", "y"], "left").withColumn("hag", F.col("z") - F.col("sg_ground")).drop("sg_ground")
 
 
+def mark_high(points: DataFrame, max_hag: float, hag: str = "hag", cls: str = "cls") -> DataFrame:
+    """Class 18 for points more than ``max_hag`` above ground, so that what drops high noise drops them; points without a height stay."""
+    high = F.coalesce(F.col(hag) > max_hag, F.lit(False))
+    return points.withColumn(cls, F.when(high, F.lit(HIGH_NOISE)).otherwise(F.col(cls)).cast(points.schema[cls].dataType))
+
+
 def thin(points: DataFrame, resolution: float, order: Sequence[Column]) -> DataFrame:
     """One point, the first by ``order``, of each cube of the given size."""
     cubes = {f"sg_{c}": F.floor(F.col(c) / resolution) for c in ("x", "y", "z")}
@@ -198,22 +210,58 @@ def tile_counts(tiles: DataFrame, counts: DataFrame, key: str = "tile") -> DataF
     return tiles.join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce(F.col("n") == 0, F.lit(True)).alias("empty"))
 
 
+#: Rows and columns of a block of cells.
+BLOCK = 256
+
+
+def _opened(cells: DataFrame, by: Sequence[str], window: int, rise: float) -> DataFrame:
+    """``cells`` (by, row, col, low) with flag: whether some opening lowers the cell by more than ``rise`` times the window's size."""
+    by, margin = list(by), window * (window + 1)
+    near = lambda c: F.sequence(F.floor((F.col(c) - margin) / BLOCK), F.floor((F.col(c) + margin) / BLOCK))
+    dealt = cells.withColumn("sg_i", F.explode(near("row"))).withColumn("sg_j", F.explode(near("col")))
+    schema = cells.withColumn("flag", F.lit(False)).schema
+
+    def run(pdf):
+        import numpy as np
+        from numpy.lib.stride_tricks import sliding_window_view
+
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        r, c = row - row.min(), col - col.min()
+        there = np.zeros((r.max() + 1, c.max() + 1), bool)
+        there[r, c] = True
+        now = np.full(there.shape, np.inf)
+        now[r, c] = pdf["low"].to_numpy()
+        flag = np.zeros(there.shape, bool)
+        for w in range(1, window + 1):
+            made = now
+            for pick, none in ((np.min, np.inf), (np.max, -np.inf)):
+                for axis in (1, 0):
+                    made = np.where(there, made, none)
+                    pad = [(0, 0), (0, 0)]
+                    pad[axis] = (w, w)
+                    made = pick(sliding_window_view(np.pad(made, pad, constant_values=none), 2 * w + 1, axis=axis), axis=-1)
+            with np.errstate(invalid="ignore"):
+                flag |= there & (now - made > rise * w)
+            now = np.where(there, made, np.inf)
+        own = (row // BLOCK == pdf["sg_i"].iloc[0]) & (col // BLOCK == pdf["sg_j"].iloc[0])
+        out = pdf[own].drop(columns=["sg_i", "sg_j"])
+        out["flag"] = flag[r[own], c[own]]
+        return out
+
+    return dealt.groupBy(*by, "sg_i", "sg_j").applyInPandas(run, schema)
+
+
 def classify_ground(points: DataFrame, resolution: float = 1.0, window: int = 8, slope: float = 0.2, threshold: float = 0.45, scalar: float = 1.2, by: Sequence[str] = ("tile",), cls: str = "cls") -> DataFrame:
     """Class 2 for ground, 1 for all else, by a simple morphological filter (Pingel et al., 2013).
 
     The lowest point of each cell makes a surface. Openings with wider and wider windows flag cells that stand out by more than
     the slope allows; what is left, with its gaps filled from around, is the ground, and points near it are ground points.
-    Openings are minima and maxima over ranges of rows and columns, so cells without points take no part.
+    Openings are minima and maxima over ranges of rows and columns, so cells without points take no part; they are made on blocks
+    of cells with a margin as wide as all windows together, each by one task.
     """
     by = list(by)
     cells = with_cell(points, resolution).groupBy(*by, "row", "col").agg(F.min("z").alias("low"))
-    surface = cells.withColumns({"open": F.col("low"), "flag": F.lit(False)})
-    for w in range(1, window + 1):
-        over = lambda a, b, w=w: Window.partitionBy(*by, a).orderBy(b).rangeBetween(-w, w)
-        opened = surface.withColumn("sg_o", F.min("open").over(over("row", "col"))).withColumn("sg_o", F.min("sg_o").over(over("col", "row")))
-        opened = opened.withColumn("sg_o", F.max("sg_o").over(over("row", "col"))).withColumn("sg_o", F.max("sg_o").over(over("col", "row")))
-        surface = opened.withColumn("flag", F.col("flag") | (F.col("open") - F.col("sg_o") > slope * w * resolution)).withColumn("open", F.col("sg_o")).drop("sg_o")
-    surface = written(surface, "ground-surface")
+    surface = written(_opened(cells, by, window, slope * resolution), "ground-surface")
     ground = surface.where("NOT flag").select(*by, "row", "col", F.col("low").alias("sg_z"))
     step = F.sequence(F.lit(-window), F.lit(window))
     near = ground.withColumn("sg_r", F.explode(step)).withColumn("sg_c", F.explode(step))

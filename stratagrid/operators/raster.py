@@ -29,18 +29,39 @@ def mosaic(raster: DataFrame, order: str, last_wins: bool = True) -> DataFrame:
 
 
 def window_fill(raster: DataFrame, size: int = 4, power: float = 1.0) -> DataFrame:
-    """Cells without data within ``size`` rows and columns of data get the distance-weighted mean of these; others stay as they are."""
+    """Cells without data within ``size`` rows and columns of data get the distance-weighted mean of these; others stay as they are.
+
+    Empty cells near data are found row by row and then column by column; only these look for the cells around them, by key.
+    """
     there = raster.where("value IS NOT NULL").select(*CELL, "value")
+
+    def spread(cells: DataFrame, along: str, across: str) -> DataFrame:
+        # a run of cells reaches the next one, or ends ``size`` further: each gap is made once
+        w = Window.partitionBy(across).orderBy(along)
+        ahead, behind = F.lead(along).over(w), F.lag(along).over(w)
+        up = F.when(ahead.isNull(), F.col(along) + size).otherwise(F.least(ahead - 1, F.col(along) + size))
+        down = F.when(behind.isNull(), F.col(along) - size).otherwise(F.greatest(behind + size + 1, F.col(along) - size))
+        ends = cells.withColumns({"sg_up": up, "sg_down": down})
+        return ends.select(across, F.explode(F.sequence(F.least("sg_down", F.col(along)), "sg_up")).alias(along))
+
+    near = spread(spread(there.select(*CELL), "col", "row"), "row", "col").select(*CELL)
+    empty = near.join(there.select(*CELL), list(CELL), "left_anti")
     step = F.sequence(F.lit(-size), F.lit(size))
-    near = there.withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).where("dr != 0 OR dc != 0")
-    near = near.select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "value", (1 / F.pow(F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")), F.lit(power))).alias("w"))
-    filled = near.join(there.select(*CELL), list(CELL), "left_anti").groupBy(*CELL).agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
+    around = empty.withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step))
+    around = around.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (1 / F.pow(F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")), F.lit(power))).alias("w"))
+    filled = around.join(there, list(CELL)).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
     return there.withColumn("filled", F.lit(False)).unionByName(filled.withColumn("filled", F.lit(True)))
 
 
-def common_cells(raster: DataFrame, sources: Sequence, source: str = "source") -> DataFrame:
-    """Cells with data in all of ``sources``: one aggregation, however many there are."""
-    return raster.where(F.col("value").isNotNull() & F.col(source).isin(*sources)).groupBy(*CELL).agg(F.count_distinct(source).alias("n")).where(F.col("n") == len(sources)).select(*CELL)
+def common_cells(raster: DataFrame, sources: Sequence | None = None, source: str = "source", by: Sequence[str] = ()) -> DataFrame:
+    """Cells with data in all of ``sources`` (by default in all of their group ``by``): one aggregation, however many there are."""
+    own = raster if sources is None else raster.where(F.col(source).isin(*sources))
+    cells = own.where(F.col("value").isNotNull()).groupBy(*by, *CELL).agg(F.count_distinct(source).alias("n"))
+    if sources is not None:
+        return cells.where(F.col("n") == len(sources)).select(*by, *CELL)
+    # a row per group
+    groups = own.groupBy(*by).agg(F.count_distinct(source).alias("sg_all"))
+    return (cells.join(groups, list(by)) if by else cells.join(F.broadcast(groups))).where("n = sg_all").select(*by, *CELL)
 
 
 def overviews(raster: DataFrame, factors: Sequence[int] = (2, 4, 8, 16), by: Sequence[str] = ("source",)) -> DataFrame:
