@@ -142,6 +142,17 @@ def band_northing(letter: Column) -> Column:
     return latitude * METRES_PER_DEGREE + F.when(latitude < 0, UTM_SOUTH).otherwise(0.0)
 
 
+def projected_box(west: Column, south: Column, east: Column, north: Column, project, steps: int = 21) -> list[Column]:
+    """xmin, ymin, xmax, ymax of a box after ``project`` (lon, lat to x, y), of ``steps`` places on each side: sides may bow outwards."""
+    places = [k / (steps - 1) for k in range(steps)]
+    between = lambda a, b, t: a + (b - a) * t
+    rim = [(between(west, east, t), y) for y in (south, north) for t in places] + [(x, between(south, north, t)) for x in (west, east) for t in places]
+    points = F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in rim])
+    xs = F.transform(points, lambda p: project(p["lon"], p["lat"])[0])
+    ys = F.transform(points, lambda p: project(p["lon"], p["lat"])[1])
+    return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
+
+
 def first_region(lon: Column, lat: Column, regions: Sequence[tuple[str, float, float, float, float]]) -> Column:
     """The first of ``regions`` (name, west, south, east, north) that holds the point; null if none does."""
     out = F.lit(None).cast("string")

@@ -140,6 +140,18 @@ def with_resource(surveys: DataFrame, resources: DataFrame, name: str = "workuni
     return surveys.join(resolve_names(surveys, resources, name).select(name, "resource", "tier"), name)
 
 
+def choose(surveys: DataFrame, resources: DataFrame, how: str, by: Sequence[str], names: Sequence[str] = (), name: str = "workunit") -> DataFrame:
+    """The surveys, with their resources, that a selection means: ``auto`` all that have one, ``latest`` the latest of these in each area, ``list`` those of ``names``."""
+    own = with_resource(surveys, resources, name)
+    if how == "list":
+        return own.where(F.col(name).isin(*names))
+    if how == "latest":
+        return select_latest(own, by, name)
+    if how != "auto":
+        raise ValueError(f"no selection {how!r}")
+    return own
+
+
 def min_overlap(surveys: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Surveys with at least this share, and those that are dropped."""
     keep = F.coalesce(F.col("overlap") >= least, F.lit(False))

@@ -102,21 +102,41 @@ def hillshade(raster: DataFrame, dx: float, dy: float, azimuth: float = 315.0, a
     return out.withColumn("shade", F.least(F.greatest(shade, F.lit(0.0)), F.lit(1.0))).where("shade IS NOT NULL").select(*by, *CELL, "shade")
 
 
-def warp(raster: DataFrame, targets: DataFrame, source_row: Column, source_col: Column, bilinear: bool = True, shift: Column | None = None, by: Sequence[str] = ("source",)) -> DataFrame:
+def _cubic(d: Column) -> Column:
+    """Keys' cubic kernel (a = -1/2) at distance ``d``."""
+    x = F.abs(d)
+    return F.when(x <= 1, 1.5 * x * x * x - 2.5 * x * x + 1).when(x < 2, -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2).otherwise(0.0)
+
+
+def _spline(d: Column) -> Column:
+    """The cubic B-spline at distance ``d``."""
+    x = F.abs(d)
+    return F.when(x <= 1, x * x * x / 2 - x * x + 2 / 3).when(x < 2, (2 - x) * (2 - x) * (2 - x) / 6).otherwise(0.0)
+
+
+#: Kinds of resampling: the places around a target's own that count, and the weight of each by its distance along one axis.
+KERNELS = {"bilinear": ((0, 1), lambda d: 1 - F.abs(d)), "cubic": ((-1, 0, 1, 2), _cubic), "cubic_spline": ((-1, 0, 1, 2), _spline)}
+
+
+def warp(raster: DataFrame, targets: DataFrame, source_row: Column, source_col: Column, kind: str = "bilinear", shift: Column | None = None, by: Sequence[str] = ("source",)) -> DataFrame:
     """Values of ``raster`` at ``targets`` (row, col and what the two expressions need), which give each target's place in the
-    source's rows and columns (0 is the first cell's middle). Bilinear weights count only neighbours with data. ``shift`` is
-    added to the values: for heights, never for intensities."""
+    source's rows and columns (0 is the first cell's middle). ``kind``: nearest, bilinear, cubic or cubic_spline; weights count only
+    neighbours with data, and a target whose weights do not add up to more than nothing has no value. ``shift`` is added to the
+    values: for heights, never for intensities."""
+    if kind != "nearest" and kind not in KERNELS:
+        raise ValueError(f"no kind {kind!r}; there are nearest, {', '.join(KERNELS)}")
     keep = [c for c in targets.columns if c not in CELL]
     t = targets.select("row", "col", *keep, source_row.alias("sr"), source_col.alias("sc"))
-    if bilinear:
-        pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-        t = t.withColumn("k", F.explode(pairs)).withColumns({"srow": (F.floor("sr") + F.col("k.a")).cast("bigint"), "scol": (F.floor("sc") + F.col("k.b")).cast("bigint")})
-        weight = (1 - F.abs(F.col("sr") - F.col("srow"))) * (1 - F.abs(F.col("sc") - F.col("scol")))
-        t = t.withColumn("w", weight).where("w > 0")
-    else:
+    if kind == "nearest":
         t = t.withColumns({"srow": F.floor(F.col("sr") + 0.5).cast("bigint"), "scol": F.floor(F.col("sc") + 0.5).cast("bigint"), "w": F.lit(1.0)})
+    else:
+        steps, weight = KERNELS[kind]
+        pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in steps for b in steps])
+        t = t.withColumn("k", F.explode(pairs)).withColumns({"srow": (F.floor("sr") + F.col("k.a")).cast("bigint"), "scol": (F.floor("sc") + F.col("k.b")).cast("bigint")})
+        t = t.withColumn("w", weight(F.col("sr") - F.col("srow")) * weight(F.col("sc") - F.col("scol"))).where("w != 0")
     values = raster.where("value IS NOT NULL").select(*by, F.col("row").alias("srow"), F.col("col").alias("scol"), "value")
-    out = t.join(values, [*[c for c in by if c in keep], "srow", "scol"]).groupBy(*by, "row", "col").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
+    out = t.join(values, [*[c for c in by if c in keep], "srow", "scol"]).groupBy(*by, "row", "col").agg(F.sum(F.col("value") * F.col("w")).alias("sg_v"), F.sum("w").alias("sg_w"))
+    out = out.where("sg_w > 1e-9").select(*by, "row", "col", (F.col("sg_v") / F.col("sg_w")).alias("value"))
     return out if shift is None else out.withColumn("value", F.col("value") + shift)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import boxes_touch, grid_square
+from ..functions.geo import box_area_m2, boxes_touch, grid_square, grid_zone
+from . import polygons
 
 #: One index may lack up to this share of the other's tiles.
 COMPLETE = 0.95
@@ -27,6 +28,68 @@ def tile_footprints(tiles: DataFrame, zone: int, size: float = 1000.0, identifie
     return tiles.withColumns({"xmin": east, "ymin": north}).withColumns({"xmax": F.col("xmin") + size, "ymax": F.col("ymin") + size})
 
 
+def zones(tiles: DataFrame, identifier: str = "grid_id") -> DataFrame:
+    """(zone, south, n): the zones and hemispheres that the tiles' names say; names without one are left out."""
+    zone, south = grid_zone(F.col(identifier))
+    return tiles.select(zone.alias("zone"), south.alias("south")).where("zone IS NOT NULL").groupBy("zone", "south").agg(F.count(F.lit(1)).alias("n"))
+
+
+def one_zone(tiles: DataFrame, identifier: str = "grid_id") -> tuple[int, bool] | None:
+    """The one zone and hemisphere of all tiles (None if no name has one); several are an error, as are names decoded in another's zone."""
+    found = zones(tiles, identifier).orderBy("zone", "south").limit(10).collect()
+    if len(found) > 1:
+        raise ValueError(f"tiles of several zones: {[(r['zone'], 'S' if r['south'] else 'N') for r in found]}")
+    return (found[0]["zone"], found[0]["south"]) if found else None
+
+
+def select_tiles(tiles: DataFrame, areas: DataFrame, by: Sequence[str], tile: str = "tile", resources: DataFrame | None = None, resource: str = "name", degrees: bool = False) -> DataFrame:
+    """``tiles`` (box columns) that meet their area's polygon, with share, how much of the tile lies in it; with ``resources``
+    only those that also meet one, whatever number. Each tile comes once."""
+    shaped = tiles.withColumn("parts", polygons.box_parts(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]))
+    # the tile is measured as the shape that is covered: all of the area's part in it, and of that what resources hold
+    pieces = polygons.overlay(areas, shaped, by, tile, resources, resource, degrees)
+    met = pieces.where("kind = 'overlap'").groupBy(*by, F.col("id").alias("sg_id")).agg(F.sum("area").alias("sg_area"), F.sum("more").alias("sg_more"))
+    if resources is not None:
+        met = met.where("sg_more > 0")
+    own = shaped.withColumn("sg_id", F.col(tile).cast("string")).join(met, [*by, "sg_id"])
+    size = box_area_m2(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]) if degrees else (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    return own.withColumn("share", F.col("sg_area") / size).select(*tiles.columns, "share")
+
+
+def tiles_per_unit(tiles: DataFrame, key: str = "workunit_id") -> DataFrame:
+    """Tiles of each unit; tiles without one are left out."""
+    return tiles.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def site_manifest(wanted: DataFrame, surveys: DataFrame, folder: str, resolved: DataFrame | None = None, tesm: DataFrame | None = None, links: DataFrame | None = None, name: str = "workunit") -> DataFrame:
+    """A row per wanted unit: its record (struct) or why there is none, its resource or why there is none, the reconciled tile
+    counts, and the folder of its files.
+
+    ``resolved`` is what ``catalog.resolve_names`` says, ``tesm`` and ``links`` are counts (name, n). An index that could not be read is
+    None as a whole, and a list of links that could not be fetched a null n; neither is 0. Tiles have no status where neither
+    index was asked for the unit.
+    """
+    own = wanted.select(name).where(F.col(name).isNotNull()).distinct()
+    fields = [c for c in surveys.columns if c != name]
+    records = surveys.groupBy(name).agg(F.count(F.lit(1)).alias("sg_n"), F.first(F.struct(name, *fields)).alias("record"))
+    out = own.join(records, name, "left")
+    out = out.withColumn("record_error", F.when(F.col("sg_n").isNull(), "no such workunit").when(F.col("sg_n") > 1, "several workunits of this name")).withColumn("record", F.when(F.col("sg_n") == 1, F.col("record"))).drop("sg_n")
+    if resolved is not None:
+        out = out.join(resolved.select(name, "resource", "tier"), name, "left").withColumn("resource_error", F.when(F.col("resource").isNull(), "no resource resolves to this workunit"))
+    else:
+        out = out.withColumns({"resource": F.lit(None).cast("string"), "tier": F.lit(None).cast("int"), "resource_error": F.lit(None).cast("string")})
+    for counts, c in ((tesm, "tesm"), (links, "links")):
+        if counts is None:
+            out = out.withColumns({c: F.lit(None).cast("bigint"), f"sg_{c}": F.lit(False)})
+        else:
+            out = out.join(counts.select(name, F.col("n").cast("bigint").alias(c), F.lit(True).alias(f"sg_{c}")), name, "left")
+    asked = F.coalesce("sg_tesm", F.lit(False)) | F.coalesce("sg_links", F.lit(False))
+    # an index that was read and does not name the unit has no tiles of it
+    known = F.lit(None).cast("bigint") if tesm is None else F.coalesce("tesm", F.lit(0))
+    out = out.withColumn("tesm", F.when(asked, known)).withColumn("status", F.when(asked, reconcile(F.col("tesm"), F.col("links")))).drop("sg_tesm", "sg_links")
+    return out.withColumn("files", F.concat(F.lit(folder.rstrip("/") + "/lpc_cache/"), F.col(name)))
+
+
 def tiles_in_boxes(tiles: DataFrame, boxes: DataFrame, by: Sequence[str], cell: float) -> DataFrame:
     """Tiles of each box, edges included: both sides are dealt to square cells, so it is an equi-join; each pair counts once."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("bigint"), F.floor(F.col(hi) / cell).cast("bigint")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRODUCTS = ("dsm", "dtm", "dtm_fill", "intensity")
@@ -82,3 +82,43 @@ def outcome_tally(tiles: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count_if(F.col("state") == "failed").alias("failed"),
         F.count_if(F.col("state") != "empty").alias("data_total"),
     )
+
+
+def project_outcomes(tiles: DataFrame, key: str = "project", error: str = "error") -> DataFrame:
+    """(project, state, note): completed, completed (no data) or failed, from the states of a project's tiles and the error, if any, that ended it.
+
+    One project's failure says nothing of another's. A run that may not be resumed is told apart, as its advice is another.
+    """
+    counts = tiles.groupBy(key).agg(F.count_if(F.col("state") == "ok").alias("ok"), F.count_if(F.col("state") == "failed").alias("failed"), F.min(error).alias("sg_error"))
+    state = F.when(F.col("sg_error").isNotNull(), F.concat(F.lit("failed: "), F.col("sg_error"))).when(F.col("failed") > 0, F.concat(F.lit("failed: "), F.col("failed").cast("string"), F.lit(" tiles"))).otherwise("completed")
+    note = F.when(F.startswith(F.col("sg_error"), F.lit("Cannot resume")), "start it anew in another folder").when(is_failed(state), "run it again to resume").when(F.col("ok") == 0, "no data")
+    return counts.select(key, state.alias("state"), note.alias("note"))
+
+
+def is_failed(state: Column) -> Column:
+    return F.startswith(state, F.lit("failed"))
+
+
+def has_no_data(note: Column) -> Column:
+    return F.coalesce(F.contains(note, F.lit("no data")), F.lit(False))
+
+
+def finish(outcomes: DataFrame, key: str = "project") -> int:
+    """The number of projects; an error that names the first failed ones if there are any, once all have had their turn."""
+    failed = outcomes.where(is_failed(F.col("state"))).orderBy(key).select(key).limit(10).collect()
+    if failed:
+        raise RuntimeError(f"{outcomes.where(is_failed(F.col('state'))).count()} projects failed, among them {', '.join(str(r[0]) for r in failed)}")
+    return outcomes.count()
+
+
+def output_name(area: str, resolution: float, project: str | None = None) -> str:
+    """What an area's outputs are called: ``area_1m``, with the project's name behind it if there is one."""
+    return f"{area}_{resolution:g}m" + (f"_{project}" if project else "")
+
+
+def span(low: float | None, high: float | None, unit: str = "") -> str:
+    """``1.5-2 m``, one number where both are the same, and nothing where one is missing."""
+    if low is None or high is None:
+        return ""
+    tail = f" {unit}" if unit else ""
+    return f"{low:g}{tail}" if low == high else f"{low:g}-{high:g}{tail}"

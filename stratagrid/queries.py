@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geo, geodesy, text
-from .operators import catalog, conformance, merge, points, polygons, raster, reports, staging, vendor
+from .operators import catalog, conformance, merge, points, polygons, products, raster, reports, staging, vendor
 from .plans import batch
 from .plans.tables import written
 from .streaming import epochs
@@ -268,7 +268,42 @@ def warp_bilinear(spark, sf_dir):
 SELECT r.source, t.row, t.col, r.value + 10 AS value FROM t JOIN r ON r.row = srow AND r.col = scol""")
 def warp_nearest_shifted(spark, sf_dir):
     t = spark.range(25).select(F.floor(F.col("id") / 5).cast("bigint").alias("row"), (F.col("id") % 5).alias("col"))
-    return raster.warp(images(spark, sf_dir), t, (F.col("row") + 0.5) * 8 / 5 - 0.5, (F.col("col") + 0.5) * 8 / 5 - 0.5, bilinear=False, shift=F.lit(10.0))
+    return raster.warp(images(spark, sf_dir), t, (F.col("row") + 0.5) * 8 / 5 - 0.5, (F.col("col") + 0.5) * 8 / 5 - 0.5, "nearest", shift=F.lit(10.0))
+
+
+_K = {"cubic": "CASE WHEN {x} <= 1 THEN 1.5 * {x} * {x} * {x} - 2.5 * {x} * {x} + 1 WHEN {x} < 2 THEN -0.5 * {x} * {x} * {x} + 2.5 * {x} * {x} - 4 * {x} + 2 ELSE 0 END",
+      "spline": "CASE WHEN {x} <= 1 THEN {x} * {x} * {x} / 2 - {x} * {x} + 2.0 / 3 WHEN {x} < 2 THEN (2 - {x}) * (2 - {x}) * (2 - {x}) / 6 ELSE 0 END"}
+
+
+@query(IMG + """, t AS (SELECT i AS row, j AS col, (i + 0.5) / 1.6 - 0.5 AS sr, (j + 0.5) / 1.6 - 0.5 AS sc FROM range(13) a(i), range(13) b(j)),
+w AS (SELECT t.row, t.col, CAST(floor(sr) AS BIGINT) + a AS srow, CAST(floor(sc) AS BIGINT) + b AS scol, abs(sr - (floor(sr) + a)) AS u, abs(sc - (floor(sc) + b)) AS v FROM t, (SELECT unnest([-1, 0, 1, 2]) AS a), (SELECT unnest([-1, 0, 1, 2]) AS b)),
+k AS (SELECT row, col, srow, scol, """ + f"({_K['cubic'].format(x='u')}) * ({_K['cubic'].format(x='v')}) AS c, ({_K['spline'].format(x='u')}) * ({_K['spline'].format(x='v')}) AS s" + """ FROM w)
+SELECT r.source, k.row, k.col, round(sum(r.value * c) / sum(c), 6) AS cubic, round(sum(r.value * s) / sum(s), 6) AS cubic_spline FROM k JOIN r ON r.row = k.srow AND r.col = k.scol GROUP BY ALL""")
+def warp_cubic(spark, sf_dir):
+    t = spark.range(169).select(F.floor(F.col("id") / 13).cast("bigint").alias("row"), (F.col("id") % 13).alias("col"))
+    own = lambda kind: raster.warp(images(spark, sf_dir), t, (F.col("row") + 0.5) / 1.6 - 0.5, (F.col("col") + 0.5) / 1.6 - 0.5, kind).withColumnRenamed("value", kind)
+    return own("cubic").join(own("cubic_spline"), ["source", "row", "col"]).select("source", "row", "col", F.round("cubic", 6).alias("cubic"), F.round("cubic_spline", 6).alias("cubic_spline"))
+
+
+@query(IMG + """, m AS (SELECT label, row, col, arg_max(value, source) AS value FROM r WHERE value > -0.1 GROUP BY 1, 2, 3),
+w AS (SELECT t.row, t.col, CAST(floor(sr) AS BIGINT) + a AS srow, CAST(floor(sc) AS BIGINT) + b AS scol, (1 - abs(sr - (floor(sr) + a))) * (1 - abs(sc - (floor(sc) + b))) AS w FROM (SELECT i AS row, j AS col, (i + 0.5) / 2 - 0.5 AS sr, (j + 0.5) / 2 - 0.5 AS sc FROM range(16) c(i), range(16) d(j)) t, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+g AS (SELECT label, w.row, w.col, sum(value * w) / sum(w) + CASE WHEN label % 2 = 0 THEN 5 ELSE 0 END AS value FROM w JOIN m ON m.row = w.srow AND m.col = w.scol WHERE w > 0 GROUP BY 1, 2, 3)
+SELECT label, CAST(f AS INT) AS level, CAST(row // f AS BIGINT) AS row, CAST(col // f AS BIGINT) AS col, round(avg(value), 6) AS value, 2010.0 AS epoch FROM g, (SELECT unnest([1, 2, 4]) AS f) GROUP BY ALL""")
+def finalize_chain(spark, sf_dir):
+    tiles = images(spark, sf_dir).withColumn("value", F.when(F.col("value") > -0.1, F.col("value")))
+    t = spark.range(256).select(F.floor(F.col("id") / 16).cast("bigint").alias("row"), (F.col("id") % 16).alias("col"))
+    decisions = tiles.select("label").distinct().withColumn("state", F.when(F.col("label") % 2 == 0, "true").otherwise("false"))
+    out = products.finalize(tiles, t, (F.col("row") + 0.5) / 2 - 0.5, (F.col("col") + 0.5) / 2 - 0.5, ["label"], "source", decisions, F.lit(5.0), levels=(2, 4))
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query(IMG + """, p AS (SELECT source % 60 AS project, CASE WHEN source % 7 = 0 THEN 'dtm_fill' WHEN source % 7 < 3 THEN 'dtm' WHEN source % 7 < 5 THEN 'dsm' ELSE 'intensity' END AS product, value FROM r),
+s AS (SELECT project, product, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi, count(*) AS n FROM p GROUP BY 1, 2), k AS (SELECT * FROM s WHERE product <> 'dtm' OR project NOT IN (SELECT project FROM s WHERE product = 'dtm_fill'))
+SELECT CAST(project AS BIGINT) AS project, product, n, round(CASE WHEN product = 'intensity' THEN lo ELSE min(lo) FILTER (product <> 'intensity') OVER (PARTITION BY project) END, 6) AS clim_lo, round(CASE WHEN product = 'intensity' THEN hi ELSE max(hi) FILTER (product <> 'intensity') OVER (PARTITION BY project) END, 6) AS clim_hi FROM k""")
+def preview_panels(spark, sf_dir):
+    k = F.col("source") % 7
+    own = images(spark, sf_dir).select((F.col("source") % 60).alias("project"), F.when(k == 0, "dtm_fill").when(k < 3, "dtm").when(k < 5, "dsm").otherwise("intensity").alias("product"), "value")
+    return products.preview(own).select("project", "product", "n", F.round("clim_lo", 6).alias("clim_lo"), F.round("clim_hi", 6).alias("clim_hi"))
 
 
 @query(IMG + """, v AS (SELECT DISTINCT source, row, col FROM r WHERE value > 0), s AS (SELECT source, row AS r0, col AS c0, row AS r1, col + 1 AS c1 FROM v UNION ALL SELECT source, row + 1, col, row + 1, col + 1 FROM v UNION ALL SELECT source, row, col, row + 1, col FROM v UNION ALL SELECT source, row, col + 1, row + 1, col + 1 FROM v)
@@ -556,6 +591,55 @@ def geoid_declared(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(k.alias("id"), staging.geoid(g, F.when(k % 2 == 0, "PRVI")).alias("geoid"))
 
 
+@query(DEGREES + """, tl AS (SELECT a AS aoi, x, y FROM range(25) z(a), range(18) c(x), range(15) d(y)), ar2 AS (SELECT aoi, x, y FROM u WHERE NOT (x = aoi % 10 + 2 AND y = aoi % 7 + 3))
+SELECT tl.aoi, tl.x * 20 + tl.y AS tile, 1.0 AS share FROM tl JOIN ar2 USING (aoi, x, y) WHERE EXISTS (SELECT 1 FROM rc WHERE rc.x = tl.x AND rc.y = tl.y)""")
+def tile_select(spark, sf_dir):
+    k = F.col("id")
+    tiles = spark.range(25 * 270).select((k % 25).alias("aoi"), F.floor(k / 25).alias("t")).select("aoi", (F.floor(F.col("t") / 15)).alias("xmin"), (F.col("t") % 15).alias("ymin"))
+    tiles = tiles.select("aoi", (F.col("xmin") * 20 + F.col("ymin")).alias("tile"), "xmin", "ymin", (F.col("xmin") + 1).alias("xmax"), (F.col("ymin") + 1).alias("ymax"))
+    hole = polygons.box_parts(F.col("xmin") + 2, F.col("ymin") + 3, F.col("xmin") + 3, F.col("ymin") + 4)
+    own = areas(spark).select("aoi", F.array(F.concat(polygons.box_parts(*[F.col(c) for c in catalog.BOX])[0], hole[0])).alias("parts"))
+    return staging.select_tiles(tiles, own, ["aoi"], resources=builds(spark, sf_dir)).select("aoi", "tile", F.round("share", 6).alias("share"))
+
+
+@query("""WITH w AS (SELECT unnest(['WU_' || k, 'XX_' || k]) AS workunit FROM (SELECT c_custkey AS k FROM customer)), s AS (SELECT 'WU_' || o_custkey AS workunit, min(o_orderdate) AS start, count(*) AS n FROM orders GROUP BY 1),
+t AS (SELECT workunit, n FROM s WHERE CAST(substr(workunit, 4) AS BIGINT) % 3 <> 0), l AS (SELECT workunit, CASE WHEN CAST(substr(workunit, 4) AS BIGINT) % 5 <> 0 THEN n + CAST(substr(workunit, 4) AS BIGINT) % 2 * 3 END AS links FROM s WHERE CAST(substr(workunit, 4) AS BIGINT) % 4 <> 0),
+j AS (SELECT w.workunit, s.start, s.workunit IS NOT NULL AS known, t.workunit IS NOT NULL OR l.workunit IS NOT NULL AS asked, coalesce(t.n, 0) AS tesm, links, CASE WHEN s.workunit IS NOT NULL AND CAST(substr(w.workunit, 4) AS BIGINT) % 2 = 0 THEN lower(w.workunit) END AS resource FROM w LEFT JOIN s USING (workunit) LEFT JOIN t USING (workunit) LEFT JOIN l USING (workunit))
+SELECT workunit, start, CASE WHEN NOT known THEN 'no such workunit' END AS record_error, resource, CASE WHEN resource IS NULL THEN 'no resource resolves to this workunit' END AS resource_error,
+  CASE WHEN asked THEN CASE WHEN links IS NULL THEN 'links-unavailable' WHEN tesm = 0 AND links = 0 THEN 'no-tiles' WHEN tesm = 0 THEN 'tesm-missing' WHEN tesm < links * 0.95 THEN 'tesm-incomplete' WHEN links < tesm * 0.95 THEN 'links-behind-tesm' ELSE 'consistent' END END AS status, 'out/lpc_cache/' || workunit AS files FROM j""")
+def site_manifest(spark, sf_dir):
+    k = F.col("workunit_id")
+    own = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("workunit_id")).agg(F.min("o_orderdate").alias("start"), F.count(F.lit(1)).alias("n")).withColumn("workunit", F.concat(F.lit("WU_"), k.cast("string")))
+    wanted = read(spark, sf_dir, "customer").select(F.explode(F.array(*[F.concat(F.lit(p), F.col("c_custkey").cast("string")) for p in ("WU_", "XX_")])).alias("workunit"))
+    resolved = catalog.resolve_names(own, own.where(k % 2 == 0).select(F.lower("workunit").alias("name"), "n"), count="n")
+    links = own.where(k % 4 != 0).select("workunit", F.when(k % 5 != 0, F.col("n") + k % 2 * 3).alias("n"))
+    out = staging.site_manifest(wanted, own.select("workunit", "start"), "out/", resolved, own.where(k % 3 != 0).select("workunit", "n"), links)
+    return out.select("workunit", "record.start", "record_error", "resource", "resource_error", "status", "files")
+
+
+@query(SRV + """, c AS (SELECT *, count(*) OVER (PARTITION BY aoi) AS n_candidates, max("end" IS NOT NULL) OVER (PARTITION BY aoi) AS anyd FROM m WHERE workunit_id % 3 = 0),
+d AS (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY "end" DESC NULLS LAST, overlap DESC NULLS LAST, workunit) AS i FROM c WHERE "end" IS NOT NULL OR NOT anyd) SELECT aoi, workunit, 'USGS_LPC_' || workunit || '_LAS_2020' AS resource, CAST(3 AS INT) AS tier, n_candidates FROM d WHERE i = 1""")
+def project_latest(spark, sf_dir):
+    own = surveys(spark, sf_dir)
+    named = own.where("workunit_id % 3 = 0").select(F.concat(F.lit("USGS_LPC_"), "workunit", F.lit("_LAS_2020")).alias("name"), F.col("workunit_id").alias("count"))
+    return catalog.choose(own, named, "latest", ["aoi"]).select("aoi", "workunit", "resource", "tier", "n_candidates")
+
+
+@query("""WITH t AS (SELECT o_custkey AS project, o_orderstatus AS s, CASE WHEN o_custkey % 10 = 0 THEN 'Cannot resume: resolution changed' END AS error FROM orders), c AS (SELECT project, count(*) FILTER (s = 'F') AS ok, count(*) FILTER (s = 'P') AS failed, min(error) AS error FROM t GROUP BY 1)
+SELECT project, CASE WHEN error IS NOT NULL THEN 'failed: ' || error WHEN failed > 0 THEN 'failed: ' || failed || ' tiles' ELSE 'completed' END AS state, CASE WHEN error IS NOT NULL THEN 'start it anew in another folder' WHEN failed > 0 THEN 'run it again to resume' WHEN ok = 0 THEN 'no data' END AS note FROM c""")
+def project_outcomes(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "empty").otherwise("failed")
+    return batch.project_outcomes(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), state.alias("state"), F.when(F.col("o_custkey") % 10 == 0, "Cannot resume: resolution changed").alias("error")))
+
+
+@query("""SELECT c_mktsegment AS area, strftime(min(CASE WHEN c_custkey % 3 <> 0 THEN make_date(2000 + CAST(c_custkey % 20 AS INT), 1, 1) END), '%Y-%m-%d') AS first_start, strftime(max(CASE WHEN c_custkey % 3 <> 0 THEN make_date(2001 + CAST(c_custkey % 20 AS INT), 1, 1) END), '%Y-%m-%d') AS last_end, count(*) AS n_projects, CASE WHEN c_mktsegment > 'C' THEN CAST(sum(c_custkey % 50) AS DOUBLE) END AS tiles FROM customer GROUP BY 1""")
+def preview_footer(spark, sf_dir):
+    k = F.col("c_custkey")
+    year = lambda n: F.when(k % 3 != 0, F.make_date((k % 20 + n).cast("int"), F.lit(1), F.lit(1)))
+    own = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("area"), year(2000).alias("start"), year(2001).alias("end"), F.when((F.col("c_mktsegment") > "C") | (k % 2 == 0), k % 50).alias("tiles"))
+    return products.footer(own, ["area"]).withColumns({"first_start": F.col("first_start").cast("string"), "last_end": F.col("last_end").cast("string"), "tiles": F.col("tiles").cast("double")})
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def resume_antijoin(spark, sf_dir):
     done = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagrid.functions import geo, geodesy, text
-from stratagrid.operators import catalog, conformance, merge, points, polygons, raster, reports, staging, vendor
+from stratagrid.operators import catalog, conformance, merge, points, polygons, products, raster, reports, staging, vendor
 from stratagrid.plans import batch
 from stratagrid.sources import las, readers, writers
 from stratagrid.streaming import epochs
@@ -575,3 +575,59 @@ def test_normalize_fits_to_values_beyond_the_range(spark):
     fits, out = merge.normalize(long(spark, a, "a").unionByName(long(spark, b, "b")), ["a", "b"], min_overlap=50)
     assert fits[1][3] == "overlap-refined" and abs(fits[1][1] / fits[0][1] - 0.5) < 1e-6
     assert {1000.0, 60000.0} >= {r["value"] for r in out.where("value <= 1000 OR value >= 60000").collect()}
+
+
+def test_zones_of_tiles(spark):
+    tiles = lambda *ids: spark.createDataFrame([(x,) for x in ids], "grid_id string")
+    assert staging.one_zone(tiles("11SMA760990", "11TMA000000", "MA760990", None)) == (11, False)
+    assert staging.one_zone(tiles("2LAA000000")) == (2, True) and staging.one_zone(tiles("x")) is None
+    with pytest.raises(ValueError, match="several zones"):
+        staging.one_zone(tiles("11SMA760990", "12SVA760990"))
+
+
+def test_cubic_warps_keep_lines_and_constants(spark):
+    z = np.add.outer(np.arange(12.0) * 3, np.arange(12.0) * 2)
+    t = spark.range(36).select((F.floor(F.col("id") / 6) + 3).cast("bigint").alias("row"), (F.col("id") % 6 + 3).alias("col"))
+    for kind in ("bilinear", "cubic", "cubic_spline"):
+        got = raster.warp(long(spark, z), t, F.col("row") + 0.25, F.col("col") + 0.5, kind).collect()
+        assert len(got) == 36 and all(abs(r["value"] - (3 * (r["row"] + 0.25) + 2 * (r["col"] + 0.5))) < 1e-9 for r in got), kind
+    with pytest.raises(ValueError):
+        raster.warp(long(spark, z), t, F.col("row"), F.col("col"), "lanczos")
+
+
+def test_finalize_refuses_unclear_datums(spark):
+    z = long(spark, np.full((4, 4), 700.0)).withColumn("tile", F.lit(1))
+    t = spark.range(16).select(F.floor(F.col("id") / 4).cast("bigint").alias("row"), (F.col("id") % 4).alias("col"))
+    state = lambda s: spark.createDataFrame([("a", s)], "source string, state string")
+    run = lambda s: products.finalize(z, t, F.col("row"), F.col("col"), ["source"], "tile", state(s), F.lit(-31.0), levels=(2,))
+    assert {r["value"] for r in run("true").collect()} == {669.0} and {r["value"] for r in run("false").collect()} == {700.0}
+    assert run("true").count() == 20 and {r["epoch"] for r in run("true").collect()} == {2010.0}
+    with pytest.raises(Exception, match="datum"):
+        run("error")
+    reference = long(spark, np.full((4, 4), 731.0)).select("row", "col", "value")
+    assert products.datum_decisions(z, reference, F.lit(-31.0), ["source"], least=10).first()["state"] == "false"
+
+
+def test_batch_helpers(spark):
+    out = spark.createDataFrame([("a", "completed", None), ("b", "failed: 2 tiles", None)], "project string, state string, note string")
+    with pytest.raises(RuntimeError, match="1 projects failed, among them b"):
+        batch.finish(out)
+    assert batch.finish(out.where("project = 'a'")) == 1
+    assert batch.output_name("campus", 1.0) == "campus_1m" and batch.output_name("campus", 0.5, "WU_A") == "campus_0.5m_WU_A"
+    assert (batch.span(1.5, 2.0, "m"), batch.span(2, 2), batch.span(None, 2)) == ("1.5-2 m", "2", "")
+
+
+def test_box_after_projection(spark):
+    box = [F.lit(x) for x in (-120.0, 35.0, -114.0, 36.0)]
+    xmin, ymin, xmax, ymax = one(spark, *geo.projected_box(*box, lambda lon, lat: geo.utm(lon, lat, F.lit(11))))
+    corners = [one(spark, *geo.utm(F.lit(x), F.lit(y), F.lit(11))) for x in (-120.0, -114.0) for y in (35.0, 36.0)]
+    # the southern side bows: its middle lies further south than its corners
+    assert xmin == min(c[0] for c in corners) and xmax == max(c[0] for c in corners) and ymin < min(c[1] for c in corners) - 1000 and ymax == max(c[1] for c in corners)
+
+
+def test_grids_of_a_region(spark):
+    get = lambda m, r, **k: one(spark, geodesy.region_grids(F.lit(m).cast("string"), F.lit(r).cast("string"), **k))[0]
+    assert get("GEOID12B", "ak") == ["us_noaa_g2012ba0.tif"] and len(get("GEOID99", "conus")) == 8 and get(None, "ak") is None
+    assert get("GEOID03", "ak", fail=False) is None
+    with pytest.raises(Exception, match="no grid for GEOID03 in ak"):
+        get("GEOID03", "ak")
