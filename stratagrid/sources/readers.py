@@ -76,5 +76,16 @@ def report_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("rank", rank)
 
 
+def rasters(spark: SparkSession, path: str, nodata: float | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """A long raster table (source, row, col, value), as land cover (nodata 0) or a reference elevation model (nodata -32767) is kept;
+    of it the cells in ``box`` (first row, first col, last row, last col), which the scan skips row groups by. Bring it onto another grid with ``warp``."""
+    out = spark.read.parquet(path)
+    if box is not None:
+        out = out.where(F.col("row").between(box[0], box[2]) & F.col("col").between(box[1], box[3]))
+    value = F.col("value").cast("double")
+    fine = ~F.isnan(value) if nodata is None else ~F.isnan(value) & (value != nodata)
+    return out.withColumn("value", F.when(fine, value))
+
+
 def newest(df: DataFrame, by: Sequence[str], value: str, time: str) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by(value, time).alias(value))

@@ -30,3 +30,16 @@ def write_points(points: DataFrame, path: str, by: Sequence[str] = ("tile",), de
     if decimals is not None:
         points = points.withColumns({c: F.round(c, decimals) for c in ("x", "y", "z")})
     points.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_surveys(surveys: DataFrame, gaps: DataFrame, path: str) -> None:
+    """Survey records as JSON lines and their gaps as a table, under ``path``; lists of names become one text, so that any reader takes them."""
+    lists = [c for c, kind in surveys.dtypes if kind == "array<string>"]
+    flat = surveys.withColumns({c: F.array_join(c, ",") for c in lists}) if lists else surveys
+    write_records(flat.drop("parts"), f"{path}/surveys")
+    gaps.write.mode("overwrite").parquet(f"{path}/coverage_gaps")
+
+
+def buffered_area(areas: DataFrame, metres: float = 250.0) -> DataFrame:
+    """``areas`` (xmin, ymin, xmax, ymax in metres) widened on all sides, as they are asked for."""
+    return areas.withColumns({"xmin": F.col("xmin") - metres, "ymin": F.col("ymin") - metres, "xmax": F.col("xmax") + metres, "ymax": F.col("ymax") + metres})

@@ -631,3 +631,28 @@ def test_grids_of_a_region(spark):
     assert get("GEOID03", "ak", fail=False) is None
     with pytest.raises(Exception, match="no grid for GEOID03 in ak"):
         get("GEOID03", "ak")
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    spark.createDataFrame([("a", 0, 0, 0.0), ("a", 0, 1, 40.0), ("a", 5, 1, 50.0), ("a", 0, 2, float("nan"))], "source string, row long, col long, value double").write.parquet(f"{tmp_path}/cover")
+    got = {(r["row"], r["col"]): r["value"] for r in readers.rasters(spark, f"{tmp_path}/cover", 0.0, (0, 0, 2, 2)).collect()}
+    assert got == {(0, 0): None, (0, 1): 40.0, (0, 2): None}
+    back = raster.to_sentinel(raster.from_sentinel(spark.createDataFrame([(1.0,), (-9999.0,), (float("nan"),)], "value double"), -9999.0), -9999.0)
+    assert sorted(r["value"] for r in back.collect()) == [-9999.0, -9999.0, 1.0]
+    (tmp_path / "w.csv").write_text("workunit,ql\nA,1\nB,\n")
+    assert [tuple(r) for r in readers.csv_catalog(spark, f"{tmp_path}/w.csv").orderBy("workunit").collect()] == [("A", "1"), ("B", None)]
+    (tmp_path / "r").mkdir()
+    for name in ("a.xml", "x_ClassifiedPointCloud.xml"):
+        (tmp_path / "r" / name).write_text("one\ntwo")
+    assert [(r["text"], r["rank"]) for r in readers.report_texts(spark, f"{tmp_path}/r").orderBy("rank").collect()] == [("one\ntwo", 0), ("one\ntwo", 2)]
+    runs = spark.createDataFrame([("p", "old", 1), ("p", "new", 2), ("q", "only", 0)], "project string, file string, mtime int")
+    assert {tuple(r) for r in readers.newest(runs, ["project"], "file", "mtime").collect()} == {("p", "new"), ("q", "only")}
+    surveys = spark.createDataFrame([("B", 2, None, ["x", "y"]), ("A", 1, None, []), ("C", None, None, None)], "workunit string, ql int, end date, ept_names array<string>")
+    assert [r["workunit"] for r in catalog.sort_surveys(surveys).collect()] == ["A", "B", "C"]
+    writers.write_surveys(surveys, spark.range(2), f"{tmp_path}/out")
+    assert '{"workunit":"B","ql":2,"end":null,"ept_names":"x,y"}' in {r[0] for r in spark.read.text(f"{tmp_path}/out/surveys").collect()}
+    placed = raster.on_grid(spark.createDataFrame([(10.5, 99.5), (12.0, 98.0)], "x double, y double"), 10.0, 100.0, 1.0).collect()
+    assert [(r["row"], r["col"]) for r in placed] == [(0, 0), (2, 2)]
+    assert one(spark, geodesy.geoid_shift(F.lit(700.0), F.lit(-31.0)), geodesy.geoid_shift(F.lit(700.0), F.lit(-31.0), False)) == (669.0, 731.0)
+    wide = writers.buffered_area(spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], "xmin double, ymin double, xmax double, ymax double")).first()
+    assert tuple(wide) == (-250.0, -250.0, 251.0, 251.0)
