@@ -52,7 +52,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     changes letters beyond ASCII, none of which becomes a word of a phrase, and no word's borders. n_base counts the places of
     phrases; first_word and last_word are the smallest and largest (null: none). labels has also those of the texts of which
     ``COVER`` of the grams are there. score: 1 with a phrase, else the largest share of a text's grams.
-    Null and empty texts have no words, and empty strings for labels. Null keys stay null; repeated rows each give a row.
+    Null and empty texts have no words, and empty strings for labels. Null keys stay null; repeated rows each give a row, and an
+    empty table none. Other columns do not matter.
     """
     need(docs, key, text)
     rows = _templates(phrases, texts)

@@ -531,6 +531,50 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_labels(text):
+    """Labels and score by looking at each template's diagonals one by one."""
+    words, labels, score = alnum(text), set(), 0.0
+    for template, label in {**licenses.PHRASES, **licenses.TEXTS}.items():
+        own = template.split()
+        lines = defaultdict(set)
+        for k in range(len(words) - 1):
+            for j in range(len(own) - 1):
+                if words[k:k + 2] == own[j:j + 2]:
+                    lines[k - j].add(j)
+        grams, spans, last = len(own) - 1, [], None
+        for d in sorted(lines):
+            if template in licenses.PHRASES or last is None or d - last > licenses.NEAR:
+                spans.append(set())
+            spans[-1] |= lines[d]
+            last = d
+        best = max((len(x) / grams for x in spans), default=0.0)
+        if template in licenses.PHRASES:
+            if best == 1:
+                labels.add(label)
+                score = 1.0
+        else:
+            score = max(score, best)
+            labels |= {label} if best >= licenses.COVER else set()
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_licenses_labels_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [r[1] for r in table() if len(r[1] or "") < 5000]
+    for template in licenses.TEXTS:
+        for edits in (0, 2, 5, 9):
+            words = template.title().split()
+            for _ in range(edits):
+                at = rng.randrange(len(words))
+                words[at:at + rng.randint(0, 1)] = rng.choice([[], ["other"], ["two", "more"]])
+            texts.append("so, " + " - ".join(words) + " " + " ".join(rng.sample(template.split(), 9)))
+    texts.append(" and ".join(licenses.TEXTS) + " MIT license")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan(df).collect()}
+    want = {k: brute_labels(t) for k, t in enumerate(texts)}
+    assert got == want and sum(bool(x) for x, _ in want.values()) > 20
+
+
 def test_licenses_edited_text(spark):
     text = next(t for t, x in licenses.TEXTS.items() if x == "mit-text").upper().split()
     del text[9]
