@@ -36,7 +36,17 @@ def resolve_names(surveys: DataFrame, resources: DataFrame, survey: str = "worku
 
 
 def sort_surveys(surveys: DataFrame) -> DataFrame:
-    return surveys.orderBy(F.col("ql").asc_nulls_last(), F.col("end").desc_nulls_last())
+    """By quality level, then the latest first; of equal ones the order is not told."""
+    return surveys.orderBy(*_survey_order())
+
+
+def _survey_order() -> list[Column]:
+    return [F.col("ql").asc_nulls_last(), F.col("end").desc_nulls_last()]
+
+
+def survey_places(surveys: DataFrame, by: Sequence[str], ties: Sequence[str] = ("workunit",)) -> DataFrame:
+    """``surveys`` with place, from 1, in the order of ``sort_surveys``, for each area."""
+    return surveys.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*_survey_order(), *[F.col(t).asc() for t in ties])))
 
 
 def assign_epochs(surveys: DataFrame, by: Sequence[str], order: Sequence[str], gap_days: float = 1.5 * 365.25, start: str = "start", end: str = "end") -> DataFrame:

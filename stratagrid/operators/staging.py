@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import box_area_m2, boxes_touch, grid_square, grid_zone
@@ -126,8 +126,6 @@ def null_audit(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
 
 def first_names(df: DataFrame, by: Sequence[str], name: str, n: int = EXAMPLES) -> DataFrame:
     """The first ``n`` distinct names of each group, sorted. Spark keeps n per group and task only (a top-k window)."""
-    from pyspark.sql import Window
-
     ranked = df.select(*by, name).distinct().withColumn("sg_n", F.row_number().over(Window.partitionBy(*by).orderBy(name))).where(F.col("sg_n") <= n)
     return ranked.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(name)), ",").alias("examples"))
 
@@ -141,8 +139,9 @@ def findings(df: DataFrame, rules: Sequence[tuple[str, str, Column]], name: str)
 
 
 def by_severity(found: DataFrame) -> DataFrame:
+    """``found`` with place, the most severe and most frequent first, and in this order. One row per check: a constant number in one task."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return found.orderBy(rank, F.col("count").desc(), "check")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, F.col("count").desc(), "check"))).orderBy("place")
 
 
 def geoid(declared: Column, region: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geo, geodesy, text
-from .operators import catalog, conformance, merge, points, polygons, products, raster, reports, staging, vendor
+from .operators import catalog, conformance, merge, points, polygons, preflight, products, raster, reports, staging, vendor
 from .plans import batch
 from .plans.tables import written
 from .streaming import epochs
@@ -195,6 +195,15 @@ def hag_nearest(spark, sf_dir):
     return points.height_above_ground(cloud(spark, sf_dir)).select("x", "y", "z", F.round("hag", 6).alias("hag"))
 
 
+@query(PTS + """, u AS (SELECT DISTINCT tile, x, y FROM p), g AS (SELECT tile, x AS gx, y AS gy, z AS gz FROM p WHERE cls = 2),
+b AS (SELECT tile, x, y, min(struct_pack(d2 := (x - gx) * (x - gx) + (y - gy) * (y - gy), gz := gz)) AS best FROM u JOIN g USING (tile) GROUP BY 1, 2, 3),
+h AS (SELECT p.*, coalesce(z - best.gz > 12, false) AS high FROM p LEFT JOIN b USING (tile, x, y))
+SELECT CAST(floor(y) AS BIGINT) AS row, CAST(floor(x) AS BIGINT) AS col, max(z) AS value, count(*) AS n FROM h WHERE NOT high AND cls NOT IN (7, 11, 18) GROUP BY 1, 2""")
+def dsm_hag(spark, sf_dir):
+    marked = points.mark_high(points.height_above_ground(cloud(spark, sf_dir)), 12.0)
+    return points.grid_max(points.drop_classes(marked, points.LOW_NOISE, points.HIGH_NOISE, points.ROAD), 1.0)
+
+
 # --- rasters -------------------------------------------------------------------------------------------------------------
 
 @query(IMG + " SELECT row, col, arg_max(value, source) AS value, max(source) AS \"from\" FROM r WHERE label <> 0 OR value > 0 GROUP BY 1, 2")
@@ -406,6 +415,11 @@ def rank_surveys(spark, sf_dir):
     return catalog.rank_collections(related, ["aoi"]).select("aoi", "workunit", "priority")
 
 
+@query(SRV + """ SELECT aoi, workunit, CAST(row_number() OVER (PARTITION BY aoi ORDER BY ql NULLS LAST, "end" DESC NULLS LAST, workunit) AS INT) AS place FROM m""")
+def survey_order(spark, sf_dir):
+    return catalog.survey_places(surveys(spark, sf_dir), ["aoi"]).select("aoi", "workunit", "place")
+
+
 @query(SRV + """, c AS (SELECT *, count(*) OVER (PARTITION BY aoi) AS n_candidates, max("end" IS NOT NULL) OVER (PARTITION BY aoi) AS anyd FROM m),
 d AS (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY "end" DESC NULLS LAST, overlap DESC NULLS LAST, workunit) AS i FROM c WHERE "end" IS NOT NULL OR NOT anyd) SELECT aoi, workunit, n_candidates, "end" IS NULL AS undated FROM d WHERE i = 1""")
 def latest_survey(spark, sf_dir):
@@ -577,7 +591,7 @@ def audit_values(spark, sf_dir):
 
 
 @query(SRV + """, l AS (SELECT unnest(['low quality', 'undated', 'unknown geoid']) AS "check", unnest(['blocker', 'warning', 'info']) AS severity, unnest([coalesce(ql IN ('QL 3', 'QL 4'), false), start IS NULL, geoid IS NULL]) AS bad FROM m)
-SELECT "check", severity, count(*) FILTER (bad) AS count, count(*) AS total, count(*) FILTER (bad) / count(*) AS fraction FROM l GROUP BY 1, 2 HAVING count(*) FILTER (bad) > 0""")
+SELECT *, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'blocker' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, count DESC, "check") AS INT) AS place FROM (SELECT "check", severity, count(*) FILTER (bad) AS count, count(*) AS total, count(*) FILTER (bad) / count(*) AS fraction FROM l GROUP BY 1, 2 HAVING count(*) FILTER (bad) > 0)""")
 def audit_findings(spark, sf_dir):
     rules = [("low quality", "blocker", F.col("ql").isin("QL 3", "QL 4")), ("undated", "warning", F.col("start").isNull()), ("unknown geoid", "info", F.col("geoid").isNull())]
     return staging.by_severity(staging.findings(surveys(spark, sf_dir), rules, "workunit"))
@@ -859,6 +873,24 @@ def aoi_region(spark, sf_dir):
     return places(spark, sf_dir).select("id", geo.first_region(F.col("lon"), F.col("lat"), REGIONS).alias("region"))
 
 
+@query(PLACE + """, s AS (SELECT id, lon, lat, CASE id % 3 WHEN 0 THEN ['a.tif'] WHEN 1 THEN ['b.tif', 'c.tif'] END AS want FROM c),
+o AS (SELECT id, r AS rank, CASE r WHEN 1 THEN ['a.tif'] WHEN 2 THEN ['b.tif', 'c.tif'] ELSE ['b.tif'] END AS have, NOT (r = 1 AND id % 7 = 0) AS there, CASE r WHEN 1 THEN 10.0 WHEN 2 THEN CASE WHEN id % 5 = 0 THEN 13.0 ELSE 11.0 END ELSE 10.5 END AS shift, r = 1 AS everywhere FROM c, range(1, 4) t(r) WHERE NOT (r = 2 AND id % 11 = 0)),
+j AS (SELECT s.*, rank, there, everywhere, shift, want IS NULL OR list_has_all(have, want) AS fits, arg_min(shift, rank) OVER (PARTITION BY s.id) AS base FROM s JOIN o ON o.id = s.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fits DESC, rank) AS i FROM j)
+SELECT id, CAST(CASE WHEN fits THEN rank END AS DOUBLE) AS rank, CASE WHEN NOT fits THEN 'no operation' WHEN NOT there THEN 'grids missing' WHEN NOT (everywhere OR (lat BETWEEN -60 AND 60 AND (lon >= 150 OR lon + 0.5 <= -30))) THEN 'area outside' WHEN abs(shift - base) > 2 THEN 'not sane' ELSE 'ok' END AS state FROM k WHERE i = 1""")
+def vertical_preflight(spark, sf_dir):
+    i, lon, lat = F.col("id"), F.col("lon"), F.col("lat")
+    names = lambda *x: F.array(*[F.lit(f"{n}.tif") for n in x])
+    own = places(spark, sf_dir)
+    wanted = own.select("id", F.when(i % 3 == 0, names("a")).when(i % 3 == 1, names("b", "c")).alias("grids"), lon.alias("west"), lat.alias("south"), (lon + 0.5).alias("east"), lat.alias("north"))
+    rank = F.col("rank")
+    ops = own.select("id", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("rank")).where(~((rank == 2) & (i % 11 == 0)))
+    ops = ops.select("id", "rank", F.when(rank == 1, names("a")).when(rank == 2, names("b", "c")).otherwise(names("b")).alias("grids"), (~((rank == 1) & (i % 7 == 0))).alias("there"),
+                     F.when(rank == 1, 10.0).when(rank == 2, F.when(i % 5 == 0, 13.0).otherwise(11.0)).otherwise(10.5).alias("shift"),
+                     *[F.when(rank == 1, float(a)).otherwise(float(b)).alias(c) for c, a, b in (("west", -180, 150), ("south", -90, -60), ("east", 180, -30), ("north", 90, 60))])
+    return preflight.choose_operations(wanted, ops, ["id"]).select("id", rank.cast("double").alias("rank"), "state")
+
+
 @query(PLACE + " SELECT id, round(0.1 + 10 * 0.001 + (1 + 1e-9) * (lon * 1e4 - 2e-8 * lat * 1e4 + 3e-8 * 5e3), 4) AS x, round(0.2 + (1 + 1e-9) * (2e-8 * lon * 1e4 + lat * 1e4 - 1e-8 * 5e3), 4) AS y, round(0.3 + (1 + 1e-9) * (1e-8 * lat * 1e4 - 3e-8 * lon * 1e4 + 5e3), 4) AS z FROM c")
 def helmert_xyz(spark, sf_dir):
     xyz = geo.helmert(F.col("lon") * 1e4, F.col("lat") * 1e4, F.lit(5e3), F.lit(10.0), {"tx": 0.1, "ty": 0.2, "tz": 0.3, "rx": 1e-8, "ry": 3e-8, "rz": 2e-8, "s": 1e-9}, {"tx": 0.001})

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagrid.functions import geo, geodesy, text
-from stratagrid.operators import catalog, conformance, merge, points, polygons, products, raster, reports, staging, vendor
+from stratagrid.operators import catalog, conformance, merge, points, polygons, preflight, products, raster, reports, staging, vendor
 from stratagrid.plans import batch
 from stratagrid.sources import las, readers, writers
 from stratagrid.streaming import epochs
@@ -656,3 +656,17 @@ def test_small_readers_and_writers(spark, tmp_path):
     assert one(spark, geodesy.geoid_shift(F.lit(700.0), F.lit(-31.0)), geodesy.geoid_shift(F.lit(700.0), F.lit(-31.0), False)) == (669.0, 731.0)
     wide = writers.buffered_area(spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], "xmin double, ymin double, xmax double, ymax double")).first()
     assert tuple(wide) == (-250.0, -250.0, 251.0, 251.0)
+
+
+def test_vertical_preflight(spark):
+    ops = [("a", 1, ["g18.tif"], True, -31.0, -130.0, 20.0, -60.0, 50.0), ("a", 2, ["g12.tif"], True, -31.5, -130.0, 20.0, -60.0, 50.0), ("a", 3, ["far.tif"], True, -40.0, -130.0, 20.0, -60.0, 50.0), ("c", 1, ["p.tif"], True, 1.0, 170.0, -60.0, -150.0, 60.0), ("d", 1, ["p.tif"], True, 1.0, 170.0, -60.0, -150.0, 60.0), ("e", 1, ["p.tif"], False, 1.0, -180.0, -90.0, 180.0, 90.0)]
+    operations = spark.createDataFrame(ops, "s string, rank int, grids array<string>, there boolean, shift double, west double, south double, east double, north double")
+    rows = lambda *x: spark.createDataFrame(list(x), "s string, grids array<string>, west double, south double, east double, north double")
+    pick = lambda *x: tuple(preflight.choose_operations(rows(x), operations, ["s"]).select("rank", "state").first())
+    box = (-115.5, 35.9, -114.9, 36.4)
+    assert pick("a", None, *box) == (1, "ok") and pick("a", ["g12.tif"], *box) == (2, "ok")
+    assert pick("a", ["far.tif"], *box) == (3, "not sane") and pick("a", ["none.tif"], *box) == (None, "no operation") and pick("b", None, *box) == (None, "no operation")
+    assert pick("a", None, -140.0, 30.0, -120.0, 31.0) == (1, "area outside") and pick("e", None, *box) == (1, "grids missing")
+    assert pick("c", None, 178.0, 0.0, -178.0, 1.0) == (1, "ok") and pick("d", None, -155.0, 0.0, 175.0, 1.0) == (1, "area outside")
+    with pytest.raises(ValueError, match="no operation"):
+        preflight.require(preflight.choose_operations(rows(("b", None, *box)), operations, ["s"]), ["s"])
