@@ -16,7 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "file string, x double, y double, z double, intensity int, rn short, nr short, cls short, source_id int, gps_time double"
 #: Records in one part.
 PART = 1_000_000
-#: Where the GPS time is in the point formats that have one (fixed values).
+#: The record that has a CRS as text; where the GPS time is in the point formats that have one (fixed values).
+WKT = 2112
 TIME_AT = {1: 20, 3: 20, 4: 20, 5: 20, 6: 22, 7: 22, 8: 22, 9: 22, 10: 22}
 
 
@@ -43,6 +44,22 @@ def header(path: str) -> dict:
     return {"version": f"{h[24]}.{h[25]}", "start": start, "format": kind & 0x3F, "length": length, "n": n, "scale": numbers[:3], "offset": numbers[3:6], "xmin": numbers[7], "ymin": numbers[9], "xmax": numbers[6], "ymax": numbers[8]}
 
 
+def crs(path: str) -> str | None:
+    """The well-known text of a file's coordinate reference system, from its variable-length records; None if it has none."""
+    files, at = _open(path)
+    with files.open_input_file(at) as f:
+        h = f.read_at(104, 0)
+        if h[:4] != b"LASF":
+            raise ValueError(f"{path} is not a LAS file")
+        place, n = struct.unpack_from("<H", h, 94)[0], struct.unpack_from("<I", h, 100)[0]
+        for _ in range(n):
+            user, number, length = struct.unpack_from("<2x16sHH", f.read_at(54, place))
+            if user.rstrip(b"\0") == b"LASF_Projection" and number == WKT:
+                return f.read_at(length, place + 54).rstrip(b"\0").decode()
+            place += 54 + length
+    return None
+
+
 def decode(data: bytes, h: dict) -> dict[str, np.ndarray]:
     """Columns of whole records."""
     raw = np.frombuffer(data, np.uint8).reshape(-1, h["length"])

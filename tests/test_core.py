@@ -670,3 +670,19 @@ def test_vertical_preflight(spark):
     assert pick("c", None, 178.0, 0.0, -178.0, 1.0) == (1, "ok") and pick("d", None, -155.0, 0.0, 175.0, 1.0) == (1, "area outside")
     with pytest.raises(ValueError, match="no operation"):
         preflight.require(preflight.choose_operations(rows(("b", None, *box)), operations, ["s"]), ["s"])
+
+
+def test_las_crs(tmp_path):
+    write_las(tmp_path / "a.las", 1)
+    assert las.crs(str(tmp_path / "a.las")) is None
+    data = (tmp_path / "a.las").read_bytes()
+    record = lambda user, number, body: struct.pack("<2x16sHH32x", user, number, len(body)) + body
+    records = record(b"other", 1, b"xy") + record(b"LASF_Projection", 2112, b'PROJCS["x"]\0')
+    head = bytearray(data[:375])
+    struct.pack_into("<II", head, 96, 375 + len(records), 2)
+    (tmp_path / "b.las").write_bytes(bytes(head) + records + data[375:])
+    assert las.crs(str(tmp_path / "b.las")) == 'PROJCS["x"]'
+    assert las.header(str(tmp_path / "b.las"))["n"] == 1
+    (tmp_path / "c.las").write_bytes(b"nothing" * 40)
+    with pytest.raises(ValueError):
+        las.crs(str(tmp_path / "c.las"))
