@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import clash, held, need
 
 #: Splits text before the merges (fixed value of the public vocabularies).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -219,22 +219,11 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
-    """One codec in each worker."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
-
-
 def _shipped(df: DataFrame, path: str, pattern: str):
     ranks = read_ranks(path)
     key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
     shipped = df.sparkSession.sparkContext.broadcast(ranks)
-    return lambda: _codec(key, shipped.value, pattern)
+    return lambda: held(key, lambda: Codec(shipped.value, pattern))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN) -> DataFrame:
@@ -244,8 +233,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", patte
     existing column ``ids`` is an error.
     """
     need(df, text)
-    if ids.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"there is a column {ids!r} already")
+    clash(df, ids)
     codec = _shipped(df, path, pattern)
     schema = df.withColumn(ids, F.lit(None).cast("array<int>")).schema
 
@@ -261,8 +249,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", patte
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", pattern: str = PATTERN) -> DataFrame:
-    """``df`` with the column ``into`` (binary): the bytes that ``ids`` stand for; null ids give empty bytes. An id that the vocabulary lacks is an error."""
+    """``df`` with the column ``into`` (binary): the bytes that ``ids`` stand for; null ids give empty bytes. An id that the vocabulary
+    lacks is an error, and so is a column ``into`` that is there before. No rows give none."""
     need(df, ids)
+    clash(df, into)
     codec = _shipped(df, path, pattern)
     schema = df.withColumn(into, F.lit(None).cast("binary")).schema
 
@@ -279,11 +269,13 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", p
     """Per row: ``key``, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the decoded bytes).
 
     Encoding and decoding in one pass, so ids do not travel between Spark and Python. Null and empty texts: no ids, and the
-    digests of nothing. A null key stays null; repeated rows each give a row.
+    digests of nothing. A null key stays null; repeated rows each give a row, and no rows none. Other columns do not matter.
     """
     need(df, key, text)
+    clash(df.select(key), "n_tokens", "ids_sha256", "decoded_sha256")
     codec = _shipped(df, path, pattern)
-    schema = df.select(key).schema.simpleString()[len("struct<"):-1].replace(":", " ", 1) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
+    none = F.lit(None)
+    schema = df.select(key).withColumns({"n_tokens": none.cast("bigint"), "ids_sha256": none.cast("string"), "decoded_sha256": none.cast("string")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()

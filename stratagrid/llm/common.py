@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_slot: list = [None, None]
+
+
+def held(key: str, build: Callable[[], object]):
+    """What ``build`` makes, made once for ``key`` in each worker. A worker holds one such thing: what another operator, or another
+    run, has left there goes first."""
+    if _slot[0] != key:
+        _slot[:] = None, None
+        _slot[:] = key, build()
+    return _slot[1]
+
+
+def let_go() -> None:
+    """Frees what ``held`` holds in this worker, for operators that hold nothing themselves."""
+    _slot[:] = None, None
+
+
 def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

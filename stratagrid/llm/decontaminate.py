@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, clash, fresh, need, new_path, utf8, written
+from .common import ALNUM_WORDS, clash, fresh, held, need, new_path, utf8, written
 
 #: Words in a window.
 WINDOW = 10
@@ -144,16 +144,6 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[
         yield held
 
 
-_built: dict[str, Benchmark] = {}
-
-
-def _once(key: str, block, window: int) -> Benchmark:
-    if key not in _built:
-        _built.clear()
-        _built[key] = Benchmark(block.value, window)
-    return _built[key]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
     """Per row of ``docs``: ``key``, n_words, n_hit, n_items, items_sha256, contaminated, and ``hits``, the hit word spans [start, end).
 
@@ -178,10 +168,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     if after is None:
         search = _search(spark.sparkContext.broadcast(block), window)
         return _summed(base, text, lambda _, words: [search().hits(w) for w in words], stay)
-    held, path = written(base.withColumn(row, F.monotonically_increasing_id()), "decontaminate"), new_path(spark, "hits")
+    numbered, path = written(base.withColumn(row, F.monotonically_increasing_id()), "decontaminate"), new_path(spark, "hits")
     while block is not None:
         shipped = spark.sparkContext.broadcast(block)
-        _hits(held.select(row, text), _search(shipped, window), row, text, spans, items).write.mode("append").parquet(path)
+        _hits(numbered.select(row, text), _search(shipped, window), row, text, spans, items).write.mode("append").parquet(path)
         shipped.destroy()
         block, after = after, next(blocks, None)
     hits = spark.read.schema(f"{row} long, {spans} array<bigint>, {items} array<string>").parquet(path)
@@ -191,13 +181,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         flat = [x or [] for x in batch.column(spans).to_pylist()]
         return [(_joined(list(zip(x[::2], x[1::2], strict=True))), i or []) for x, i in zip(flat, batch.column(items).to_pylist(), strict=True)]
 
-    return _summed(held.join(by_row, row, "left").drop(row), text, both, stay)
+    return _summed(numbered.join(by_row, row, "left").drop(row), text, both, stay)
 
 
 def _search(shipped, window: int) -> Callable[[], Benchmark]:
     """The searches of a block, built once in each worker."""
     identity = uuid.uuid4().hex
-    return lambda: _once(identity, shipped, window)
+    return lambda: held(identity, lambda: Benchmark(shipped.value, window))
 
 
 def _hits(df: DataFrame, search: Callable[[], Benchmark], row: str, text: str, spans: str, items: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clash, fresh, need, new_path, utf8, written
+from .common import clash, fresh, held, let_go, need, new_path, utf8, written
 
 #: Code points that a line's key has at least, and documents that hold it at least.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -112,6 +112,7 @@ def line_counts(docs: DataFrame, key: str, text: str, min_chars: int, least: int
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keeper", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
@@ -180,16 +181,6 @@ class Index:
         return out
 
 
-_indexes: dict[str, Index] = {}
-
-
-def _held(name: str, shipped, shards: int, min_docs: int) -> Index:
-    if name not in _indexes:
-        _indexes.clear()
-        _indexes[name] = Index(shipped.value, shards, min_docs)
-    return _indexes[name]
-
-
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``docs`` with ``text`` without the lines that recur, and n_lines (before), n_dropped, kept_sha256.
 
@@ -227,25 +218,25 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
             if not flat:
                 return [()] * len(found)
             keys = [k for k, own in zip(batch.column(key).to_pylist(), found, strict=True) for _ in own]
-            goes = iter(_held(name, shipped, shards, min_docs).drops(np.frombuffer(flat, "<i8").reshape(-1, 2), keys).tolist())
+            goes = iter(held(name, lambda: Index(shipped.value, shards, min_docs)).drops(np.frombuffer(flat, "<i8").reshape(-1, 2), keys).tolist())
             return [[j for j, _ in own if next(goes)] for own in found]
 
         return _kept(docs, text, probe, docs.columns)
     row, drop = fresh(docs, "sg_row", "sg_drop")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
     hashes = new_path(spark, "line-hashes")
-    _hashes(held.select(F.col(row).alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), min_chars).withColumn("pass", F.floor(F.pmod(F.col("h1"), F.lit(shards)) / per_pass).cast("int")).write.partitionBy("pass").parquet(hashes)
+    _hashes(numbered.select(F.col(row).alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), min_chars).withColumn("pass", F.floor(F.pmod(F.col("h1"), F.lit(shards)) / per_pass).cast("int")).write.partitionBy("pass").parquet(hashes)
     table, drops = spark.read.parquet(hashes), new_path(spark, "line-drops")
     for number in range(-(-shards // per_pass)):
         shipped, name = some(number * per_pass)
         _dropped(table.where(F.col("pass") == number).select("row", "key", "line", "h1", "h2"), shipped, name, shards, min_docs).write.mode("append").parquet(drops)
         shipped.destroy()
     by_row = spark.read.schema("row long, line int").parquet(drops).groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(drop))
-    return _kept(held.join(by_row, row, "left"), text, lambda batch: [x or () for x in batch.column(drop).to_pylist()], docs.columns)
+    return _kept(numbered.join(by_row, row, "left"), text, lambda batch: [x or () for x in batch.column(drop).to_pylist()], docs.columns)
 
 
-def _hashes(held: DataFrame, min_chars: int) -> DataFrame:
-    """row, key, line number and hash (h1, h2) of each long line of ``held`` (row, key, text)."""
+def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """row, key, line number and hash (h1, h2) of each long line of ``docs`` (row, key, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
@@ -255,7 +246,7 @@ def _hashes(held: DataFrame, min_chars: int) -> DataFrame:
                 h = np.frombuffer(b"".join([x for own in found for _, x in own]), "<i8").reshape(-1, 2) if len(at) else np.zeros((0, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("key").take(at), pa.array([j for own in found for j, _ in own], pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["row", "key", "line", "h1", "h2"])
 
-    return held.mapInArrow(run, "row long, key long, line int, h1 long, h2 long")
+    return docs.mapInArrow(run, "row long, key long, line int, h1 long, h2 long")
 
 
 def _dropped(table: DataFrame, shipped, name: str, shards: int, min_docs: int) -> DataFrame:
@@ -263,7 +254,7 @@ def _dropped(table: DataFrame, shipped, name: str, shards: int, min_docs: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.column_stack([batch.column(c).to_numpy() for c in ("h1", "h2")])
-            goes = pa.array(_held(name, shipped, shards, min_docs).drops(h, batch.column("key").to_pylist()))
+            goes = pa.array(held(name, lambda: Index(shipped.value, shards, min_docs)).drops(h, batch.column("key").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(goes) for c in ("row", "line")], names=["row", "line"])
 
     return table.mapInArrow(run, "row long, line int")

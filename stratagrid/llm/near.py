@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, utf8, written
+from .common import let_go, shingle_hashes, utf8, written
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction, so that comparing is exact.
@@ -108,6 +108,7 @@ def marked(docs: DataFrame, text: str, shingle: int, names: list[str]) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        let_go()
         for whole in batches:
             for first in range(0, whole.num_rows, 1024):
                 batch = whole.slice(first, 1024)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, clash, need, utf8, written
+from .common import ALNUM_WORDS, clash, let_go, need, utf8, written
 
 #: Labelled rows that the models are fitted on: those with the smallest hashes of their ids. All others are scored only.
 SAMPLE = 6_000
@@ -131,6 +131,7 @@ class Chain:
         shipped = df.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
             chain = shipped.value
             for whole in batches:
                 for first in range(0, whole.num_rows, 1024):
