@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_dedup, sharding, simhash, topk, toxicity, url_filter, warc
+from . import bpe, decontaminate, licenses, line_dedup, periodic, sharding, simhash, topk, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,7 +65,29 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_decontamination, op4_toxicity, op5_topk, op6_simhash, op7_sharding, op8_line_dedup, op9_licenses, op10_url_filter)}
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and the text that op11 reads: of every tenth document, by the CRC of its id, the words from one place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).alias("words"))
+    n = F.size("words")
+    placed = words.select("doc_id", "text", "words", n.alias("n"), F.when(n > 0, F.col("g") % n).cast("int").alias("a"), (3 + F.col("g") % 8).cast("int").alias("parts"))
+    placed = placed.withColumn("p", F.floor((F.col("n") - F.col("a")) / F.col("parts")).cast("int") + 1)
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.flatten(F.array_repeat(block, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    repeated = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n")), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_repeats(_read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_decontamination, op4_toxicity, op5_topk, op6_simhash, op7_sharding, op8_line_dedup, op9_licenses, op10_url_filter, op11_periodic)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
