@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_dedup, periodic, sharding, simhash, topk, toxicity, url_filter, warc
+from . import bpe, decontaminate, licenses, line_dedup, periodic, prefix_trie, sharding, simhash, topk, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,7 +87,18 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_decontamination, op4_toxicity, op5_topk, op6_simhash, op7_sharding, op8_line_dedup, op9_licenses, op10_url_filter, op11_periodic)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.collect_turns(_read(spark, sf_dir, "conversations"))
+    # each conversation begins with the first h turns of the one whose id is the next lower multiple of five
+    base, h = F.col("conv_id") - F.pmod("conv_id", F.lit(5)), F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    head = F.first(F.when(F.col("conv_id") == F.col("base"), F.slice("turns", 1, 8)), ignorenulls=True).over(Window.partitionBy("base"))
+    both = turns.withColumn("base", base).withColumn("head", head).withColumn("h", h.cast("int"))
+    none = F.slice("turns", F.lit(1), F.lit(0))
+    rebuilt = F.concat(F.coalesce(F.slice("head", F.lit(1), F.col("h")), none), F.slice("turns", F.col("h") + 1, F.size("turns")))
+    return prefix_trie.trie(both.select("conv_id", rebuilt.alias("turns")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_decontamination, op4_toxicity, op5_topk, op6_simhash, op7_sharding, op8_line_dedup, op9_licenses, op10_url_filter, op11_periodic, op13_prefix_trie)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -131,4 +142,20 @@ WITH r(rhost, rpath, ruled) AS (VALUES {', '.join(str(x) for x in RULES)}),
 u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_LOWER}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
 SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, coalesce(arg_max(ruled, length(rhost || rpath)), 'allow') AS verdict
 FROM u LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL""",
+    # crc32 bit by bit: 3988292384 is its polynomial
+    "op13_prefix_trie": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, generate_series(0, 8 * len(CAST(conv_id AS VARCHAR)) - 1)),
+  lambda a, i: xor(xor(a, CASE WHEN i % 8 = 0 THEN ord(substr(CAST(conv_id AS VARCHAR), i // 8 + 1, 1)) ELSE 0 END) >> 1, 3988292384 * (xor(a, CASE WHEN i % 8 = 0 THEN ord(substr(CAST(conv_id AS VARCHAR), i // 8 + 1, 1)) ELSE 0 END) & 1))), 4294967295) % 9 AS h FROM t),
+r AS (SELECT c.conv_id, t.k, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h UNION ALL SELECT c.conv_id, t.k + 1000, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d, sha256(strlen(role) || ':' || role || text) AS x, strlen(text) AS b FROM r),
+p AS (SELECT conv_id, d, b, string_agg(x, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d) AS node, string_agg(x, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM s
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+m AS (SELECT *, CASE WHEN d > 0 THEN coalesce(up, '') END AS parent, max(d) OVER (PARTITION BY conv_id) AS most FROM p),
+n AS (SELECT node, parent, d, min(conv_id) AS conv_id, count(*) AS n, max(b) AS b, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = most), '')) AS ends FROM m GROUP BY node, parent, d),
+k AS (SELECT parent AS node, count(*) AS children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+f AS (SELECT node, d, (n - 1) * b AS saved, CASE WHEN children IS NULL THEN 1 ELSE 0 END AS leaf FROM n LEFT JOIN k USING (node)),
+below AS (SELECT a.node, sum(f.leaf) AS leaves, sum(f.saved) AS saved FROM n a JOIN f ON starts_with(f.node, a.node) GROUP BY a.node)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.children, 0) AS n_children, CAST(below.leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n LEFT JOIN n u ON u.node = n.parent LEFT JOIN k ON k.node = n.node JOIN below ON below.node = n.node""",
 }
