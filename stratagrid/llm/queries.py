@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_dedup, periodic, prefix_trie, sharding, simhash, topk, toxicity, url_filter, warc
+from . import bpe, decontaminate, langid, licenses, line_dedup, periodic, prefix_trie, sharding, simhash, topk, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,6 +87,13 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), docs.where(~held_out))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.collect_turns(_read(spark, sf_dir, "conversations"))
     # each conversation begins with the first h turns of the one whose id is the next lower multiple of five
@@ -98,7 +105,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(both.select("conv_id", rebuilt.alias("turns")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_decontamination, op4_toxicity, op5_topk, op6_simhash, op7_sharding, op8_line_dedup, op9_licenses, op10_url_filter, op11_periodic, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_decontamination, op4_toxicity, op5_topk, op6_simhash, op7_sharding, op8_line_dedup, op9_licenses, op10_url_filter, op11_periodic, op12_langid, op13_prefix_trie)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
