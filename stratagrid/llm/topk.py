@@ -1,20 +1,26 @@
 """Operator 5: exact top-k search with a vector-approximation file.
 
-The file holds vectors in chunks. Of each chunk it has the approximations, that is the number of the cell, of 2**BITS per
-component, in which each component lies, and the cells' edges; and, in a column of its own, the exact vectors. A scan of the
-cells bounds each score from above and below. Then exact vectors are read in the order of their bounds, best first, until no
-vector left can still be among the k best: of the exact column only those vectors are ever decoded.
+The approximations are a table of chunks: of each vector the number of the cell, of 2**BITS per component, in which each
+component lies, the cells' edges, and where the exact vector is. The exact vectors are in files of their own, one behind the
+other, so that any of them can be read alone.
 
-Queries are taken in blocks of bounded size. Each goes to all parts of the file, which stay where they lie; every part gives
-its k best for each query, and Spark keeps the k best of those.
+A scan of the cells bounds each score from above and below; what can't be among the k best of its part any more is left out at
+once, and what can't be among the k best of all, once the k-th lower bound over all parts is known. Exact vectors are then
+read one by one, in the order of their bounds, best first, until no vector left can still be among the k best. No other part of
+the exact files is ever read.
+
+Queries are taken in blocks of bounded size, which go to all parts of the table; a query's candidates come to one task in order,
+as a stream. Of vectors that are equal within a chunk, only those with the least ids that can ever be needed are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +29,11 @@ from .common import need, new_path, written
 K, SCALE, BITS = 5, 256, 8
 #: Numbers in the queries of one block: 8 MB go to the workers at once.
 BLOCK_NUMBERS = 1 << 20
-#: Vectors of a chunk, queries that are searched for together, and exact vectors read per query and round.
-CHUNK, TOGETHER, ROUND = 4_096, 512, 16
-FILE = "n int, most double, ids binary, low binary, width binary, cells binary, kind string, exact binary"
+#: Vectors of a chunk, queries that are searched for together, exact vectors read between two looks at the k-th score, and files that a task keeps open.
+CHUNK, TOGETHER, ROUND, OPEN = 4_096, 512, 8, 64
+TABLE = "n int, most double, ids binary, low binary, width binary, cells binary, kind string, file string, place long"
+CANDIDATE = "query_id long, copy long, upper double, lower double, vec_id long, kind string, file string, at long"
+FOUND = "query_id long, copy long, rank int, vec_id long, score long"
 
 
 def whole_numbers(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -60,141 +68,205 @@ class Cells:
         return size @ ((self.width - 1) / 2) + (len(self.low) + 4) * 2.0**-23 * (size @ farthest) + 1
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: Cells, exact: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> int:
-    """Brings ``best`` (scores, ids; each queries x k, the best first) up to date with a chunk. Scores exclude the query's own id.
+def candidates(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: Cells, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, upper, lower bound) of what a chunk has that may be among the k best, by the lower bounds seen so far.
 
-    Returns how many exact vectors were read.
+    ``lowest`` (queries x k): the k largest lower bounds of each query, which are brought up to date.
     """
-    scores, found = best
-    middles, n, count = cells.middles(), len(ids), 0
+    k, n, out = lowest.shape[1], len(ids), []
+    middles = cells.middles()
     for first in range(0, len(q), TOGETHER):
         at = slice(first, first + TOGETHER)
-        own = q[at]
-        middle = (own.astype(np.float32) @ middles.T).astype(np.float64)
-        slack = cells.slack(own.astype(np.float64))[:, None]
-        own_id = q_ids[at, None] == ids[None, :]
-        middle[own_id] = -np.inf
-        # no vector below the k-th largest lower bound, or below the k-th score so far, can be among the best
-        floor = scores[at, -1].astype(np.float64)
-        if n > k:
-            floor = np.maximum(floor, np.partition(middle, n - k, axis=1)[:, n - k] - slack[:, 0])
-        r, c = np.nonzero((middle + slack >= floor[:, None]) & ~own_id)
-        if not len(r):
+        middle = (q[at].astype(np.float32) @ middles.T).astype(np.float64)
+        slack = cells.slack(q[at].astype(np.float64))[:, None]
+        own = q_ids[at, None] == ids[None, :]
+        middle[own] = -np.inf
+        best = np.partition(middle, n - k, axis=1)[:, n - k:] if n > k else middle
+        lowest[at] = np.partition(np.concatenate([best - slack, lowest[at]], axis=1), -k, axis=1)[:, -k:]
+        r, c = np.nonzero((middle + slack >= lowest[at].min(1)[:, None]) & ~own)
+        out.append((r + first, c, (middle + slack)[r, c], (middle - slack)[r, c]))
+    return tuple(np.concatenate([x[j] for x in out]) for j in range(4))  # type: ignore[return-value]
+
+
+def resolve(rows: Iterator[tuple], queries: dict[int, np.ndarray], k: int, read: Callable[[str, int, int], bytes]) -> Iterator[tuple]:
+    """Rows FOUND from rows CANDIDATE, which come query by query and by falling upper bounds. ``read`` (file, place, bytes) gives exact
+    vectors; it is called in this order, and not any more once the k-th score is above all bounds that follow."""
+    copy, best, waiting, done = None, [], [], True
+
+    def look() -> None:
+        q = queries[copy]
+        for kind, file, at, vec_id in waiting:
+            v = np.frombuffer(read(file, at, len(q) * np.dtype(kind).itemsize), kind)
+            best.append((-int(v.astype(np.int64) @ q), vec_id))
+        waiting.clear()
+        best.sort()
+        del best[k:]
+
+    def end() -> Iterator[tuple]:
+        if copy is not None:
+            look()
+            yield from ((query, copy, rank, vec_id, -score) for rank, (score, vec_id) in enumerate(best, 1))
+
+    query = None
+    for query_id, own, upper, _, vec_id, kind, file, at in rows:
+        if own != copy:
+            yield from end()
+            query, copy, done = query_id, own, False
+            best.clear()
+        if done:
             continue
-        bound = middle[r, c] + slack[r, 0]
-        order = np.lexsort((-bound, r))
-        r, c, bound = r[order], c[order], bound[order]
-        starts = np.searchsorted(r, np.arange(len(own) + 1))
-        place = np.arange(len(r)) - starts[r]
-        done = 0
-        while True:
-            now = (place >= done) & (place < done + ROUND) & (bound >= scores[at][r, -1])
-            if not now.any():
-                break
-            rr, cc = r[now], c[now]
-            count += len(cc)
-            product = np.einsum("ij,ij->i", own[rr], exact[cc].astype(np.int64))
-            touched = np.unique(rr)
-            row = np.concatenate([np.searchsorted(touched, rr), np.repeat(np.arange(len(touched)), scores.shape[1])])
-            s = np.concatenate([product, scores[first + touched].ravel()])
-            i = np.concatenate([ids[cc], found[first + touched].ravel()])
-            by = np.lexsort((i, -s, row))
-            rank = np.arange(len(by)) - np.searchsorted(row[by], np.arange(len(touched)))[row[by]]
-            top = by[rank < k]
-            scores[first + touched], found[first + touched] = s[top].reshape(-1, k), i[top].reshape(-1, k)
-            done += ROUND
-    return count
-
-
-#: No score and no id yet.
-LEAST, NO_ID = -(2**63 - 1), 2**63 - 1
-
-
-def approximation_file(vectors: DataFrame) -> DataFrame:
-    """The written file of ``vectors`` (id, v): a row per chunk of vectors of one length."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            sizes = lists.value_lengths().to_numpy()
-            flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-            for n in map(int, np.unique(sizes)):
-                at = np.flatnonzero(sizes == n)
-                held.setdefault(n, []).append((ids[at], flat[starts[at][:, None] + np.arange(n)[None, :]] if n else np.zeros((len(at), 0), np.int64)))
-                if sum(len(x[0]) for x in held[n]) >= CHUNK:
-                    yield from _chunks(held.pop(n))
-        for own in held.values():
-            yield from _chunks(own)
-
-    return written(vectors.mapInArrow(run, FILE), "vectors")
+        if len(waiting) >= ROUND or len(best) + len(waiting) == k:
+            look()
+        if len(best) == k and upper < -best[-1][0]:
+            done = True
+        else:
+            waiting.append((kind, file, at, vec_id))
+    yield from end()
+
+
+def _least_of_equal(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Which rows stay when of equal vectors only those are kept, by their ids, that any query can need: ``k`` besides all of one id."""
+    _, group = np.unique(v, axis=0, return_inverse=True)
+    order = np.lexsort((ids, group))
+    kept = np.zeros(len(ids), bool)
+    sizes = np.bincount(group)
+    start = 0
+    for size in sizes.tolist():
+        own = order[start:start + size]
+        start += size
+        if size > k + 1:
+            _, first, many = np.unique(ids[own], return_index=True, return_counts=True)
+            # the first rows of which k are left, whichever id is the query's
+            fine = np.flatnonzero(np.cumsum(many) - np.maximum.accumulate(many) >= k)
+            if len(fine):
+                own = own[:first[fine[0]] + many[fine[0]]]
+        kept[own] = True
+    return np.flatnonzero(kept)
+
+
+def approximation_file(vectors: DataFrame, k: int = K) -> tuple[DataFrame, str]:
+    """The written table of ``vectors`` (id, v), a row per chunk of vectors of one length, and the folder with the exact vectors."""
+    folder = new_path(vectors.sparkSession, "exact-vectors")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-def _chunks(held: list) -> Iterator[pa.RecordBatch]:
+        files, path = fs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        name = uuid.uuid4().hex
+        held: dict[int, list] = {}
+        with files.open_output_stream(f"{path}/{name}", compression=None) as out:
+            for batch in batches:
+                ids, lists = batch.column(0).to_numpy(), batch.column(1)
+                sizes = lists.value_lengths().to_numpy()
+                flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+                for n in map(int, np.unique(sizes)):
+                    at = np.flatnonzero(sizes == n)
+                    held.setdefault(n, []).append((ids[at], flat[starts[at][:, None] + np.arange(n)[None, :]] if n else np.zeros((len(at), 0), np.int64)))
+                    if sum(len(x[0]) for x in held[n]) >= CHUNK:
+                        yield from _chunks(held.pop(n), k, name, out)
+            for own in held.values():
+                yield from _chunks(own, k, name, out)
+
+    return written(vectors.mapInArrow(run, TABLE), "vector-cells"), folder
+
+
+def _chunks(held: list, k: int, name: str, out: pa.NativeFile) -> Iterator[pa.RecordBatch]:
     ids, v = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
     for first in range(0, len(ids), CHUNK):
         i, own = ids[first:first + CHUNK], v[first:first + CHUNK]
+        kept = _least_of_equal(i, own, k)
+        i, own = i[kept], own[kept]
         most = max(abs(float(own.min(initial=0))), abs(float(own.max(initial=0))))
         if own.shape[1] * most * most >= 2.0**63:
             raise ValueError(f"the product of two vectors with {own.shape[1]} components of up to {most:g} does not fit a long")
         cells = Cells.of(own)
         kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<i8"
-        row = [own.shape[1], most, i.tobytes(), cells.low.tobytes(), cells.width.tobytes(), cells.cell.tobytes(), kind, own.astype(kind).tobytes()]
-        types = [pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in FILE.split(", ")])
+        row = [own.shape[1], most, i.tobytes(), cells.low.tobytes(), cells.width.tobytes(), cells.cell.tobytes(), kind, name, out.tell()]
+        out.write(own.astype(kind).tobytes())
+        types = [pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in TABLE.split(", ")])
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = K, block: int = BLOCK_NUMBERS) -> DataFrame:
+def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = K, block: int = BLOCK_NUMBERS, read_bytes: Accumulator | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products of each query with all other rows.
 
     Queries are the rows whose ``key`` is divisible by ``every``. Scores are of whole numbers, floor(256 * x); ties go to the smaller id.
     Components so large that a score might not fit a long are an error. Rows with a null key, vector or component, or one that isn't
-    finite, take no part. Vectors of other lengths than the query's do not count as candidates for it. Repeated rows count as often
-    as they occur, but none with the query's own id counts. An empty table gives no rows. Other columns do not matter.
+    finite, take no part. Vectors of other lengths than the query's do not count as candidates for it. Each row counts: a repeated
+    query is answered as often as it occurs, a repeated candidate takes as many ranks; but no row with the query's own id counts.
+    An empty table gives no rows. Other columns do not matter. ``read_bytes`` is increased by the bytes of exact vectors that are read.
     """
     need(df, key, vector)
     spark, vectors = df.sparkSession, whole_numbers(df, key, vector)
-    file = approximation_file(vectors)
+    cells, folder = approximation_file(vectors, k)
     # the largest numbers may be in different chunks
-    reach = file.groupBy("n").agg(F.max(F.col("n") * F.col("most") * F.col("most")).alias("reach")).agg(F.max("reach")).first()[0]
+    reach = cells.groupBy("n").agg(F.max(F.col("n") * F.col("most") * F.col("most")).alias("reach")).agg(F.max("reach")).first()[0]
     if reach is not None and reach >= 2.0**63:
         raise ValueError("the product of two vectors does not fit a long")
-    asked = written(vectors.where(F.col("id") % every == 0).distinct(), "queries")
+    asked = written(vectors.where(F.col("id") % every == 0), "queries")
     path, held, size = new_path(spark, "nearest"), [], 0
     for copy, row in enumerate(asked.toLocalIterator()):
         held.append((row["id"], copy, row["v"]))
         size += len(row["v"]) + 2
         if size >= block:
-            _block(file, held, k, path)
+            _block(cells, folder, held, k, path, read_bytes)
             held, size = [], 0
-    _block(file, held, k, path)
-    by = Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), "vec_id")
-    found = spark.read.schema("query_id long, copy long, vec_id long, score long").parquet(path)
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    _block(cells, folder, held, k, path, read_bytes)
+    return spark.read.schema(FOUND).parquet(path).select("query_id", "rank", "vec_id", "score")
 
 
-def _block(file: DataFrame, rows: list, k: int, path: str) -> None:
-    """Adds the ``k`` best of each part of ``file`` for a block of queries to the table at ``path``."""
+def _block(table: DataFrame, folder: str, rows: list, k: int, path: str, read_bytes: Accumulator | None) -> None:
+    """Adds the ``k`` best for each query of a block to the table at ``path``."""
     by_length: dict[int, list] = {}
     for x in rows:
         by_length.setdefault(len(x[2]), []).append(x)
     queries = {n: (np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own], np.int64).reshape(len(own), n)) for n, own in by_length.items()}
-    shipped = file.sparkSession.sparkContext.broadcast(queries)
+    shipped = table.sparkSession.sparkContext.broadcast(queries)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shipped.value
-        best = {n: (np.full((len(own[0]), k), LEAST), np.full((len(own[0]), k), NO_ID)) for n, own in asked.items()}
+        lowest = {n: np.full((len(own[0]), k), -np.inf) for n, own in asked.items()}
         for batch in batches:
             for r in range(batch.num_rows):
-                n, ids, low, width, cell, kind, exact = (batch.column(c)[r] for c in ("n", "ids", "low", "width", "cells", "kind", "exact"))
+                n, ids, low, width, cell, kind, file, place = (batch.column(c)[r] for c in ("n", "ids", "low", "width", "cells", "kind", "file", "place"))
                 n, see = n.as_py(), lambda x, t: np.frombuffer(x.as_buffer(), t) if len(x.as_buffer()) else np.zeros(0, t)
-                ids = see(ids, np.int64)
+                ids, kind = see(ids, np.int64), kind.as_py()
                 cells = Cells(see(low, np.int64), see(width, np.int64), see(cell, np.uint8).reshape(len(ids), n))
-                search(asked[n][0], asked[n][2], ids, cells, see(exact, kind.as_py()).reshape(len(ids), n), k, best[n])
-        for n, (q_ids, copies, _) in asked.items():
-            scores, found = best[n]
-            r, c = np.nonzero(scores > LEAST)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(copies[r]), pa.array(found[r, c]), pa.array(scores[r, c])], names=["query_id", "copy", "vec_id", "score"])
-
-    own = file.where(F.col("n").isin(list(queries)) if queries else F.lit(False)).drop("most")
-    own.mapInArrow(run, "query_id long, copy long, vec_id long, score long").write.mode("append").parquet(path)
+                q, c, upper, lower = candidates(asked[n][0], asked[n][2], ids, cells, lowest[n])
+                for a in range(0, len(q), 65_536):
+                    at = slice(a, a + 65_536)
+                    same = lambda x, at=at: pa.array([x]).take(pa.array(np.zeros(len(q[at]), np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asked[n][0][q[at]], asked[n][1][q[at]], upper[at], lower[at], ids[c[at]])] + [same(kind), same(file.as_py()), pa.array(place.as_py() + c[at] * n * np.dtype(kind).itemsize)], names=[x.split()[0] for x in CANDIDATE.split(", ")])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, where = fs.FileSystem.from_uri(folder)
+        held: dict = {}
+        asked = {int(copy): v for _, copies, vectors in shipped.value.values() for copy, v in zip(copies, vectors, strict=True)}
+
+        def read(file: str, at: int, size: int) -> bytes:
+            if file not in held:
+                if len(held) >= OPEN:
+                    held.pop(next(iter(held))).close()
+                held[file] = files.open_input_file(f"{where}/{file}")
+            if read_bytes is not None:
+                read_bytes.add(size)
+            return held[file].read_at(size, at)
+
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = list(zip(*resolve(rows, asked, k, read), strict=True)) or [()] * 5
+        for x in held.values():
+            x.close()
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    own = table.where(F.col("n").isin(list(queries)) if queries else F.lit(False)).drop("most")
+    near = written(own.mapInArrow(scan, CANDIDATE), "candidates")
+    # a row per query of the block: the k-th lower bound over all parts
+    by = Window.partitionBy("copy").orderBy(F.col("lower").desc())
+    floors = near.select("copy", "lower").withColumn("sg_n", F.row_number().over(by)).where(F.col("sg_n") <= k).groupBy("copy").agg(F.min("lower").alias("floor"), F.count(F.lit(1)).alias("seen"))
+    left = near.join(F.broadcast(floors), "copy").where((F.col("seen") < k) | (F.col("upper") >= F.col("floor"))).select(*near.columns)
+    left.repartition("copy").sortWithinPartitions("copy", F.col("upper").desc(), "vec_id").mapInArrow(fetch, FOUND).write.mode("append").parquet(path)
     shipped.destroy()

@@ -260,17 +260,41 @@ def test_topk(spark):
         topk.nearest(spark.createDataFrame([(0, [3e38], 1), (1, [1.0], 1)], df.schema))
 
 
-def test_topk_reads_few_exact_vectors():
+def test_topk_reads_few_exact_vectors(spark):
+    """Bytes of exact vectors that are read from storage, of all that there are; and each query row is answered."""
     rng = np.random.default_rng(5)
-    for n, spread in ((64, 400), (300, 40_000)):
-        v = rng.normal(0, spread, (4000, n)).astype(np.int64)
-        q, ids = v[:200], np.arange(4000)
-        best = (np.full((200, 5), topk.LEAST), np.full((200, 5), topk.NO_ID))
-        read = topk.search(ids[:200], q, ids, topk.Cells.of(v), v, 5, best)
-        product = q @ v.T
-        product[np.arange(200), np.arange(200)] = -(2**62)
-        assert (best[1] == np.argsort(-product, axis=1, kind="stable")[:, :5]).all()
-        assert read < 0.02 * 200 * 4000
+    v = rng.normal(0, 0.3, (6000, 64))
+    v[100:2000] = v[100]  # copies
+    data = [(k, x.tolist()) for k, x in enumerate(v)] + [(50, v[50].tolist())] * 2
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    count = spark.sparkContext.accumulator(0)
+    got = topk.nearest(df, read_bytes=count)
+    whole = np.floor(v * 256).astype(np.int64)
+    want = Counter()
+    for q in range(0, 6000, 50):
+        scores = whole @ whole[q]
+        order = sorted((-int(s), k) for k, s in enumerate(scores) if k != q)
+        order = sorted(order + [x for x in order if x[1] == 50] * 2)[:5]
+        for _ in range(3 if q == 50 else 1):
+            want.update((q, rank, k, -s) for rank, (s, k) in enumerate(order, 1))
+    assert rows(got) == want
+    assert 122 * 5 * 128 <= count.value < 0.02 * 122 * len(data) * 128
+
+
+def test_topk_stops_when_the_kth_is_certain():
+    q, read = np.array([1, 0], np.int64), []
+    exact = {k: np.array([100 - k, 7], "<i2") for k in range(50)}
+    given = [(0, 9, 100.0 - k + 2, 0.0, k, "<i2", "f", 4 * k) for k in range(50)]
+    got = list(topk.resolve(iter([*given, (1, 10, 5.0, 0.0, 3, "<i2", "f", 12)]), {9: q, 10: q}, 3, lambda f, at, n: read.append(at // 4) or exact[at // 4].tobytes()))
+    assert got == [(0, 9, 1, 0, 100), (0, 9, 2, 1, 99), (0, 9, 3, 2, 98), (1, 10, 1, 3, 97)]
+    assert read[:-1] == list(range(len(read) - 1)) and len(read) < 16
+
+
+def test_topk_keeps_what_any_query_needs_of_equal_vectors():
+    ids = np.array([5, 1, 1, 1, 1, 9, 7, 3, 8, 2])
+    kept = topk._least_of_equal(ids, np.zeros((10, 2), np.int64), 2)
+    assert sorted(ids[kept]) == [1, 1, 1, 1, 2, 3]
+    assert len(topk._least_of_equal(ids, np.arange(20).reshape(10, 2), 2)) == 10
 
 
 def brute_fingerprint(text):
