@@ -27,6 +27,8 @@ from .common import clash, held, let_go, need, written
 
 #: Hashed trigrams of a model; share of the pooled model and of an even one in each language's; what a further language costs.
 BUCKETS, POOLED, EVEN, PENALTY = 1 << 16, 0.02, 0.002, 2.0
+#: Buckets whose counts make a row.
+PART = 1 << 10
 #: Rounds of expectation-maximisation, and the change of proportions that ends them.
 ROUNDS, STILL = 200, 1e-4
 #: Languages that a model has at most: half a megabyte of counts each goes through the driver.
@@ -52,7 +54,8 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count(docs: DataFrame, label: str, text: str) -> DataFrame:
-    """lang, docs and counts (int64 of BUCKETS, binary): all trigrams of all texts whose ``label`` isn't null."""
+    """lang, part and cells (array of bucket, n): the trigrams of all texts whose ``label`` isn't null, PART buckets to a row; bucket -1
+    counts the texts."""
     partial = "lang string, bucket int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,25 +85,32 @@ def count(docs: DataFrame, label: str, text: str) -> DataFrame:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(own[at], seen[lang]))], names=["lang", "bucket", "n"])
 
-    def dense(pdf):
-        import pandas as pd
+    labelled = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("lang"), text)
+    sums = labelled.mapInArrow(run, partial).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return sums.groupBy("lang", F.floor(F.col("bucket") / PART).alias("part")).agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
 
-        out, at = np.zeros(BUCKETS, np.int64), pdf["bucket"].to_numpy()
-        out[at[at >= 0]] = pdf["n"].to_numpy()[at >= 0]
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "docs": [int(pdf["n"][at < 0].sum())], "counts": [out.tobytes()]})
 
-    labelled = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("lang"), text)
-    # a group has BUCKETS + 1 rows at most
-    return labelled.mapInArrow(run, partial).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").applyInPandas(dense, "lang string, docs long, counts binary")
+def counted(rows: Iterator) -> list[tuple[str, int, np.ndarray]]:
+    """(language, texts, counts of all buckets) from the rows of ``count``."""
+    docs: Counter = Counter()
+    counts: dict[str, np.ndarray] = {}
+    for r in rows:
+        own = counts.setdefault(r["lang"], np.zeros(BUCKETS, np.int64))
+        for bucket, n in r["cells"]:
+            if bucket < 0:
+                docs[r["lang"]] += n
+            else:
+                own[bucket] = n
+    return [(lang, docs[lang], own) for lang, own in counts.items()]
 
 
 class Model:
     """Log likelihoods of trigrams (buckets x languages). Languages come in the order of their texts, the most first."""
 
-    def __init__(self, rows: list[tuple[str, int, bytes]]):
+    def __init__(self, rows: list[tuple[str, int, np.ndarray]]):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
         self.langs = [r[0] for r in rows]
-        counts = np.array([np.frombuffer(bytes(r[2]), np.int64) for r in rows], float).reshape(len(rows), BUCKETS)
+        counts = np.array([r[2] for r in rows], float).reshape(len(rows), BUCKETS)
         pooled = counts.sum(0) / max(1.0, counts.sum())
         own = counts / np.maximum(1.0, counts.sum(1, keepdims=True))
         # what no language has seen is as likely in all of them, however many texts they have
@@ -184,10 +194,10 @@ def identify(docs: DataFrame, learn: DataFrame, label: str = "lang", text: str =
     need(docs, text)
     clash(docs, "languages", "lang_pred", "score")
     counts = written(count(learn, label, text), "langid")
-    if (kinds := counts.count()) > MOST_LANGUAGES:
+    if (kinds := counts.select("lang").distinct().count()) > MOST_LANGUAGES:
         raise ValueError(f"{kinds} different labels; a model has {MOST_LANGUAGES} languages at most")
-    # at most MOST_LANGUAGES rows
-    rows = [(r["lang"], r["docs"], bytes(r["counts"])) for r in counts.toLocalIterator()]
+    # BUCKETS numbers for each language at most
+    rows = counted(counts.toLocalIterator())
     shipped, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
     none = F.lit(None)
     schema = docs.withColumns({"languages": none.cast("array<struct<lang:string,share:double>>"), "lang_pred": none.cast("string"), "score": none.cast("double")}).schema
