@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .crs import NAD83
+
 #: Epoch of the fixed-plate realization (decimal year).
 FIXED_EPOCH = 2010.0
-#: Geographic base codes of projected families that the survey catalog declares: UTM zones of NAD83 and its realizations.
-FAMILIES = (("26901", "26923", "4269"), ("6328", "6348", "6318"), ("32601", "32660", "4326"), ("3740", "3757", "4152"))
+# Zones of UTM on realizations of NAD83 on the North American plate (first code, last code, geographic base).
+NAD83_UTM = ((26901, 26923, 4269), (3740, 3751, 4152), (3706, 3726, 4759), (6328, 6348, 6318))
+# End of fixed values.
+
 
+def geographic_base(code: Column, registered: Column | None = None) -> Column:
+    """The geographic system below a declared one (both as codes), which must be a realization of NAD83 on the North American plate:
+    ``error`` for all others, such as WGS 84 and the Pacific plate's. Null stays null.
 
-def geographic_base(code: Column) -> Column:
-    """The geographic code below a projected one; ``error`` for codes of no known family."""
-    out = F.lit("error")
-    for low, high, base in FAMILIES:
-        out = F.when(code.between(int(low), int(high)), base).otherwise(out)
+    Geographic systems and zones of UTM are known. State planes and all other systems take ``registered``, what their
+    definition says (see ``crs.bases``); without it they are an error.
+    """
+    out = F.coalesce(registered.cast("string"), F.lit("error")) if registered is not None else F.lit("error")
+    for low, high, base in NAD83_UTM:
+        out = F.when(code.between(low, high), str(base)).otherwise(out)
+    out = F.when(code.isin(*NAD83.values()), code.cast("string")).otherwise(out)
     return F.when(code.isNull(), F.lit(None)).otherwise(out)
 
 
@@ -71,6 +80,11 @@ REGIONS = (
     ("prvi", -68.5, 17.0, -64.0, 19.5), ("hi", -161.5, 18.0, -154.0, 23.5), ("guam", 144.0, 13.0, 146.5, 16.0), ("samoa", -171.5, -15.0, -169.0, -13.5),
     ("ak", -190.0, 49.5, -129.0, 72.5), ("conus", -130.0, 23.0, -66.0, 50.0),
 )
+UNDECLARED = ("", "UNKNOWN", "N/A", "NA", "NONE")
+SHORT_GEOIDS = {"12A": "GEOID12A", "12B": "GEOID12B"}
+GRID_HINTS = {
+    "GEOID18": "g2018", "GEOID12B": "g2012b", "GEOID12A": "g2012a", "GEOID09": "geoid09", "GEOID06": "geoid06", "GEOID03": "geoid03", "GEOID99": "geoid99",
+}
 # End of fixed values.
 
 
@@ -80,3 +94,47 @@ def region_grids(model: Column, region: Column, fail: bool = True) -> Column:
     found = F.split(F.element_at(F.create_map(*pairs), F.concat(model, F.lit("/"), region)), ",")
     missing = F.raise_error(F.concat(F.lit("no grid for "), model, F.lit(" in "), F.coalesce(region, F.lit("no region")))).cast("array<string>") if fail else F.lit(None).cast("array<string>")
     return F.when(model.isNull(), F.lit(None).cast("array<string>")).when(found.isNotNull(), found).otherwise(missing)
+
+
+def geoid_key(declared: Column) -> Column:
+    """A declared geoid's name as it is looked up: no blanks, upper case, short names in full; empty where null."""
+    key = F.upper(F.replace(F.coalesce(declared, F.lit("")), F.lit(" ")))
+    for short, full in SHORT_GEOIDS.items():
+        key = F.when(key == short, full).otherwise(key)
+    return key
+
+
+def grid_hint(declared: Column) -> Column:
+    """The part of grid names that tells a declared geoid's; null where there is none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in GRID_HINTS.items() for x in pair]), F.upper(F.replace(declared, F.lit(" "))))
+
+
+def declared_geoid(declared: Column, region: Column) -> Column:
+    """struct of model, substituted_for, grids (array) and error, for a survey's declared geoid in a region (see ``geo.first_region``).
+
+    Null where nothing is declared. The declared model is part of the data, so no other takes its place: GEOID12, which was
+    replaced, models without grids, and regions that a model has no grids for are errors. GEOID12A is the same as GEOID12B, which
+    stands for it, but in Puerto Rico and the Virgin Islands (prvi), where it is an error.
+    """
+    def resolved(v: Column) -> Column:
+        key, region, grids = v["key"], v["region"], v["grids"]
+        stands, model = key == "GEOID12A", v["model"]
+        error = (
+            F.when(region.isNull(), "the place is outside every region of geoid grids")
+            .when(key == "GEOID12", "GEOID12 was replaced by GEOID12A and GEOID12B and has no grids")
+            .when(stands & (region == "prvi"), "GEOID12A and GEOID12B differ in Puerto Rico and the Virgin Islands")
+            .when(~model.isin(*GEOID_GRIDS), F.concat(F.lit("no known grids for "), model))
+            .when(grids.isNull(), F.concat(F.lit("no grid for "), model, F.lit(" in "), region))
+        )
+        return _with(error, lambda e: F.when(~key.isin(*UNDECLARED), F.struct(
+            F.when(e.isNull(), model).alias("model"), F.when(e.isNull() & stands, "GEOID12A").alias("substituted_for"), F.when(e.isNull(), grids).alias("grids"), e.alias("error"),
+        )))
+
+    named = lambda v: F.struct(v["key"].alias("key"), v["region"].alias("region"), F.when(v["key"] == "GEOID12A", "GEOID12B").otherwise(v["key"]).alias("model"))
+    files = lambda v: F.struct(v["key"].alias("key"), v["region"].alias("region"), v["model"].alias("model"), region_grids(v["model"], v["region"], fail=False).alias("grids"))
+    return _with(F.struct(geoid_key(declared).alias("key"), region.alias("region")), lambda v: _with(named(v), lambda v: _with(files(v), resolved)))
+
+
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import UNDECLARED, geoid_key
+
 EXAMPLES = 8
 #: From the most severe on.
 SEVERITIES = ("blocker", "unsupported", "degraded", "info")
@@ -12,21 +14,11 @@ SEVERITIES = ("blocker", "unsupported", "degraded", "info")
 LIDAR_METHODS = ("linear-mode lidar", "geiger-mode lidar", "single photon lidar", "flash lidar", "topobathymetric lidar", "bathymetric lidar")
 OTHER_METHODS = ("ifsar",)
 GEOIDS = ("GEOID18", "GEOID12B", "GEOID09", "GEOID06", "GEOID03", "GEOID99")
-UNDECLARED = ("", "UNKNOWN", "N/A", "NA", "NONE")
-SHORT_GEOIDS = {"12A": "GEOID12A", "12B": "GEOID12B"}
 #: Attributes that must be there, and how bad it is if one is not.
 NEEDED = {"lpc_link": "degraded", "metadata_link": "degraded", "collect_start": "degraded", "collect_end": "degraded", "ql": "info"}
 # End of fixed values.
 
 
-def geoid_key(declared: Column) -> Column:
-    """A declared geoid's name as it is looked up: no blanks, upper case, short names in full; empty where null."""
-    key = F.upper(F.replace(F.coalesce(declared, F.lit("")), F.lit(" ")))
-    for short, full in SHORT_GEOIDS.items():
-        key = F.when(key == short, full).otherwise(key)
-    return key
-
-
 def crs_class(surveys: DataFrame, registry: DataFrame, crs: str = "horiz_crs") -> DataFrame:
     """``surveys`` with crs_class, by ``registry`` (code, class): supported, esri (a code of another authority) or other_datum; null if it has no such code."""
     own = registry.select(F.col("code").alias("sg_code"), F.col("class").alias("crs_class")).dropDuplicates(["sg_code"])

@@ -142,12 +142,3 @@ def by_severity(found: DataFrame) -> DataFrame:
     """``found`` with place, the most severe and most frequent first, and in this order. One row per check: a constant number in one task."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, F.col("count").desc(), "check"))).orderBy("place")
-
-
-def geoid(declared: Column, region: Column) -> Column:
-    """A declared geoid's model: blanks and case aside; null where undeclared; ``error`` for GEOID12, which was withdrawn.
-    12A means 12B but in Puerto Rico and the Virgin Islands."""
-    name = F.upper(F.regexp_replace(declared, r"\s+", ""))
-    name = F.when(name.rlike(r"^(12A|12B|09|03|99|96|18)$"), F.concat(F.lit("GEOID"), name)).otherwise(name)
-    none = name.isNull() | name.isin("", "UNKNOWN", "NONE", "N/A", "NA", "UNDECLARED")
-    return F.when(none, F.lit(None)).when(name == "GEOID12", "error").when((name == "GEOID12A") & ~F.coalesce(region == "PRVI", F.lit(False)), "GEOID12B").otherwise(name)

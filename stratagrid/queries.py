@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geo, geodesy, text
+from .functions import crs, geo, geodesy, text
 from .operators import catalog, conformance, merge, points, polygons, preflight, products, raster, reports, staging, vendor
 from .plans import batch
 from .plans.tables import written
@@ -597,14 +597,6 @@ def audit_findings(spark, sf_dir):
     return staging.by_severity(staging.findings(surveys(spark, sf_dir), rules, "workunit"))
 
 
-@query("""WITH d AS (SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'geoid 18' WHEN 2 THEN '12B' WHEN 3 THEN 'GEOID12A' WHEN 4 THEN 'unknown' WHEN 5 THEN 'Geoid12' ELSE ' ' END AS g, CASE WHEN c_custkey % 2 = 0 THEN 'PRVI' END AS region FROM customer)
-SELECT id, CASE c WHEN 'GEOID12' THEN 'error' WHEN 'GEOID12A' THEN CASE WHEN region = 'PRVI' THEN c ELSE 'GEOID12B' END ELSE c END AS geoid FROM (SELECT id, region, CASE c_ WHEN '' THEN NULL WHEN 'UNKNOWN' THEN NULL WHEN '12B' THEN 'GEOID12B' ELSE c_ END AS c FROM (SELECT *, upper(replace(g, ' ', '')) AS c_ FROM d))""")
-def geoid_declared(spark, sf_dir):
-    k = F.col("c_custkey")
-    g = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, "geoid 18").when(k % 7 == 2, "12B").when(k % 7 == 3, "GEOID12A").when(k % 7 == 4, "unknown").when(k % 7 == 5, "Geoid12").otherwise(" ")
-    return read(spark, sf_dir, "customer").select(k.alias("id"), staging.geoid(g, F.when(k % 2 == 0, "PRVI")).alias("geoid"))
-
-
 @query(DEGREES + """, tl AS (SELECT a AS aoi, x, y FROM range(25) z(a), range(18) c(x), range(15) d(y)), ar2 AS (SELECT aoi, x, y FROM u WHERE NOT (x = aoi % 10 + 2 AND y = aoi % 7 + 3))
 SELECT tl.aoi, tl.x * 20 + tl.y AS tile, 1.0 AS share FROM tl JOIN ar2 USING (aoi, x, y) WHERE EXISTS (SELECT 1 FROM rc WHERE rc.x = tl.x AND rc.y = tl.y)""")
 def tile_select(spark, sf_dir):
@@ -857,9 +849,6 @@ def equal_area(spark, sf_dir):
     return places(spark, sf_dir).select("id", F.round(geo.ring_area(ring) / 1e6, 4).alias("km2"))
 
 
-REGIONS = [("PRVI", -68.0, 17.0, -64.0, 19.0), ("CONUS", -125.0, 24.0, -66.0, 50.0), ("AK", -180.0, 50.0, -129.0, 72.0), ("NORTH", -180.0, 0.0, 180.0, 90.0)]
-
-
 @query(PLACE + ", r AS (SELECT id, CASE " + " ".join(f"WHEN lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n} THEN '{r}'" for r, w, s, e, n in geodesy.REGIONS) + """ END AS region FROM c)
 SELECT id, region, CASE WHEN id % 3 = 0 THEN CASE region WHEN 'conus' THEN 'us_noaa_g2018u0.tif' WHEN 'prvi' THEN 'us_noaa_g2018p0.tif' END WHEN id % 3 = 1 THEN CASE region WHEN 'conus' THEN 'us_noaa_g2012bu0.tif' WHEN 'ak' THEN 'us_noaa_g2012ba0.tif' WHEN 'prvi' THEN 'us_noaa_g2012bp0.tif' WHEN 'hi' THEN 'us_noaa_g2012bh0.tif' WHEN 'guam' THEN 'us_noaa_g2012bg0.tif' WHEN 'samoa' THEN 'us_noaa_g2012bs0.tif' END END AS grids FROM r""")
 def geoid_grids(spark, sf_dir):
@@ -868,9 +857,30 @@ def geoid_grids(spark, sf_dir):
     return p.select("id", "region", F.array_join(geodesy.region_grids(model, F.col("region"), fail=False), ",").alias("grids"))
 
 
-@query(PLACE + " SELECT id, CASE " + " ".join(f"WHEN lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n} THEN '{r}'" for r, w, s, e, n in REGIONS) + " END AS region FROM c")
+DECLARED = ["GEOID18", "geoid 18", "12B", "GEOID12A", "12A", "unknown", "Geoid12", "GEOID09", "GEOID06", "GEOID03", "GEOID99", "GEOID29", " ", "N/A", "09"]
+PRVI_IDS = 12
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, CAST(c_custkey % 360 - 180 AS DOUBLE) + 0.25 AS lon, CAST(c_custkey % 160 - 80 AS DOUBLE) + 0.5 AS lat FROM customer),
+q AS (SELECT id, CASE WHEN id % {PRVI_IDS} = 0 THEN -66.5 WHEN id % {PRVI_IDS} = 1 THEN -149.5 WHEN id % {PRVI_IDS} < 6 THEN -115.2 ELSE lon END AS lon, CASE WHEN id % {PRVI_IDS} = 0 THEN 18.2 WHEN id % {PRVI_IDS} = 1 THEN 60.5 WHEN id % {PRVI_IDS} < 6 THEN 36.1 ELSE lat END AS lat FROM p),
+r AS (SELECT id, CASE WHEN id % 16 = 15 THEN NULL ELSE {DECLARED}[CAST(id % 16 AS INT) + 1] END AS g, CASE """ + " ".join(f"WHEN lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n} THEN '{r}'" for r, w, s, e, n in geodesy.REGIONS) + f""" END AS region FROM q),
+k AS (SELECT *, CASE upper(replace(g, ' ', '')) WHEN '12A' THEN 'GEOID12A' WHEN '12B' THEN 'GEOID12B' ELSE upper(replace(g, ' ', '')) END AS key FROM r),
+m AS (SELECT *, CASE WHEN key = 'GEOID12A' THEN 'GEOID12B' ELSE key END AS model FROM k),
+g AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{r}', '{','.join(files)}')" for m, regions in geodesy.GEOID_GRIDS.items() for r, files in regions.items())}) t(model, region, grids))
+SELECT id, coalesce(key IN ('', 'UNKNOWN', 'N/A', 'NA', 'NONE'), true) AS undeclared, CASE WHEN ok THEN model END AS model, CASE WHEN ok AND key = 'GEOID12A' THEN key END AS substituted_for, CASE WHEN ok THEN grids END AS grids
+FROM (SELECT m.*, g.grids, coalesce(g.grids IS NOT NULL AND NOT (key = 'GEOID12A' AND m.region = 'prvi'), false) AS ok FROM m LEFT JOIN g ON g.model = m.model AND g.region = m.region)""")
+def geoid_declared(spark, sf_dir):
+    i = F.col("id")
+    at = lambda a, b, c, d: F.when(i % PRVI_IDS == 0, a).when(i % PRVI_IDS == 1, b).when(i % PRVI_IDS < 6, c).otherwise(d)
+    p = places(spark, sf_dir).withColumns({"lon": at(-66.5, -149.5, -115.2, F.col("lon")), "lat": at(18.2, 60.5, 36.1, F.col("lat"))})
+    declared = F.get(F.array(*[F.lit(x) for x in DECLARED]), (i % 16).cast("int"))
+    found = p.withColumn("g", geodesy.declared_geoid(declared, geo.first_region(F.col("lon"), F.col("lat"), geodesy.REGIONS)))
+    return found.select("id", F.col("g").isNull().alias("undeclared"), "g.model", "g.substituted_for", F.array_join("g.grids", ",").alias("grids"))
+
+
+@query(PLACE + " SELECT id, CASE " + " ".join(f"WHEN lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n} THEN '{r}'" for r, w, s, e, n in geodesy.REGIONS) + " END AS region FROM c")
 def aoi_region(spark, sf_dir):
-    return places(spark, sf_dir).select("id", geo.first_region(F.col("lon"), F.col("lat"), REGIONS).alias("region"))
+    return places(spark, sf_dir).select("id", geo.first_region(F.col("lon"), F.col("lat"), geodesy.REGIONS).alias("region"))
 
 
 @query(PLACE + """, s AS (SELECT id, lon, lat, CASE id % 3 WHEN 0 THEN ['a.tif'] WHEN 1 THEN ['b.tif', 'c.tif'] END AS want FROM c),
@@ -941,9 +951,21 @@ def epochs_and_grids(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(k, F.round(geodesy.decimal_year(F.col("o_orderdate").cast("date")), 9).alias("epoch"), after.alias("pipeline"))
 
 
-@query(PLACE + """ SELECT id, CASE WHEN id % 2 = 0 THEN lon >= 170 OR lon <= -150 ELSE lon BETWEEN -120 AND -60 END AS inside, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN '4269' WHEN id % 5 = 2 THEN '6318' WHEN id % 5 = 3 THEN '4326' ELSE 'error' END AS base FROM c""")
+#: Declared systems, what each rests on by the definitions' registry (null: nothing that is supported), and the definitions themselves.
+SYSTEMS = {26910: 4269, 26923: 4269, 3740: 4152, 3717: 4759, 6339: 6318, 4269: 4269, 6318: 6318, 6783: 6783, 7131: 6318, 6521: 6318, 32610: None, 4326: None, 6322: None, 6634: None, 999999: None}
+STATE_PLANE = 'PROJCRS["{name}",BASEGEOGCRS["{base}",DATUM["{base}",ELLIPSOID["GRS 1980",6378137,298.257222101]]{ident}],CONVERSION["plane",METHOD["Lambert Conic Conformal (2SP)"]],CS[Cartesian,2],AXIS["easting",east],AXIS["northing",north]]'
+REGISTRY = [
+    (7131, STATE_PLANE.format(name="San Francisco", base="NAD83(2011)", ident=',ID["EPSG",6318]')), (6521, STATE_PLANE.format(name="Nevada East (ftUS)", base="NAD83(2011)", ident="")),
+    (6634, STATE_PLANE.format(name="UTM zone 2S", base="NAD83(PA11)", ident=',ID["EPSG",6322]')), (32610, crs.utm(32610, "WGS 84 (G1674)")), (999999, "no definition"),
+]
+
+
+@query(PLACE + f""", s AS (SELECT unnest({list(range(len(SYSTEMS)))}) AS k, unnest({[str(v or 'error') for v in SYSTEMS.values()]}) AS base)
+SELECT id, CASE WHEN id % 2 = 0 THEN lon >= 170 OR lon <= -150 ELSE lon BETWEEN -120 AND -60 END AS inside, base FROM c LEFT JOIN s ON k = id % {len(SYSTEMS) + 1}""")
 def areas_of_use(spark, sf_dir):
     i = F.col("id")
     west, east = F.when(i % 2 == 0, 170.0).otherwise(-120.0), F.when(i % 2 == 0, -150.0).otherwise(-60.0)
-    code = F.when(i % 5 == 1, 26911).when(i % 5 == 2, 6339).when(i % 5 == 3, 32611).when(i % 5 == 4, 999999)
-    return places(spark, sf_dir).select("id", geodesy.lon_in(F.col("lon"), west, east).alias("inside"), geodesy.geographic_base(code).alias("base"))
+    code = F.get(F.array(*[F.lit(x) for x in SYSTEMS]), (i % (len(SYSTEMS) + 1)).cast("int")).cast("long")
+    registry = crs.bases(spark.createDataFrame(REGISTRY, "code long, wkt string"))
+    p = places(spark, sf_dir).withColumn("code", code).join(F.broadcast(registry.withColumnRenamed("base", "registered")), "code", "left")
+    return p.select("id", geodesy.lon_in(F.col("lon"), west, east).alias("inside"), geodesy.geographic_base(F.col("code"), F.col("registered")).alias("base"))
