@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.quantiles import quantiles as exact_quantiles
 from ..plans.tables import written
 from .raster import CELL, stretch
 
@@ -28,8 +29,10 @@ def overlap_fit(left: DataFrame, right: DataFrame, by: Sequence[str] = (), quant
     each group of ``right``; a ``left`` without the columns ``by`` serves all groups."""
     keys = [*[c for c in by if c in left.columns], *CELL]
     both = left.where("value IS NOT NULL").withColumnRenamed("value", "y").join(right.where("value IS NOT NULL").withColumnRenamed("value", "x"), keys)
-    at = F.array(*[F.lit(q) for q in quantiles])
-    pairs = both.groupBy(*by).agg(F.percentile("x", at).alias("xs"), F.percentile("y", at).alias("ys"), F.count(F.lit(1)).alias("n"))
+    # both sides in one pass, as groups of their own
+    values = both.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("sg_side"), F.col(c).cast("double").alias("sg_value")) for c in "xy"])).alias("v")).select(*by, "v.*")
+    found = exact_quantiles(values, [*by, "sg_side"], F.col("sg_value"), quantiles)
+    pairs = found.groupBy(*by).agg(F.max("n").alias("n"), F.any_value(F.when(F.col("sg_side") == "x", F.col("q")), ignoreNulls=True).alias("xs"), F.any_value(F.when(F.col("sg_side") == "y", F.col("q")), ignoreNulls=True).alias("ys")).where("n IS NOT NULL")
     return pairs.select(*by, "n", F.explode(F.arrays_zip("xs", "ys")).alias("q")).groupBy(*by, "n").agg(F.regr_slope("q.ys", "q.xs").alias("slope"), F.regr_intercept("q.ys", "q.xs").alias("intercept"))
 
 

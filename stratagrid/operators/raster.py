@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell
+from ..plans.quantiles import quantiles
 
 CELL = ("row", "col")
 
@@ -165,7 +166,7 @@ def masked_median(left: DataFrame, right: DataFrame, mask: DataFrame | None = No
     joined = left.where("value IS NOT NULL").join(right.where("value IS NOT NULL").withColumnRenamed("value", "other"), keys(right))
     if mask is not None:
         joined = joined.join(mask.select(*keys(mask)).distinct(), keys(mask), "left_semi")
-    return joined.groupBy(*by).agg(F.percentile(F.col("value") - F.col("other"), F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
+    return quantiles(joined, by, F.col("value") - F.col("other"), [0.5]).select(*by, F.col("q")[0].alias("median"), "n")
 
 
 def datum_state(median: Column, n: Column, undulation: Column, tolerance: float = 3.0, least: int = 100, fail: bool = False) -> Column:
@@ -178,7 +179,6 @@ def datum_state(median: Column, n: Column, undulation: Column, tolerance: float
 
 def stretch(raster: DataFrame, low: float = 0.02, high: float = 0.98, by: Sequence[str] = ("source",)) -> DataFrame:
     """Robust range per source: interpolated percentiles; where these coincide, the least value and one more."""
-    p = F.percentile("value", F.array(F.lit(low), F.lit(high)))
-    out = raster.where("value IS NOT NULL").groupBy(*by).agg(p.alias("p"), F.min("value").alias("least"), F.count(F.lit(1)).alias("n"))
+    out = quantiles(raster, by, F.col("value"), [low, high]).withColumnRenamed("q", "p")
     flat = F.col("p")[1] <= F.col("p")[0]
     return out.select(*by, F.when(flat, F.col("least")).otherwise(F.col("p")[0]).alias("lo"), F.when(flat, F.col("least") + 1).otherwise(F.col("p")[1]).alias("hi"), "n")

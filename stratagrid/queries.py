@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .functions import crs, geo, geodesy, text
 from .operators import catalog, conformance, merge, points, polygons, preflight, products, raster, reports, staging, vendor
 from .plans import batch
-from .plans.tables import written
+from .plans.tables import new_path, written
+from .sources import geotiff
 from .streaming import epochs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -969,3 +970,40 @@ def areas_of_use(spark, sf_dir):
     registry = crs.bases(spark.createDataFrame(REGISTRY, "code long, wkt string"))
     p = places(spark, sf_dir).withColumn("code", code).join(F.broadcast(registry.withColumnRenamed("base", "registered")), "code", "left")
     return p.select("id", geodesy.lon_in(F.col("lon"), west, east).alias("inside"), geodesy.geographic_base(F.col("code"), F.col("registered")).alias("base"))
+
+
+# --- files ---------------------------------------------------------------------------------------------------------------
+
+def _image_grid(spark, sf_dir):
+    """All images on one grid, a hundred to a row of images, and the grid."""
+    n = images(spark, sf_dir).select(F.max("source")).first()[0] + 1
+    whole = images(spark, sf_dir).select((F.floor(F.col("source") / 100) * 8 + F.col("row")).alias("row"), (F.col("source") % 100 * 8 + F.col("col")).alias("col"), "value")
+    return whole, geotiff.Grid(800, -(-n // 100) * 8, 500_000.0, 4_000_000.0, 2.0, -9999.0, "float64", 32611)
+
+
+GRID_SQL = """WITH e AS (SELECT vec_id, unnest(generate_series(0, len(embedding) - 1)) AS i, unnest(embedding) AS v FROM embeddings),
+g AS (SELECT vec_id // 100 * 8 + i // 8 AS row, vec_id % 100 * 8 + i % 8 AS col, CAST(v AS DOUBLE) AS value FROM e)"""
+
+
+@query(GRID_SQL + " SELECT row, col, value FROM g WHERE row BETWEEN 3 AND 20 AND col BETWEEN 100 AND 350")
+def raster_windows(spark, sf_dir):
+    """A window of a GeoTIFF file that the sink has written."""
+    geotiff.register(spark)
+    whole, grid = _image_grid(spark, sf_dir)
+    path = new_path(spark, "images") + ".tif"
+    geotiff.write(whole, path, grid, block=64)
+    return spark.read.format("geotiff").load(path).where("row BETWEEN 3 AND 20 AND col BETWEEN 100 AND 350").select("row", "col", "value")
+
+
+@query(GRID_SQL + """, l AS (SELECT unnest([2, 4]) AS level),
+o AS (SELECT level, row // level AS row, col // level AS col, avg(value) AS value FROM g, l GROUP BY ALL)
+SELECT CAST(level AS INT) AS level, row, col, round(value, 9) AS value FROM o""")
+def raster_levels(spark, sf_dir):
+    """The overviews of a GeoTIFF file that the sink has written with them."""
+    geotiff.register(spark)
+    whole, grid = _image_grid(spark, sf_dir)
+    base = written(whole.withColumn("source", F.lit(1)), "image-grid")
+    path = new_path(spark, "images") + ".tif"
+    geotiff.write(base.select(F.lit(1).alias("level"), "row", "col", "value").unionByName(raster.overviews(base, (2, 4)).select("level", "row", "col", "value")), path, grid, block=64)
+    read_level = lambda k: spark.read.format("geotiff").option("level", k).load(path).select(F.lit(k).alias("level"), "row", "col", F.round("value", 9).alias("value"))
+    return read_level(2).unionByName(read_level(4))

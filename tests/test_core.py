@@ -437,9 +437,11 @@ def inside(parts, x, y):
     return out
 
 
-@pytest.mark.parametrize("per_strip", [400, 12])
-def test_polygon_coverage_against_a_fine_grid(spark, monkeypatch, per_strip):
+@pytest.mark.parametrize("per_strip, per_tile, per_cell", [(400, 2_000, 24), (12, 10, 24), (12, 30, 3)])
+def test_polygon_coverage_against_a_fine_grid(spark, monkeypatch, per_strip, per_tile, per_cell):
     monkeypatch.setattr(polygons, "EDGES", per_strip)
+    monkeypatch.setattr(polygons, "TILE_EDGES", per_tile)
+    monkeypatch.setattr(polygons, "CELL_EDGES", per_cell)
     rng = random.Random(6)
     triangle = lambda size: ring(*[(x0 + rng.uniform(0, size), y0 + rng.uniform(0, size)) for x0, y0 in [(rng.uniform(-1, 9), rng.uniform(-1, 9))] for _ in range(3)])
     area = [[ring((0, 0), (10, 1), (9, 9), (4, 10), (1, 8)), square(4, 4, 5, 6)]]
