@@ -97,7 +97,7 @@ def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 def ring_area(ring: Column) -> Column:
     """Area of a closed ring (array of struct x, y; the last point may repeat the first or not) by the shoelace rule."""
-    nxt = F.concat(F.slice(ring, 2, 1_000_000), F.slice(ring, 1, 1))
+    nxt = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1))
     cross = F.zip_with(ring, nxt, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2
 

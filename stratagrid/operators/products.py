@@ -21,22 +21,24 @@ def datum_decisions(rasters: DataFrame, reference: DataFrame, undulation: Column
     return found.withColumn("state", raster.datum_state(F.col("median"), F.col("n"), undulation, tolerance, least))
 
 
-def finalize(tiles: DataFrame, targets: DataFrame, source_row: Column, source_col: Column, by: Sequence[str], order: str = "tile", decisions: DataFrame | None = None, undulation: Column | None = None, heights: bool = True, levels: Sequence[int] = (2, 4, 8, 16), kind: str = "bilinear") -> DataFrame:
+def finalize(tiles: DataFrame, targets: DataFrame, source_row: Column, source_col: Column, by: Sequence[str], order: str = "tile", decisions: DataFrame | None = None, undulation: Column | None = None, heights: bool = True, levels: Sequence[int] = (2, 4, 8, 16), kind: str = "bilinear", dynamic: Column | bool = True) -> DataFrame:
     """(by, level, row, col, value, epoch): the finished rasters of ``tiles`` (by, ``order``, row, col, value), level 1 and its overviews.
 
     The tiles of a raster are painted in order, the result is brought to the target grid (see ``raster.warp``), and overviews
     are made of it. Heights whose decision (by, state) is ``true`` get ``undulation`` added; ``error`` is a failure, and rasters
-    without a decision are left as they are. Intensities are never shifted. Cells on the fixed-plate realization have its epoch.
+    without a decision are left as they are. Intensities are never shifted. Coordinates in a ``dynamic`` system (see
+    ``crs.is_dynamic``; True, False, or a Column of ``by``) have the epoch of the fixed-plate realization that they come from; others have none.
     """
     by = list(by)
-    mosaic = tiles.where("value IS NOT NULL").groupBy(*by, *raster.CELL).agg(F.max_by("value", order).alias("value"))
+    mosaic = raster.mosaic(tiles, order, by=by).drop("from")
     base = raster.warp(mosaic, targets, source_row, source_col, kind, by=by)
     if heights and decisions is not None:
         state = F.when(F.col("state") == "error", F.raise_error(F.lit("the vertical datum can't be told")).cast("string")).otherwise(F.col("state"))
         base = base.join(decisions.select(*by, state.alias("state")), by, "left").withColumn("value", F.when(F.col("state") == "true", F.col("value") + undulation).otherwise(F.col("value"))).drop("state")
     base = written(base, "finished")
     whole = base.select(*by, F.lit(1).alias("level"), *raster.CELL, "value").unionByName(raster.overviews(base, levels, by).select(*by, "level", *raster.CELL, "value"))
-    return whole.withColumn("epoch", F.lit(FIXED_EPOCH))
+    moves = F.lit(dynamic) if isinstance(dynamic, bool) else dynamic
+    return whole.withColumn("epoch", F.when(moves, F.lit(FIXED_EPOCH)))
 
 
 def preview(rasters: DataFrame, shown: Sequence[str] = ("dsm", "dtm", "dtm_fill"), product: str = "product", low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -23,35 +23,52 @@ def to_sentinel(raster: DataFrame, nodata: float) -> DataFrame:
     return raster.withColumn("value", F.coalesce("value", F.lit(nodata)))
 
 
-def mosaic(raster: DataFrame, order: str, last_wins: bool = True) -> DataFrame:
-    """One value per cell: tiles are painted in order (the last wins), sources merged by priority (the first wins). Cells without data do not compete."""
+def mosaic(raster: DataFrame, order: str, last_wins: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """One value per cell, for each raster ``by``: tiles are painted in order (the last wins), sources merged by priority (the first wins).
+    Cells without data do not compete."""
     pick = F.max_by if last_wins else F.min_by
-    return raster.where("value IS NOT NULL").groupBy(*CELL).agg(pick("value", order).alias("value"), pick(F.col(order), order).alias("from"))
+    return raster.where("value IS NOT NULL").groupBy(*by, *CELL).agg(pick("value", order).alias("value"), pick(F.col(order), order).alias("from"))
 
 
-def window_fill(raster: DataFrame, size: int = 4, power: float = 1.0) -> DataFrame:
-    """Cells without data within ``size`` rows and columns of data get the distance-weighted mean of these; others stay as they are.
+#: Rows and columns of a block of cells that one task fills.
+BLOCK = 256
 
-    Empty cells near data are found row by row and then column by column; only these look for the cells around them, by key.
+
+def window_fill(raster: DataFrame, size: int = 4, power: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, row, col, value, filled): cells without data within ``size`` rows and columns of data get the distance-weighted mean of these;
+    others stay as they are. Each group ``by`` is a raster of its own.
+
+    Cells go to their block and to those whose edge they are near, in one exchange; a block is filled as a whole.
     """
-    there = raster.where("value IS NOT NULL").select(*CELL, "value")
-
-    def spread(cells: DataFrame, along: str, across: str) -> DataFrame:
-        # a run of cells reaches the next one, or ends ``size`` further: each gap is made once
-        w = Window.partitionBy(across).orderBy(along)
-        ahead, behind = F.lead(along).over(w), F.lag(along).over(w)
-        up = F.when(ahead.isNull(), F.col(along) + size).otherwise(F.least(ahead - 1, F.col(along) + size))
-        down = F.when(behind.isNull(), F.col(along) - size).otherwise(F.greatest(behind + size + 1, F.col(along) - size))
-        ends = cells.withColumns({"sg_up": up, "sg_down": down})
-        return ends.select(across, F.explode(F.sequence(F.least("sg_down", F.col(along)), "sg_up")).alias(along))
-
-    near = spread(spread(there.select(*CELL), "col", "row"), "row", "col").select(*CELL)
-    empty = near.join(there.select(*CELL), list(CELL), "left_anti")
-    step = F.sequence(F.lit(-size), F.lit(size))
-    around = empty.withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step))
-    around = around.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (1 / F.pow(F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")), F.lit(power))).alias("w"))
-    filled = around.join(there, list(CELL)).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
-    return there.withColumn("filled", F.lit(False)).unionByName(filled.withColumn("filled", F.lit(True)))
+    by, cells = list(by), raster.where("value IS NOT NULL")
+    near = lambda c: F.sequence(F.floor((F.col(c) - size) / BLOCK), F.floor((F.col(c) + size) / BLOCK))
+    dealt = cells.select(*by, *[F.col(c).cast("bigint").alias(c) for c in CELL], F.col("value").cast("double").alias("value")).withColumn("sg_i", F.explode(near("row"))).withColumn("sg_j", F.explode(near("col")))
+    schema = dealt.drop("sg_i", "sg_j").withColumn("filled", F.lit(False)).schema
+    steps = [(a, b, math.hypot(a, b) ** -power) for a in range(-size, size + 1) for b in range(-size, size + 1) if a or b]
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        i, j = int(pdf["sg_i"].iloc[0]) * BLOCK, int(pdf["sg_j"].iloc[0]) * BLOCK
+        there, value = (np.zeros((BLOCK + 2 * size, BLOCK + 2 * size)) for _ in range(2))
+        r, c = pdf["row"].to_numpy() - i + size, pdf["col"].to_numpy() - j + size
+        there[r, c], value[r, c] = 1.0, pdf["value"].to_numpy()
+        weight, total = (np.zeros((BLOCK, BLOCK)) for _ in range(2))
+        for a, b, w in steps:
+            at = slice(size + a, size + a + BLOCK), slice(size + b, size + b + BLOCK)
+            weight += w * there[at]
+            total += w * value[at]
+        own = there[size:size + BLOCK, size:size + BLOCK] > 0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            made = np.where(own, value[size:size + BLOCK, size:size + BLOCK], total / weight)
+        row, col = np.nonzero(own | (weight > 0))
+        out = pd.DataFrame({"row": row + i, "col": col + j, "value": made[row, col], "filled": ~own[row, col]})
+        for name in by:
+            out[name] = pdf[name].iloc[0]
+        return out[[*by, "row", "col", "value", "filled"]]
+
+    return dealt.groupBy(*by, "sg_i", "sg_j").applyInPandas(run, schema)
 
 
 def common_cells(raster: DataFrame, sources: Sequence | None = None, source: str = "source", by: Sequence[str] = ()) -> DataFrame:

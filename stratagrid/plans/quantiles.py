@@ -62,4 +62,4 @@ def quantiles(df: DataFrame, by: Sequence[str], value: Column, at: Sequence[floa
     if by:
         return out
     nothing = df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n0"))
-    return nothing.join(F.broadcast(out), F.lit(True), "left").select(F.coalesce("n", "n0").alias("n"), "q", "least")
+    return nothing.join(F.broadcast(out), F.lit(True), "left").select(F.coalesce("n", "n0").alias("n"), F.when(F.col("n").isNotNull(), F.col("q")).alias("q"), "least")

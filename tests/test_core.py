@@ -168,6 +168,29 @@ def test_window_fill(spark):
     assert got[4, 5] == (15.0, True) and got[4, 4] == (10.0, False) and (0, 0) not in got
 
 
+def test_window_fill_over_blocks_and_rasters(spark, monkeypatch):
+    """Cells near a block's edge, below zero too, are filled from both sides, and each raster from its own cells."""
+    rng = random.Random(8)
+    cells = {(s, rng.randint(-300, 300), rng.randint(-20, 20)): rng.uniform(0, 9) for s in "ab" for _ in range(900)}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, row long, col long, value double").repartition(3)
+    want = {k: (v, False) for k, v in cells.items()}
+    around = {(s, r + a, c + b) for s, r, c in cells for a in range(-2, 3) for b in range(-2, 3)} - cells.keys()
+    for s, r, c in around:
+        near = [(cells[s, r + a, c + b], math.hypot(a, b) ** -1.5) for a in range(-2, 3) for b in range(-2, 3) if (s, r + a, c + b) in cells]
+        want[s, r, c] = (sum(v * w for v, w in near) / sum(w for _, w in near), True)
+    for block in (256, 7):
+        monkeypatch.setattr(raster, "BLOCK", block)
+        got = {(r["source"], r["row"], r["col"]): (r["value"], r["filled"]) for r in raster.window_fill(df, 2, 1.5, by=["source"]).collect()}
+        assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+    assert {(r["source"], r["row"], r["col"]): r["value"] for r in raster.mosaic(df, "row", by=["source"]).collect()} == cells
+
+
+def test_area_of_a_long_ring(spark):
+    n = 1_000_100
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.cos(k * (2 * math.pi / n)).alias("x"), F.sin(k * (2 * math.pi / n)).alias("y")))
+    assert abs(one(spark, geo.ring_area(ring))[0] - math.pi) < 1e-6
+
+
 def test_datum_state(spark):
     for median, n, want in ((0.4, 500, "true"), (-30.2, 500, "false"), (-10.0, 500, "error"), (8.0, 500, "error"), (0.4, 10, "error"), (None, 500, "error")):
         assert one(spark, raster.datum_state(F.lit(median).cast("double"), F.lit(n), F.lit(-31.0)))[0] == want
