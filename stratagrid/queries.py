@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import crs, geo, geodesy, text
-from .operators import catalog, conformance, merge, points, polygons, preflight, products, raster, reports, staging, vendor
+from .operators import catalog, conformance, footprints, merge, points, polygons, preflight, products, raster, reports, staging, vendor
 from .plans import batch
 from .plans.tables import new_path, written
-from .sources import geotiff
+from .sources import geopackage, geotiff, octree, readers
 from .streaming import epochs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1007,3 +1007,35 @@ def raster_levels(spark, sf_dir):
     geotiff.write(base.select(F.lit(1).alias("level"), "row", "col", "value").unionByName(raster.overviews(base, (2, 4)).select("level", "row", "col", "value")), path, grid, block=64)
     read_level = lambda k: spark.read.format("geotiff").option("level", k).load(path).select(F.lit(k).alias("level"), "row", "col", F.round("value", 9).alias("value"))
     return read_level(2).unionByName(read_level(4))
+
+
+@query(SRV + " SELECT aoi, workunit, xmin, ymin, xmax, ymax FROM sv WHERE xmin <= 7 AND xmax >= 3.5 AND ymin <= 6 AND ymax >= 4")
+def geopackage_box(spark, sf_dir):
+    """Surveys in a box, from a GeoPackage file that the sink has written: the box goes to its R-tree."""
+    geopackage.register(spark)
+    s = surveys(spark, sf_dir).withColumn("parts", polygons.box_parts(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]))
+    path = new_path(spark, "surveys") + ".gpkg"
+    geopackage.write(s.select("aoi", "workunit", "parts"), path, "surveys")
+    return readers.in_box(spark.read.format("geopackage").load(path), 3.5, 4.0, 7.0, 6.0).select("aoi", "workunit", "xmin", "ymin", "xmax", "ymax")
+
+
+@query(PTS + " SELECT round(x, 2) AS x, round(y, 2) AS y, round(z, 3) AS z, cls, rn FROM p WHERE x BETWEEN 20 AND 90 AND y BETWEEN 2 AND 60 AND x < 40000 AND y < 40000 AND z < 20000")
+def octree_box(spark, sf_dir):
+    """Points in a box, from an octree that the sink has written: nodes elsewhere are not read."""
+    octree.register(spark)
+    folder = new_path(spark, "octree")
+    octree.write(cloud(spark, sf_dir).withColumn("z", F.round("z", 3)), folder, (0.0, 0.0, -20_000.0, 40_000.0, 40_000.0, 20_000.0), depths=7)
+    found = spark.read.format("octree").load(folder).where("x BETWEEN 20 AND 90 AND y BETWEEN 2 AND 60")
+    return found.select(F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("z", 3).alias("z"), F.col("cls").cast("int").alias("cls"), F.col("rn").cast("int").alias("rn"))
+
+
+@query(IMG + """, f AS (SELECT DISTINCT source % 5 AS source, source // 5 % 20 * 8 + row AS row, source // 100 * 8 + col AS col FROM r WHERE value > -0.05),
+k AS (SELECT source, row + a AS row, col + b AS col, count(*) AS n, min(a = b) AS slant, max(a = b) AS other FROM f, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b) GROUP BY ALL),
+v AS (SELECT source, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND slant = other THEN 2 ELSE 0 END) AS corners FROM k GROUP BY 1)
+SELECT source, CAST(corners AS BIGINT) AS corners, count(*) AS cells FROM f JOIN v USING (source) GROUP BY ALL""")
+def footprint_rings(spark, sf_dir):
+    """Corners and cells of all rims: a lattice corner with one or three cells around it is one, with two that only touch there two."""
+    k = F.col("source")
+    cells = images(spark, sf_dir).where("value > -0.05").select((k % 5).alias("source"), (F.floor(k / 5) % 20 * 8 + F.col("row")).alias("row"), (F.floor(k / 100) * 8 + F.col("col")).alias("col"), "value")
+    found = footprints.rings(cells)
+    return found.groupBy("source").agg(F.sum(F.size("points")).cast("bigint").alias("corners"), F.sum(footprints.twice_area(F.col("points")) / 2).cast("bigint").alias("cells"))
