@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import crs, geo, geodesy, text
+from .functions import crs, geo, geodesy, operations, text
 from .operators import catalog, conformance, footprints, merge, points, polygons, preflight, products, raster, reports, staging, vendor
 from .plans import batch
 from .plans.tables import new_path, written
-from .sources import geopackage, geotiff, octree, readers
+from .sources import geopackage, geotiff, gtx, octree, readers
 from .streaming import epochs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1039,3 +1039,31 @@ def footprint_rings(spark, sf_dir):
     cells = images(spark, sf_dir).where("value > -0.05").select((k % 5).alias("source"), (F.floor(k / 5) % 20 * 8 + F.col("row")).alias("row"), (F.floor(k / 100) * 8 + F.col("col")).alias("col"), "value")
     found = footprints.rings(cells)
     return found.groupBy("source").agg(F.sum(F.size("points")).cast("bigint").alias("corners"), F.sum(footprints.twice_area(F.col("points")) / 2).cast("bigint").alias("cells"))
+
+
+@query(PLACE + " SELECT id, CASE WHEN lon BETWEEN -130 AND -60 AND lat BETWEEN 20 AND 60 THEN round(0.25 * lat - 0.125 * lon - 40, 3) END AS undulation FROM c")
+def geoid_heights(spark, sf_dir):
+    """The geoid's height at places, from two grids of a plane that the query writes, so that every value between is known."""
+    import numpy as np
+
+    paths = []
+    for west, n in ((-130.0, 101), (-96.0, 73)):
+        lat, lon = np.meshgrid(20 + np.arange(81) * 0.5, west + np.arange(n) * 0.5, indexing="ij")
+        paths.append(new_path(spark, "geoid") + ".gtx")
+        gtx.write(paths[-1], 20.0, west, 0.5, 0.5, 0.25 * lat - 0.125 * lon - 40)
+    values, grids = gtx.read(spark, paths)
+    return gtx.with_undulation(places(spark, sf_dir), values, grids).select("id", F.round("undulation", 3).alias("undulation"))
+
+
+#: From degrees on one realization to UTM on another: a transformation with rates, between geocentric coordinates.
+TO_UTM = ("+proj=pipeline +step +proj=unitconvert +xy_in=deg +xy_out=rad +step +proj=cart +ellps=GRS80 +step +proj=helmert +x=1 +y=-1.9 +z=-0.5 +rx=0.02 +ry=0 +rz=0.01 +s=0.0004"
+          " +dx=0.001 +dy=0 +dz=-0.001 +drx=0 +dry=-0.0007 +drz=0 +ds=0 +t_epoch=2010 +convention=position_vector +step +inv +proj=cart +ellps=WGS84 +step +proj=utm +zone=31 +ellps=WGS84")
+
+
+@query(PLACE + " SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat, 100.0 AS height FROM c WHERE abs(lon - 3) < 30")
+def operation_round_trip(spark, sf_dir):
+    """Places after an operation with its epoch pinned, and back."""
+    steps = operations.parse(operations.pinned(TO_UTM, 2015.5, ["+proj=helmert", "+proj=utm"]))
+    p = places(spark, sf_dir).where("abs(lon - 3) < 30").withColumn("p", operations.apply(steps, F.col("lon"), F.col("lat"), F.lit(100.0)))
+    back = p.withColumn("b", operations.apply(operations.inverted(steps), F.col("p.x"), F.col("p.y"), F.col("p.z")))
+    return back.select("id", F.round("b.x", 6).alias("lon"), F.round("b.y", 6).alias("lat"), F.round("b.z", 3).alias("height"))
