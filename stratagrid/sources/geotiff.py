@@ -98,14 +98,14 @@ def _open(path: str):
     return files, at
 
 
-def read_header(path: str) -> Header:
-    """The header of a file; an error if it is none, is not supported, or ends before its blocks do."""
+def read_header(path: str, whole: bool = True) -> Header:
+    """The header of a file; an error if it is none, is not supported, or (``whole``) ends before its blocks do."""
     files, at = _open(path)
     with files.open_input_file(at) as f:
-        return parse_header(f.read_at, f.size(), path)
+        return parse_header(f.read_at, f.size(), path, whole)
 
 
-def parse_header(read, size: int, path: str) -> Header:
+def parse_header(read, size: int, path: str, whole: bool = True) -> Header:
     """``read`` (bytes, place) reads a part of the file."""
     def need(n: int, place: int) -> bytes:
         got = read(n, place) if 0 <= place <= size else b""
@@ -142,7 +142,7 @@ def parse_header(read, size: int, path: str) -> Header:
                 own = need(length, struct.unpack(order + ("Q" if big else "I"), own)[0])
             own = own[:length]
             tags[tag] = own if letter == "s" else np.frombuffer(own, order + (letter if letter in "Bb" else {"H": "u2", "h": "i2", "I": "u4", "i": "i4", "f": "f4", "d": "f8", "Q": "u8", "q": "i8"}[letter]))
-        images.append(_image(tags, order, size, path))
+        images.append(_image(tags, order, size if whole else 2**62, path))
         header = header or _header(tags, path)
         place = struct.unpack(order + ("Q" if big else "I"), raw[n * each:])[0]
     if header is None:
@@ -222,6 +222,14 @@ def decode(data: bytes, image: Image, block: int) -> np.ndarray:
     return out[:rows, :columns]
 
 
+def valid(cells: np.ndarray, image: Image) -> np.ndarray:
+    """Which cells have data."""
+    good = ~np.isnan(cells) if cells.dtype.kind == "f" else np.ones(cells.shape, bool)
+    if image.nodata is not None:
+        good &= cells != np.array(image.nodata).astype(cells.dtype) if cells.dtype.kind == "f" else cells != image.nodata
+    return good
+
+
 def encode(cells: np.ndarray, compression: int = 8, predictor: int = 1) -> bytes:
     """A block's bytes from its rows and columns (little-endian)."""
     if predictor == 2:
@@ -243,7 +251,8 @@ class Blocks(InputPartition):
 
 class GeoTiffReader(DataSourceReader):
     """Options: level (1, or the factor of an overview that the file has), band (from 1), row_min, row_max, col_min, col_max (a window,
-    with its ends, in rows and columns of that level), xmin, ymin, xmax, ymax (a window in map units), part (blocks of a partition).
+    with its ends, in rows and columns of that level), xmin, ymin, xmax, ymax (a window in map units), part (blocks of a partition),
+    damaged (``skip``: blocks that are cut or can't be decoded are left out; by default they are an error).
     Cells without data give no rows."""
 
     def __init__(self, options: dict):
@@ -279,7 +288,7 @@ class GeoTiffReader(DataSourceReader):
 
     def chosen(self, path: str) -> tuple[Image, list[int]]:
         """The image of the level that is asked for, and its blocks that the window meets."""
-        header = read_header(path)
+        header = read_header(path, self.options.get("damaged") != "skip")
         image = next((x for x in header.images if x.level == self.level), None)
         if image is None:
             raise ValueError(f"{path} has no level {self.level}; there are {[x.level for x in header.images]}")
@@ -316,13 +325,15 @@ class GeoTiffReader(DataSourceReader):
             with files.open_input_file(at) as f:
                 for block in blocks if part.blocks is None else part.blocks:
                     row, col, rows, columns = image.box(block)
-                    cells = decode(f.read_at(int(image.sizes[block]), int(image.offsets[block])), image, block)[:, :, self.band - 1]
+                    try:
+                        cells = decode(f.read_at(int(image.sizes[block]), int(image.offsets[block])), image, block)[:, :, self.band - 1]
+                    except (ValueError, zlib.error):
+                        if self.options.get("damaged") == "skip":
+                            continue
+                        raise
                     r0, c0 = max(0, self.rows[0] - row), max(0, self.columns[0] - col)
                     cells = cells[r0:max(r0, self.rows[1] - row + 1), c0:max(c0, self.columns[1] - col + 1)]
-                    good = ~np.isnan(cells) if cells.dtype.kind == "f" else np.ones(cells.shape, bool)
-                    if image.nodata is not None:
-                        good &= cells != np.array(image.nodata).astype(cells.dtype) if cells.dtype.kind == "f" else cells != image.nodata
-                    r, c = np.nonzero(good)
+                    r, c = np.nonzero(valid(cells, image))
                     yield pa.RecordBatch.from_arrays([pa.array([path]).take(pa.array(np.zeros(len(r), np.int64))), pa.array(r + row + r0), pa.array(c + col + c0), pa.array(cells[r, c].astype(np.float64))], names=["file", "row", "col", "value"])
 
 
