@@ -173,3 +173,19 @@ def epoch_summary(surveys: DataFrame, by: Sequence[str]) -> DataFrame:
     out = surveys.groupBy(*by, "epoch").agg(F.count(F.lit(1)).alias("n"), F.min(F.abs("dt_years")).alias("least_dt"), F.bool_or("anchor").alias("has_anchor"))
     order = [F.col("has_anchor").desc_nulls_last(), F.col("least_dt").asc_nulls_last(), F.col("epoch").asc()]
     return out.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def distinct_epochs(surveys: DataFrame, by: Sequence[str], epoch: str = "epoch") -> DataFrame:
+    """(by, n_epochs): how many epochs the surveys of each area are in."""
+    return surveys.groupBy(*by).agg(F.count_distinct(epoch).alias("n_epochs"))
+
+
+def draw_order(surveys: DataFrame, by: Sequence[str], area: str = "area", name: str = "workunit") -> DataFrame:
+    """``surveys`` with draw, from 1 in each area: the largest first, so that smaller ones stay visible; those without an area before all."""
+    order = Window.partitionBy(*by).orderBy(F.col(area).desc_nulls_first(), name)
+    return surveys.withColumn("draw", F.row_number().over(order))
+
+
+def open_share(gaps: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, open_frac, n_gaps): what the gaps of each area come to together. Areas without gaps have no row."""
+    return gaps.groupBy(*by).agg(F.sum("gap_frac").alias("open_frac"), F.count(F.lit(1)).alias("n_gaps"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -275,3 +275,15 @@ def classify_ground(points: DataFrame, resolution: float = 1.0, window: int = 8,
     out = with_cell(points, resolution).join(dem.select(*by, "row", "col", "sg_z", steep.alias("sg_steep")), [*by, "row", "col"], "left")
     is_ground = F.coalesce(F.abs(F.col("z") - F.col("sg_z")) <= F.lit(threshold) + F.col("sg_steep") * scalar, F.lit(False))
     return out.withColumn(cls, F.when(is_ground, F.lit(GROUND)).otherwise(F.lit(1)).cast(points.schema[cls].dataType)).select(*points.columns)
+
+
+def on_tiles(points: DataFrame, function: Callable, schema: str, by: Sequence[str] = ("tile",), most: int = 5_000_000) -> DataFrame:
+    """``function`` (pandas frame in, pandas frame of ``schema`` out) of each tile's points, for what no operator here does.
+
+    A tile is one group, which its task holds whole, so tiles are counted first: one with more than ``most`` points is an error that
+    names it. Make tiles smaller then, with a halo where the function looks around points (see ``assign_tiles``).
+    """
+    large = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).limit(5).collect()
+    if large:
+        raise ValueError(f"tiles with more than {most} points: {[tuple(r) for r in large]}")
+    return points.groupBy(*by).applyInPandas(function, schema)

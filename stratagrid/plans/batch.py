@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import warnings
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 PRODUCTS = ("dsm", "dtm", "dtm_fill", "intensity")
 ALIASES = {"all": PRODUCTS, "dtm": ("dtm", "dtm_fill")}
 
@@ -59,6 +63,43 @@ def selector(text: str, keywords: Iterable[str] = ("auto", "latest")) -> tuple[s
     return (hit[0], []) if hit else ("list", tokens)
 
 
+def local_project(text: str) -> str | None:
+    """The project of a local folder of files: one name, or None for ``auto``, as the folder then names it. A folder is one project, so a list
+    of names, and ``latest``, are errors, as all is that ``selector`` refuses."""
+    kind, names = selector(text)
+    if kind == "latest" or len(names) > 1:
+        raise ValueError(f"{text!r} can't apply to a local folder: name the one project that its files belong to")
+    return names[0] if names else None
+
+
+def prefetched(load: Callable[[], DataFrame], kind: str) -> DataFrame | None:
+    """What ``load`` reads, once for all projects. If it fails, a list of names can go on without it (None, with a warning), as each
+    project then reads its own; a keyword (``auto``, ``latest``) can't, and the failure is raised."""
+    try:
+        return load()
+    except Exception as e:
+        if kind != "list":
+            raise
+        warnings.warn(f"the catalog could not be read beforehand ({e}); each project reads it", stacklevel=2)
+        return None
+
+
+def validated(checks: Mapping[str, Callable[[], bool]], then: Callable[[], T]) -> T:
+    """What ``then`` does, once all ``checks`` hold; else one error that names all that fail, and nothing is done. What deletes or replaces
+    goes into ``then``."""
+    failed = []
+    for what, check in checks.items():
+        try:
+            good = check()
+        except Exception as e:
+            failed.append(f"{what} ({e})")
+        else:
+            failed += [] if good else [what]
+    if failed:
+        raise ValueError(f"nothing was done: {'; '.join(failed)}")
+    return then()
+
+
 def pending(jobs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Jobs without a committed output."""
     return jobs.join(done.select(*keys).distinct(), list(keys), "left_anti")

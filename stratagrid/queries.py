@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import crs, geo, geodesy, operations, text
+from .functions import crs, geo, geodesic, geodesy, operations, text
 from .operators import catalog, conformance, footprints, merge, points, polygons, preflight, products, raster, reports, staging, vendor
 from .plans import batch
 from .plans.tables import new_path, written
-from .sources import geopackage, geotiff, gtx, octree, readers
+from .sources import geopackage, geotiff, gtx, merge_view, octree, readers
 from .streaming import epochs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1067,3 +1067,35 @@ def operation_round_trip(spark, sf_dir):
     p = places(spark, sf_dir).where("abs(lon - 3) < 30").withColumn("p", operations.apply(steps, F.col("lon"), F.col("lat"), F.lit(100.0)))
     back = p.withColumn("b", operations.apply(operations.inverted(steps), F.col("p.x"), F.col("p.y"), F.col("p.z")))
     return back.select("id", F.round("b.x", 6).alias("lon"), F.round("b.y", 6).alias("lat"), F.round("b.z", 3).alias("height"))
+
+
+@query(SRV + """, e AS (SELECT aoi, workunit, (xmax - xmin) * (ymax - ymin) AS area FROM sv)
+SELECT aoi, workunit, CAST(row_number() OVER (PARTITION BY aoi ORDER BY area DESC, workunit) AS INT) AS draw FROM e""")
+def draw_order(spark, sf_dir):
+    s = surveys(spark, sf_dir).withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
+    return catalog.draw_order(s, ["aoi"]).select("aoi", "workunit", "draw")
+
+
+@query(GRID_SQL + """, s AS (SELECT 0 AS rank, * FROM g WHERE col < 450 UNION ALL SELECT 1, row, col, value + 1 FROM g WHERE col >= 200 UNION ALL SELECT 2, row, col, value + 2 FROM g)
+SELECT row, col, arg_min(value, rank) AS value, CAST(min(rank) AS INT) AS "from" FROM s WHERE row BETWEEN 2 AND 60 AND col BETWEEN 150 AND 700 GROUP BY 1, 2""")
+def merge_view_window(spark, sf_dir):
+    """A window of a merge of three files, of which blocks that earlier ones hide are not opened."""
+    geotiff.register(spark)
+    whole, grid = _image_grid(spark, sf_dir)
+    base, folder = written(whole, "image-grid"), new_path(spark, "merge").removeprefix("file://")
+    parts = [base.where("col < 450"), base.where("col >= 200").withColumn("value", F.col("value") + 1), base.withColumn("value", F.col("value") + 2)]
+    for k, part in enumerate(parts):
+        geotiff.write(part, f"{folder}/{k}.tif", grid, block=64)
+    merge_view.create(spark, [f"{folder}/{k}.tif" for k in range(3)], f"{folder}/view.json")
+    return merge_view.read(spark, f"{folder}/view.json", row_min=2, row_max=60, col_min=150, col_max=700)
+
+
+@query(PLACE + f""", q AS (SELECT id, CAST({geo.F_WGS84!r} AS DOUBLE) * (2 - CAST({geo.F_WGS84!r} AS DOUBLE)) AS e2 FROM c)
+SELECT id, round(pow(CAST({geo.A} AS DOUBLE), 2) / 2 * radians(1 + id % 150) * (1 - e2) * (1 / (1 - e2) - ln((1 - sqrt(e2)) / (1 + sqrt(e2))) / (2 * sqrt(e2))) / 1e6, 1) AS km2 FROM q""")
+def geodesic_area(spark, sf_dir):
+    """Triangles of a pole and two places on the equator, whose sides, two meridians and the equator, are geodesics, anywhere around the globe."""
+    width, lon = 1 + F.col("id") % 150, F.col("lon")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    pole = F.when(F.col("id") % 2 == 0, 90.0).otherwise(-90.0)
+    ring = F.array(point(lon, F.lit(0.0)), point(lon + width / 2, F.lit(0.0)), point(lon + width, F.lit(0.0)), point(lon, pole))
+    return places(spark, sf_dir).select("id", F.round(geodesic.polygon_area(F.array(F.array(ring))) / 1e6, 1).alias("km2"))
