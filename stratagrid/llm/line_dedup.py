@@ -5,9 +5,10 @@ shard's task builds a minimal perfect hash and compact arrays behind it: a finge
 any other, the count of documents, and the document that keeps the line. Documents then probe the arrays, and the counts
 there decide: no line is joined. A line of one document alone can't be dropped, so it needs no place in the index.
 
-An index of up to ``PASS_BYTES`` goes to all documents at once. A larger one takes several passes. For these, documents and
-the hashes of their lines are written once, the hashes by the pass that has their shard, so each hash is probed once, and
-only what is to be dropped (row and line numbers) is written by a pass.
+An index of up to ``PASS_BYTES`` goes to all documents at once. For a larger one each shard's arrays are a file in the shared folder, and
+the lines' hashes go to the shards: a task has the hashes of its shards in order, opens one shard's arrays after the other, and
+writes which lines go (row and line numbers). A line that fills a third of all documents is one key of its shard's arrays, and
+its hashes are dealt over ``SALTS`` tasks, each of which opens the arrays for itself.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import clash, fresh, held, let_go, need, new_path, utf8, written
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in a shard, about.
 SHARD_KEYS = 50_000
-#: Bytes of arrays that one pass over the documents carries to every worker; a larger index takes several passes.
-PASS_BYTES = 24 << 20
+#: Bytes of arrays that go to every worker at once; those of a larger index stay in the shared folder. Tasks that a shard's lines are dealt over.
+PASS_BYTES, SALTS = 24 << 20, 32
 BLANK = b" \t\n\x0b\x0c\r"
 GAMMA, LEVELS = 1.5, 48
 
@@ -202,15 +203,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     n = lines.count()
     shards = max(1, -(-n // shard_keys))
     index = written(build_index(lines, shards), "line-index")
-    per_pass = max(1, pass_bytes // (shard_keys * 28))
-
-    def some(first: int):
+    if shards * shard_keys * 28 <= max(pass_bytes, shard_keys * 28):
         # at most pass_bytes
-        rows = [r.asDict() for r in index.where(F.col("shard").between(first, first + per_pass - 1)).collect()]
-        return spark.sparkContext.broadcast(rows), uuid.uuid4().hex
-
-    if shards <= per_pass:
-        shipped, name = some(0)
+        shipped, name = spark.sparkContext.broadcast([r.asDict() for r in index.collect()]), uuid.uuid4().hex
 
         def probe(batch: pa.RecordBatch) -> list:
             found = [list(_long_lines(t, min_chars)) for t in utf8(batch.column(text))]
@@ -224,14 +219,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         return _kept(docs, text, probe, docs.columns)
     row, drop = fresh(docs, "sg_row", "sg_drop")
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
-    hashes = new_path(spark, "line-hashes")
-    _hashes(numbered.select(F.col(row).alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), min_chars).withColumn("pass", F.floor(F.pmod(F.col("h1"), F.lit(shards)) / per_pass).cast("int")).write.partitionBy("pass").parquet(hashes)
-    table, drops = spark.read.parquet(hashes), new_path(spark, "line-drops")
-    for number in range(-(-shards // per_pass)):
-        shipped, name = some(number * per_pass)
-        _dropped(table.where(F.col("pass") == number).select("row", "key", "line", "h1", "h2"), shipped, name, shards, min_docs).write.mode("append").parquet(drops)
-        shipped.destroy()
-    by_row = spark.read.schema("row long, line int").parquet(drops).groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(drop))
+    folder = new_path(spark, "line-arrays")
+    _store(index, folder)
+    hashes = _hashes(numbered.select(F.col(row).alias("row"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), min_chars).withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
+    dealt = hashes.repartition("shard", F.pmod(F.xxhash64("row", "line"), F.lit(SALTS))).sortWithinPartitions("shard")
+    drops = written(_dropped(dealt, folder, shards, min_docs), "line-drops")
+    by_row = drops.groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(drop))
     return _kept(numbered.join(by_row, row, "left"), text, lambda batch: [x or () for x in batch.column(drop).to_pylist()], docs.columns)
 
 
@@ -249,15 +242,57 @@ def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, "row long, key long, line int, h1 long, h2 long")
 
 
-def _dropped(table: DataFrame, shipped, name: str, shards: int, min_docs: int) -> DataFrame:
-    """row and number of the lines that go, of lines whose shards are all in the index."""
+def _store(index: DataFrame, folder: str) -> None:
+    """Each row of ``index`` as a file of its own, named by its shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
         for batch in batches:
-            h = np.column_stack([batch.column(c).to_numpy() for c in ("h1", "h2")])
-            goes = pa.array(held(name, lambda: Index(shipped.value, shards, min_docs)).drops(h, batch.column("key").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(goes) for c in ("row", "line")], names=["row", "line"])
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                name = f"{path}/{one.column('shard')[0].as_py()}"
+                # whole when it has its name, whichever of several attempts gives it
+                made = f"{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(made, compression=None) as out, pa.ipc.new_stream(out, one.schema) as writer:
+                    writer.write_batch(one)
+                files.move(made, name)
+            yield pa.RecordBatch.from_arrays([batch.column("shard")], names=["shard"])
 
-    return table.mapInArrow(run, "row long, line int")
+    index.mapInArrow(run, "shard int").write.format("noop").mode("overwrite").save()
+
+
+def _dropped(dealt: DataFrame, folder: str, shards: int, min_docs: int) -> DataFrame:
+    """row and number of the lines that go, of lines that come shard by shard. A shard that no line recurs in has no file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        let_go()
+        files, path = fs.FileSystem.from_uri(folder)
+        now, own = -1, Index([], shards, min_docs)
+
+        def opened(shard: int) -> Index:
+            name = f"{path}/{shard}"
+            if files.get_file_info(name).type != fs.FileType.File:
+                return Index([], shards, min_docs)
+            with files.open_input_stream(name, compression=None) as f, pa.ipc.open_stream(f) as reader:
+                return Index(reader.read_all().to_pylist(), shards, min_docs)
+
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if shard[a] != now:
+                    now, own = int(shard[a]), opened(int(shard[a]))
+                some = batch.slice(a, b - a)
+                h = np.column_stack([some.column(c).to_numpy() for c in ("h1", "h2")])
+                goes = pa.array(own.drops(h, some.column("key").to_pylist()))
+                yield pa.RecordBatch.from_arrays([some.column(c).filter(goes) for c in ("row", "line")], names=["row", "line"])
+
+    return dealt.mapInArrow(run, "row long, line int")
 
 
 def _kept(docs: DataFrame, text: str, probe: Callable[[pa.RecordBatch], list], columns: list[str]) -> DataFrame:
