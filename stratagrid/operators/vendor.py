@@ -49,10 +49,12 @@ PAIR = r"(?:N/A|[\d.]+)\s+([\d.]+)"
 RESULTS = "Vertical Accuracy Results"
 VALIDATION_TITLE, PROJECT_TITLES = "Data Validation Report", (RESULTS, "Work Unit Definition")
 # End of fixed values.
+#: Patterns look at lines, which newlines end and nothing else: carriage returns and other breaks are characters of a line.
+LINES = "(?md)"
 
 
 def _group(text: Column, pattern: str, k: int = 1) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, "(?m)" + pattern, k)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(text, LINES + pattern, k)), F.lit(""))
 
 
 def _name(metric: str) -> str:
@@ -85,7 +87,7 @@ def labelled(text: Column) -> dict[str, Column]:
 
 def _line(text: Column, pattern: str) -> Column:
     """The line in which the pattern's first place is, blanks collapsed; null if there is none."""
-    at, match = F.regexp_instr(text, F.lit("(?m)" + pattern)), F.regexp_extract(text, "(?m)" + pattern, 0)
+    at, match = F.regexp_instr(text, F.lit(LINES + pattern)), F.regexp_extract(text, LINES + pattern, 0)
     before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(match), F.length(text))
     rest = F.when(F.contains(after, F.lit("\n")), F.substring_index(after, "\n", 1)).otherwise("")
     return F.when(at > 0, F.trim(F.regexp_replace(F.concat(F.substring_index(before, "\n", -1), match, rest), r"\s+", " ")))
@@ -120,7 +122,7 @@ def project(text: Column) -> dict[str, Column]:
         for k, name in enumerate(names, 1):
             old[name] = metres(_group(text, rf"^\s*{label}\s*\n\s*{PAIR}\s+{PAIR}", k))
     rest = F.coalesce(F.get(F.split(text, RESULTS, 2), F.lit(1)), text)
-    row = rf"(?m)^\s*{PAIR}\s+{PAIR}\s+{PAIR}\s*$"
+    row = LINES + rf"^\s*{PAIR}\s+{PAIR}\s+{PAIR}\s*$"
     new = {}
     for k, kind in enumerate(("pointcloud", "dem")):
         for g, name in enumerate((f"nva_rmsez_{kind}_m", f"nva_95_{kind}_m", f"vva_95th_{kind}_m"), 1):

@@ -516,6 +516,12 @@ def test_polygon_coverage_against_a_fine_grid(spark, monkeypatch, per_strip, per
     assert len(big(sizes)) == len(big(g["gap_frac"] for g in found)) and np.allclose(big(sizes), big(g["gap_frac"] for g in found), atol=0.011)
 
 
+@pytest.mark.parametrize("inner", ["\r", "\x85", "\u2028", "\x0c"])
+def test_only_newlines_end_lines_of_reports(spark, inner):
+    text = f"P Method: Lidar{inner}X\nQL: 2"
+    assert one(spark, vendor._group(F.lit(text), r"^P Method:\s*(.+)$"), vendor._group(F.lit(text), r"^QL:\s*(.+)$")) == (f"Lidar{inner}X", "2")
+
+
 def test_search(spark):
     areas = spark.createDataFrame([(1, "", [[square(0, 0, 1, 1)]])], SHAPE)
     rows = [(1, "WU_A", "2022-01-01", "2022-02-01", "QL 1", "Meets", "GEOID18", [[square(0, 0, 0.6, 1)]]), (1, "WU_B", "2016-01-01", "2016-02-01", "QL 2", "Meets", "GEOID12B", [[square(0, 0, 0.8, 1)]]), (1, "WU_C", None, None, None, None, None, [[square(0.99, 0, 2, 1)]])]
