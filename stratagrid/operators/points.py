@@ -189,11 +189,17 @@ def tile_lattice(extent: DataFrame, step: float, resolution: float, buffer: floa
     widened again.
     """
     count = lambda a, b: F.greatest(F.ceil((F.col(b) - F.col(a)) / step), F.lit(1))
-    e = extent.select("*", count("xmin", "xmax").alias("n_cols"), count("ymin", "ymax").alias("n_rows"))
-    t = e.select("*", F.explode(F.sequence(F.lit(0), (F.col("n_cols") - 1).cast("int"))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), (F.col("n_rows") - 1).cast("int"))).alias("j"))
+    e = extent.select("xmin", "ymin", "xmax", "ymax", count("xmin", "xmax").alias("n_cols"), count("ymin", "ymax").alias("n_rows"))
+    found = e.limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("the extent has more than one row")
+    # a range of numbers is dealt to all tasks and made row by row; a sequence of one row would be held by one task
+    rows, cols = (found[0]["n_rows"], found[0]["n_cols"]) if found else (1, 0)
+    of = {c: F.lit(found[0][c] if found else None).cast(e.schema[c].dataType).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")}
+    t = extent.sparkSession.range(rows * cols).select(*of.values(), (F.col("id") + 1).alias("tile"), F.expr(f"id div {rows}L").alias("i"), (F.col("id") % rows).alias("j"))
     low = lambda c, k: F.floor((F.col(c) + F.col(k) * step) / resolution) * resolution
     high = lambda c, k, end: F.ceil(F.least(F.col(c) + (F.col(k) + 1) * step, F.col(end)) / resolution) * resolution
-    t = t.select((F.col("i") * F.col("n_rows") + F.col("j") + 1).cast("bigint").alias("tile"), low("xmin", "i").alias("x0"), low("ymin", "j").alias("y0"), high("xmin", "i", "xmax").alias("x1"), high("ymin", "j", "ymax").alias("y1"))
+    t = t.select("tile", low("xmin", "i").alias("x0"), low("ymin", "j").alias("y0"), high("xmin", "i", "xmax").alias("x1"), high("ymin", "j", "ymax").alias("y1"))
     down, up = (lambda c: F.floor((F.col(c) - buffer) / resolution) * resolution), (lambda c: F.ceil((F.col(c) + buffer) / resolution) * resolution)
     return t.select("tile", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], down("x0").cast("double").alias("bx0"), down("y0").cast("double").alias("by0"), up("x1").cast("double").alias("bx1"), up("y1").cast("double").alias("by1"))
 
