@@ -47,3 +47,18 @@ def test_area_below_a_side_costs_the_same_however_long_it_is(spark):
     for r in df.select("id", geodesic.polygon_area(F.col("parts")).alias("m2")).collect():
         s = dict(shapes)[r["id"]]
         assert r["m2"] == (None if s is None else pytest.approx(sum(alone(rings[0]) - sum(map(alone, rings[1:])) for rings in s if rings), rel=1e-12))
+
+
+def test_gaps_of_the_ground_are_filled_where_they_are_found(spark, monkeypatch):
+    """No ground cell is made into a row for each cell that it may fill, and blocks' borders do not show, nor do points without a height."""
+    rng = random.Random(3)
+    rows = [(t, rng.uniform(0, 60), rng.uniform(0, 60), rng.choice([rng.gauss(10, 0.2), rng.gauss(10, 0.2), rng.uniform(12, 40)]), k) for t in (1, 2) for k in range(1500)]
+    rows += [(1, rng.uniform(0, 60), rng.uniform(0, 60), z, 1500 + k) for k, z in enumerate([None, float("nan")] * 5)]
+    pts = spark.createDataFrame([(*r, 1) for r in rows], "tile int, x double, y double, z double, id int, cls int")
+    out = points.classify_ground(pts, window=3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Generate ") <= 2
+    whole = {(r["tile"], r["id"]): r["cls"] for r in out.collect()}
+    monkeypatch.setattr(points, "BLOCK", 16)
+    assert {(r["tile"], r["id"]): r["cls"] for r in points.classify_ground(pts, window=3).collect()} == whole
+    assert set(whole.values()) == {1, 2} and all(whole[1, k] == 1 for k in range(1500, 1510))
+    assert {(r["tile"], r["id"]): r["cls"] for r in points.classify_ground(pts.where("z IS NOT NULL AND NOT isnan(z)"), window=3).collect()} == {k: v for k, v in whole.items() if k[1] < 1500}
