@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratagrid import queries
 from stratagrid.functions import geodesic
-from stratagrid.operators import points
+from stratagrid.operators import points, raster
 
 
 def test_tiles_are_made_by_all_tasks(spark):
@@ -62,3 +63,19 @@ def test_gaps_of_the_ground_are_filled_where_they_are_found(spark, monkeypatch):
     assert {(r["tile"], r["id"]): r["cls"] for r in points.classify_ground(pts, window=3).collect()} == whole
     assert set(whole.values()) == {1, 2} and all(whole[1, k] == 1 for k in range(1500, 1510))
     assert {(r["tile"], r["id"]): r["cls"] for r in points.classify_ground(pts.where("z IS NOT NULL AND NOT isnan(z)"), window=3).collect()} == {k: v for k, v in whole.items() if k[1] < 1500}
+
+
+def test_filling_a_grid_does_not_write_it(spark, tmp_path, monkeypatch):
+    """The grid goes from its aggregation to its blocks; blocks' borders, null groups and cells given as null do not show."""
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(40), rng.randrange(12), 1, rng.uniform(1, 50), rng.uniform(0, 0.1), rng.uniform(0, 0.1), rng.uniform(900, 9000), rng.choice("AN"), "O") for k in range(200)]
+    names = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_discount l_tax l_extendedprice l_returnflag l_linestatus".split()
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = queries.dtm_fill(spark, str(tmp_path))
+    assert all("lineitem" in f for f in out.inputFiles())
+    whole = sorted(tuple(r) for r in out.collect())
+    monkeypatch.setattr(raster, "BLOCK", 5)
+    assert sorted(tuple(r) for r in queries.dtm_fill(spark, str(tmp_path)).collect()) == whole and {r[3] for r in whole} == {False, True}
+    cells = spark.createDataFrame([(None, -1, 0, 2.0), (None, 1, 0, 4.0), (None, 0, 0, None), (7, 4, 4, 9.0)], "g int, row int, col int, value float")
+    got = {(r["g"], r["row"], r["col"]): (r["value"], r["filled"]) for r in raster.window_fill(cells, 1, by=["g"]).collect()}
+    assert len(got) == 9 + 15 and got[None, 0, 0] == (3.0, True) and got[None, -1, 0] == (2.0, False) and got[7, 5, 5] == (9.0, True)
