@@ -126,39 +126,130 @@ def grid_products(points: DataFrame, wanted: Sequence[Product], resolution: floa
     ])
 
 
+#: Mean distances between ground points: the side of a block, its margin. Pairs of points that are compared at once.
+SPAN, MARGIN, PAIRS = 16, 2, 100_000
+
+
+def _nearest(px, py, gx, gy):
+    """Of each point the nearest ground point's number, the smallest of several, and its squared distance. Points are halved until few
+    pairs are left; a half keeps the ground that may be nearest to a point in its box, so that dense places cost no more."""
+    import numpy as np
+
+    best, least, todo = np.zeros(len(px), int), np.zeros(len(px)), [(np.arange(len(px)), np.arange(len(gx)))]
+    while todo:
+        p, g = todo.pop()
+        west, east, south, north = px[p].min(), px[p].max(), py[p].min(), py[p].max()
+        if len(p) * len(g) > PAIRS:
+            x, y = gx[g], gy[g]
+            far = np.maximum(x - west, east - x) ** 2 + np.maximum(y - south, north - y) ** 2
+            near = np.maximum(np.maximum(west - x, x - east), 0) ** 2 + np.maximum(np.maximum(south - y, y - north), 0) ** 2
+            # a little wider, so that rounding loses nothing
+            g = g[near <= far.min() * (1 + 1e-9)]
+        if len(p) * len(g) > PAIRS and (west < east or south < north):
+            k = np.argsort(px[p] if east - west >= north - south else py[p], kind="stable")
+            todo += [(p[k[:len(p) // 2]], g), (p[k[len(p) // 2:]], g)]
+            continue
+        rows = max(PAIRS // len(g), 1)
+        # points at one place have one answer
+        for own in [p[:1]] if west == east and south == north else [p[k:k + rows] for k in range(0, len(p), rows)]:
+            dx, dy = px[own, None] - gx[g], py[own, None] - gy[g]
+            d2 = dx * dx + dy * dy
+            k = d2.argmin(1)
+            to = p if west == east and south == north else own
+            best[to], least[to] = g[k], d2[np.arange(len(own)), k]
+    return best, least
+
+
 def height_above_ground(points: DataFrame, by: Sequence[str] = ("tile",), bucket: float | None = None, cls: str = "cls") -> DataFrame:
     """``points`` with hag: the height above the nearest ground point of the group in x and y (of several, the lowest).
 
-    Points look for ground in their own and the eight buckets around; those whose nearest find may not be the nearest go on
-    with buckets four times as wide. So each round is an equi-join, made once and written, and few points are left for the wide
-    ones. A group without ground has null. By default the first buckets would hold one ground point each if these were spread
-    evenly. Needs ``x``, ``y``, ``z`` and no column starting with ``sg_``.
+    Each group is cut into blocks, and a point goes to its block, a ground point to all blocks that it is near: one exchange, in which
+    tasks read a block's ground and then its points in batches. Points whose nearest find may not be the nearest look around
+    themselves in buckets that get four times as wide each round; only they are made into rows for buckets. A group without ground has
+    null, and so has a point whose place isn't known. ``bucket``: the distance between ground points, by default that of each group
+    if its ground were spread evenly. Needs ``x``, ``y``, ``z`` and no column starting with ``sg_``.
     """
-    by = list(by)
-    ground = points.where(F.col(cls) == GROUND).select(*by, F.col("x").alias("sg_gx"), F.col("y").alias("sg_gy"), F.col("z").alias("sg_gz"))
-    places = points.select(*by, "x", "y").distinct().join(ground.select(*by).distinct(), by, "left_semi")
-    extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count_if(F.col(cls) == GROUND)).first()
-    width, height = float(extent[0] or 0), float(extent[1] or 0)
-    bucket = bucket or math.sqrt(max(width * height, 1e-6) / max(extent[2], 1))
-    widest = max(width, height, bucket)
-    left, out = places, None
+    by, is_ground = list(by), F.col(cls) == GROUND
+    finite = lambda c: F.col(c).between(-1.7e308, 1.7e308)
+    x, y = (F.when(is_ground & finite("x") & finite("y"), F.col(c)) for c in "xy")
+    width, height = F.max(x) - F.min(x), F.max(y) - F.min(y)
+    reach = F.greatest(*[F.max(F.when(finite(c), F.col(c))) - F.min(F.when(finite(c), F.col(c))) for c in "xy"]).cast("double")
+    # a group's ground may lie on a line, or at one place
+    own = points.groupBy(*by).agg(F.greatest(F.sqrt(width * height / F.count(x)), F.greatest(width, height) / F.count(x)).alias("sg_s"), reach.alias("sg_reach"), F.count(x).alias("sg_n")).where("sg_n > 0")
+    wide = F.greatest("sg_s", F.col("sg_reach") * 1e-5)
+    own = written(own.select(*by, (F.when(wide > 0, wide).otherwise(1.0) if bucket is None else F.lit(float(bucket))).alias("sg_s"), "sg_reach"), "groups")
+    at = lambda c, size, off=0: F.floor((F.col(c) + F.col("sg_s") * off) / (F.col("sg_s") * size))
+    here = points.join(own.drop("sg_reach"), by, "left").withColumns({"sg_i": at("x", SPAN), "sg_j": at("y", SPAN), "sg_point": F.lit(True)}).drop("sg_s")
+    near = lambda c: F.explode(F.sequence(at(c, SPAN, -MARGIN), at(c, SPAN, MARGIN)))
+    ground = points.where(is_ground & finite("x") & finite("y")).select(*by, "x", "y", "z").join(own, by)
+    around = ground.withColumn("sg_i", near("x")).withColumn("sg_j", near("y")).withColumn("sg_point", F.lit(False)).drop("sg_reach")
+    key = [*by, "sg_i", "sg_j"]
+    # the margin goes with the ground: points have no use for it otherwise
+    dealt = here.withColumn("sg_s", F.lit(None).cast("double")).unionByName(around, allowMissingColumns=True)
+    schema = points.withColumns({"sg_ground": F.col("z"), "sg_sure": F.lit(False)}).schema
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        group, held, ready = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keyed = [table.column(c).to_pylist() for c in (*key, "sg_point")]
+            keyed = list(zip(*keyed))
+            out, start = [], 0
+            for k in [*(k for k in range(1, len(keyed)) if keyed[k] != keyed[k - 1]), len(keyed)]:
+                part, own_key = table.slice(start, k - start), keyed[start][:-1]
+                if own_key != group:
+                    group, held, ready = own_key, [], None
+                if not keyed[start][-1]:
+                    held.append(part.select(["x", "y", "z", "sg_s"]))
+                elif k > start:
+                    n = len(part)
+                    px, py = (part.column(c).to_numpy().astype(float) for c in "xy")
+                    take, sure = np.full(n, -1), ~(np.isfinite(px) & np.isfinite(py))
+                    if held and ready is None:
+                        g = pa.concat_tables(held)
+                        z = g.column("z").to_numpy().astype(float)
+                        # of several, the first: the lowest
+                        g = g.take(pa.array(np.argsort(np.where(g.column("z").is_null().to_numpy(), -np.inf, z), kind="stable")))
+                        ready = *(g.column(c).to_numpy().astype(float) for c in "xy"), g.column("z"), (g.column("sg_s")[0].as_py() * MARGIN) ** 2
+                    if ready:
+                        good = np.flatnonzero(~sure)
+                        if len(good):
+                            best, d2 = _nearest(px[good], py[good], *ready[:2])
+                            take[good], sure[good] = best, d2 <= ready[3]
+                    z = ready[2].take(pa.array(take, mask=take < 0)) if ready else pa.nulls(n, arrow.field("sg_ground").type)
+                    out.append(part.select(points_columns).append_column("sg_ground", z).append_column("sg_sure", pa.array(sure)).cast(arrow))
+                start = k
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    points_columns, arrow = points.columns, to_arrow_schema(schema)
+    found = written(dealt.repartition(*key).sortWithinPartitions(*key, "sg_point").mapInArrow(run, schema), "nearest-ground")
+    sure = found.where("sg_sure").withColumn("hag", F.col("z") - F.col("sg_ground")).select(*points.columns, "hag")
+    unsure = found.where("NOT sg_sure").drop("sg_ground", "sg_sure")
+    left, out, wide = written(unsure.select(*by, "x", "y").distinct().join(own, by), "unsure"), None, 2 * MARGIN
+    if left.isEmpty():
+        return sure.unionByName(unsure.withColumn("hag", F.lit(None).cast(sure.schema["hag"].dataType)))
     while True:
-        last = bucket > widest
-        around = F.sequence(F.lit(-1), F.lit(1))
-        at = lambda c: F.floor(F.col(c) / bucket)  # noqa: B023, E731
-        spread = ground.withColumns({"sg_i": at("sg_gx"), "sg_j": at("sg_gy")}).withColumn("sg_a", F.explode(around)).withColumn("sg_b", F.explode(around))
-        spread = spread.withColumns({"sg_i": F.col("sg_i") + F.col("sg_a"), "sg_j": F.col("sg_j") + F.col("sg_b")}).drop("sg_a", "sg_b")
+        step = F.sequence(F.lit(-1), F.lit(1))
+        spread = left.withColumn("sg_a", F.explode(step)).withColumn("sg_b", F.explode(step)).withColumns({"sg_i": at("x", wide) + F.col("sg_a"), "sg_j": at("y", wide) + F.col("sg_b")})
+        there = ground.select(*by, F.col("x").alias("sg_gx"), F.col("y").alias("sg_gy"), F.col("z").alias("sg_gz"), at("x", wide).alias("sg_i"), at("y", wide).alias("sg_j"))
         dx, dy = F.col("x") - F.col("sg_gx"), F.col("y") - F.col("sg_gy")
-        best = F.min(F.when(F.col("sg_gx").isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), F.col("sg_gz").alias("gz"))))
-        found = left.withColumns({"sg_i": at("x"), "sg_j": at("y")}).join(spread, [*by, "sg_i", "sg_j"], "left").groupBy(*by, "x", "y").agg(best.alias("sg_best"))
-        found = written(found.withColumn("sg_sure", F.lit(True) if last else F.coalesce(F.col("sg_best.d2") <= bucket * bucket, F.lit(False))), "nearest-ground")
-        sure = found.where("sg_sure").select(*by, "x", "y", F.col("sg_best.gz").alias("sg_ground"))
-        out = sure if out is None else out.unionByName(sure)
-        left = found.where("NOT sg_sure").select(*by, "x", "y")
-        if last or left.isEmpty():
+        best = F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("sg_gz").alias("gz")))
+        met = spread.join(there, key).groupBy(*by, "x", "y").agg(best.alias("sg_best"))
+        size = F.col("sg_s") * wide
+        certain = F.coalesce(F.col("sg_best.d2") <= size * size, F.lit(False)) | (size > F.col("sg_reach"))
+        met = written(left.join(met, [*by, "x", "y"], "left").withColumn("sg_sure", certain), "nearest-ground")
+        done = met.where("sg_sure").select(*by, "x", "y", F.col("sg_best.gz").alias("sg_ground"))
+        out = done if out is None else out.unionByName(done)
+        left = met.where("NOT sg_sure").drop("sg_best", "sg_sure")
+        if left.isEmpty():
             break
-        bucket *= 4
-    return points.join(out, [*by, "x", "y"], "left").withColumn("hag", F.col("z") - F.col("sg_ground")).drop("sg_ground")
+        wide *= 4
+    return sure.unionByName(unsure.join(out, [*by, "x", "y"], "left").withColumn("hag", F.col("z") - F.col("sg_ground")).select(*points.columns, "hag"))
 
 
 def mark_high(points: DataFrame, max_hag: float, hag: str = "hag", cls: str = "cls") -> DataFrame:

@@ -193,7 +193,7 @@ def pts_tile_halo(spark, sf_dir):
 b AS (SELECT tile, x, y, min(struct_pack(d2 := (x - gx) * (x - gx) + (y - gy) * (y - gy), gz := gz)) AS best FROM u JOIN g USING (tile) GROUP BY 1, 2, 3)
 SELECT x, y, z, round(z - best.gz, 6) AS hag FROM p LEFT JOIN b USING (tile, x, y)""")
 def hag_nearest(spark, sf_dir):
-    return points.height_above_ground(cloud(spark, sf_dir)).select("x", "y", "z", F.round("hag", 6).alias("hag"))
+    return points.height_above_ground(cloud(spark, sf_dir).select("x", "y", "z", "cls", "tile")).select("x", "y", "z", F.round("hag", 6).alias("hag"))
 
 
 @query(PTS + """, u AS (SELECT DISTINCT tile, x, y FROM p), g AS (SELECT tile, x AS gx, y AS gy, z AS gz FROM p WHERE cls = 2),
@@ -201,7 +201,7 @@ b AS (SELECT tile, x, y, min(struct_pack(d2 := (x - gx) * (x - gx) + (y - gy) *
 h AS (SELECT p.*, coalesce(z - best.gz > 12, false) AS high FROM p LEFT JOIN b USING (tile, x, y))
 SELECT CAST(floor(y) AS BIGINT) AS row, CAST(floor(x) AS BIGINT) AS col, max(z) AS value, count(*) AS n FROM h WHERE NOT high AND cls NOT IN (7, 11, 18) GROUP BY 1, 2""")
 def dsm_hag(spark, sf_dir):
-    marked = points.mark_high(points.height_above_ground(cloud(spark, sf_dir)), 12.0)
+    marked = points.mark_high(points.height_above_ground(cloud(spark, sf_dir).select("x", "y", "z", "cls", "tile")), 12.0)
     return points.grid_max(points.drop_classes(marked, points.LOW_NOISE, points.HIGH_NOISE, points.ROAD), 1.0)
 
 

@@ -79,3 +79,31 @@ def test_filling_a_grid_does_not_write_it(spark, tmp_path, monkeypatch):
     cells = spark.createDataFrame([(None, -1, 0, 2.0), (None, 1, 0, 4.0), (None, 0, 0, None), (7, 4, 4, 9.0)], "g int, row int, col int, value float")
     got = {(r["g"], r["row"], r["col"]): (r["value"], r["filled"]) for r in raster.window_fill(cells, 1, by=["g"]).collect()}
     assert len(got) == 9 + 15 and got[None, 0, 0] == (3.0, True) and got[None, -1, 0] == (2.0, False) and got[7, 5, 5] == (9.0, True)
+
+
+def test_height_above_ground_moves_a_point_once_however_far_groups_lie_apart(spark):
+    """Points of a group are found by the spacing of its own ground: what is moved stays near the number of points. Dense places, places of
+    several points, lone points, ties, nulls and groups without ground give what comparing all pairs gives."""
+    rng = random.Random(5)
+    rows = [(t, 5000.0 * t + rng.uniform(0, 10), 3000.0 * t + rng.uniform(0, 200), rng.uniform(0, 50), rng.choice([1, 1, 2])) for t in range(12) for _ in range(300)]
+    rows += [(20, 7.0 + rng.gauss(0, 1e-4), 7.0 + rng.gauss(0, 1e-4), float(k % 7), 1 + k % 2) for k in range(900)] + [(20, 900.0, float(k), 1.0, 1) for k in range(5)]
+    rows += [(21, float(k % 4), float(k // 4 % 4), float(k % 5), 1 + k % 2) for k in range(64)] + [(21, 0.5, 0.5, 3.0, 1), (22, 1.0, 1.0, 1.0, 1), (None, 1.0, 1.0, 1.0, 2), (0, None, 1.0, 1.0, 1), (23, 4.0, 4.0, 9.0, 2), (23, 5e5, 4.0, 9.5, 1)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, tile int, x double, y double, z double, cls int").coalesce(2)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    last = max((stages().apply(k).stageId() for k in range(stages().size())), default=-1)
+    got = {r["id"]: r["hag"] for r in points.height_above_ground(df).collect()}
+    moved = [stages().apply(k) for k in range(stages().size())]
+    assert sum(s.shuffleWriteRecords() for s in moved if s.stageId() > last) < 3 * len(rows)
+    for k, (t, x, y, z, _) in enumerate(rows):
+        near = [((x - g[1]) * (x - g[1]) + (y - g[2]) * (y - g[2]), g[3]) for g in rows if g[4] == 2 and g[0] == t] if t is not None and x is not None else []
+        assert got[k] == (z - min(near)[1] if near else None)
+
+
+def test_nearest_of_many_pairs():
+    rng = np.random.default_rng(1)
+    px, py = np.concatenate([rng.uniform(0, 9, 700), np.full(3000, 4.5)]), np.concatenate([rng.uniform(0, 9, 700), np.full(3000, 4.5)])
+    gx, gy = np.round(rng.uniform(0, 9, (2, 900)), 1)
+    best, d2 = points._nearest(px, py, gx, gy)
+    want = (px[:, None] - gx) ** 2 + (py[:, None] - gy) ** 2
+    assert (best == want.argmin(1)).all() and (d2 == want.min(1)).all()
