@@ -48,7 +48,7 @@ def select_tiles(tiles: DataFrame, areas: DataFrame, by: Sequence[str], tile: st
     shaped = tiles.withColumn("parts", polygons.box_parts(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]))
     # the tile is measured as the shape that is covered: all of the area's part in it, and of that what resources hold
     pieces = polygons.overlay(areas, shaped, by, tile, resources, resource, degrees)
-    met = pieces.where("kind = 'overlap'").groupBy(*by, F.col("id").alias("sg_id")).agg(F.sum("area").alias("sg_area"), F.sum("more").alias("sg_more"))
+    met = polygons.overlaps(pieces, by, "sg_id").drop("sg_first")
     if resources is not None:
         met = met.where("sg_more > 0")
     own = shaped.withColumn("sg_id", F.col(tile).cast("string")).join(met, [*by, "sg_id"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratagrid import queries
 from stratagrid.functions import geodesic
-from stratagrid.operators import points, raster
+from stratagrid.operators import points, polygons, raster, staging
 
 
 def test_tiles_are_made_by_all_tasks(spark):
@@ -107,3 +107,25 @@ def test_nearest_of_many_pairs():
     best, d2 = points._nearest(px, py, gx, gy)
     want = (px[:, None] - gx) ** 2 + (py[:, None] - gy) ** 2
     assert (best == want.argmin(1)).all() and (d2 == want.min(1)).all()
+
+
+def test_equal_shapes_are_swept_once(spark):
+    """Surveys of an area, and resources, with the same shapes make one row of pieces, and each survey gets all names."""
+    box = lambda w, s, d: [[[{"x": float(x), "y": float(y)} for x, y in ((w, s), (w + d, s), (w + d, s + d), (w, s + d))]]]
+    shape = "parts array<array<array<struct<x:double,y:double>>>>"
+    areas = spark.createDataFrame([(1, box(0, 0, 8)), (2, box(0, 0, 4))], f"aoi int, {shape}")
+    own = [(a, f"w{k}", box(k % 2 * 2, 0, 2)) for a in (1, 2) for k in range(30)] + [(1, "far", box(20, 20, 1)), (1, None, box(20, 20, 1)), (1, "two", box(0, 0, 2)), (1, "two", box(2, 0, 2))]
+    surveys = spark.createDataFrame(own, f"aoi int, workunit string, {shape}")
+    builds = spark.createDataFrame([(f"r{k:02}", box(1 + k % 2 * 2, 0, 1)) for k in range(20)] + [("r99", box(0, 0, 1)), (None, box(0, 0, 8)), ("none", None)], f"name string, {shape}")
+    pieces = polygons.overlay(areas, surveys, ["aoi"], resources=builds.where("name IS NOT NULL"), degrees=False)
+    assert pieces.where("kind = 'overlap'").select("aoi", "id").distinct().count() == 5 and pieces.where("kind = 'hit'").select("aoi", "id", "other").distinct().count() == 9
+    got = {(r["aoi"], r["workunit"]): r for r in polygons.inventory(pieces, surveys.dropDuplicates(["aoi", "workunit"]), ["aoi"]).collect()}
+    even, odd = [f"r{k:02}" for k in range(0, 20, 2)] + ["r99"], [f"r{k:02}" for k in range(1, 20, 2)]
+    assert len(got) == 61 and all(got[a, f"w{k}"]["ept_names"] == (odd if k % 2 else even) for a in (1, 2) for k in range(30)) and got[1, "two"]["ept_names"] == sorted(even + odd)
+    # boxes of 2 x 2: in even ones, two squares of four are held, in odd ones one
+    assert all(abs(got[a, f"w{k}"]["ept_coverage_frac"] - (0.25 if k % 2 else 0.5)) < 1e-9 for a in (1, 2) for k in range(30)) and abs(got[1, "two"]["ept_coverage_frac"] - 0.375) < 1e-9
+    text = polygons.inventory(pieces, surveys, ["aoi"], joined=",").where("workunit = 'w0'").first()["ept_names"]
+    assert text == ",".join(even)
+    tiles = spark.createDataFrame([(1, f"t{k}", 0.0, 0.0, 2.0, 2.0) for k in range(9)], "aoi int, tile string, xmin double, ymin double, xmax double, ymax double")
+    kept = staging.select_tiles(tiles, areas, ["aoi"], resources=builds.where("name = 'r99'")).collect()
+    assert sorted(r["tile"] for r in kept) == [f"t{k}" for k in range(9)] and all(abs(r["share"] - 1) < 1e-9 for r in kept)
