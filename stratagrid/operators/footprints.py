@@ -90,10 +90,12 @@ def _parents(stretches: DataFrame, placed: DataFrame, rims: DataFrame, by: list[
     # the cell that is the hole's first lies in the row below its first corner
     holes = holes.select(*by, "ring", F.col("at.r").alias("row"), F.col("at.c").alias("c"))
     upright = stretches.where(F.col("dir") == SOUTH).join(placed.select(*by, "id", F.col("ring").alias("other")), [*by, "id"])
-    # only rows that a hole begins in are looked at
-    rows = holes.select(*by, "row").distinct()
-    west = upright.select(*by, "line", "other", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("row")).join(rows, [*by, "row"], "left_semi")
-    near = holes.join(west, [*by, "row"]).where("line < c").groupBy(*by, "ring").agg(F.max_by("other", "line").alias("up"))
+    sides = upright.select(*by, "line", "other", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("row"))
+    # holes and western sides of a row in order: each hole takes the last side before it, so no hole meets all sides of its row
+    west = Window.partitionBy(*by, "row").orderBy("at", "hole").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    none = F.lit(None).cast(rims.schema["ring"].dataType)
+    both = sides.select(*by, "row", F.col("line").alias("at"), F.lit(1).alias("hole"), "other", none.alias("ring")).unionByName(holes.select(*by, "row", F.col("c").alias("at"), F.lit(0).alias("hole"), none.alias("other"), "ring"))
+    near = both.withColumn("up", F.last("other", ignorenulls=True).over(west)).where("hole = 0 AND up IS NOT NULL").select(*by, "ring", "up")
     outer = rims.select(*by, F.col("ring").alias("up"), F.col("outer").alias("done"))
     now = written(near.join(outer, [*by, "up"]), "holes")
     while not now.where("NOT done").isEmpty():

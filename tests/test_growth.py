@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratagrid import queries
 from stratagrid.functions import geodesic
-from stratagrid.operators import points, polygons, raster, staging
+from stratagrid.operators import footprints, points, polygons, raster, staging
 
 
 def test_tiles_are_made_by_all_tasks(spark):
@@ -129,3 +129,14 @@ def test_equal_shapes_are_swept_once(spark):
     tiles = spark.createDataFrame([(1, f"t{k}", 0.0, 0.0, 2.0, 2.0) for k in range(9)], "aoi int, tile string, xmin double, ymin double, xmax double, ymax double")
     kept = staging.select_tiles(tiles, areas, ["aoi"], resources=builds.where("name = 'r99'")).collect()
     assert sorted(r["tile"] for r in kept) == [f"t{k}" for k in range(9)] and all(abs(r["share"] - 1) < 1e-9 for r in kept)
+
+
+def test_holes_do_not_meet_all_sides_of_their_row(spark, monkeypatch):
+    """A hole's neighbour in the west is found in the order of the row; the work does not grow with holes times sides of a row."""
+    plans = []
+    kept = footprints.written
+    monkeypatch.setattr(footprints, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().toString())), kept(df, name))[1])
+    cells = spark.createDataFrame([("a", r, c, 1.0) for r in range(3) for c in range(41) if r != 1 or c % 2 == 0] + [("b", 0, 0, 1.0)], "source string, row long, col long, value double")
+    got = footprints.rings(cells).collect()
+    assert sum(not r["outer"] for r in got) == 20 and len({r["parent"] for r in got if r["source"] == "a"}) == 1 and len(got) == 22
+    assert "Window" in next(p for name, p in plans if name == "holes")
