@@ -940,7 +940,7 @@ SELECT tile, cls, count(*) AS n FROM c GROUP BY 1, 2""")
 
 @query(_ground_sql())
 def ground_classes(spark, sf_dir):
-    return points.classify_ground(cloud(spark, sf_dir)).groupBy("tile", "cls").agg(F.count(F.lit(1)).alias("n"))
+    return points.classify_ground(cloud(spark, sf_dir).select("tile", "x", "y", "z", "cls")).groupBy("tile", "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT o_orderkey, round(year(d) + date_diff('day', make_date(year(d), 1, 1), d) / CAST(date_diff('day', make_date(year(d), 1, 1), make_date(year(d) + 1, 1, 1)) AS DOUBLE), 9) AS epoch,

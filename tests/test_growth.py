@@ -65,6 +65,58 @@ def test_gaps_of_the_ground_are_filled_where_they_are_found(spark, monkeypatch):
     assert {(r["tile"], r["id"]): r["cls"] for r in points.classify_ground(pts.where("z IS NOT NULL AND NOT isnan(z)"), window=3).collect()} == {k: v for k, v in whole.items() if k[1] < 1500}
 
 
+def test_small_groups_are_classified_whole_and_together(spark, monkeypatch):
+    """Points are moved once, small groups share their arrays, and no border shows: whole groups, groups in blocks, dense and scattered cells give
+    what the same steps on dictionaries give, with null groups and places and heights without end or number."""
+    rng = random.Random(6)
+    low = lambda: rng.choice([rng.gauss(10, 0.2), rng.gauss(10, 0.2), rng.uniform(11, 40)])
+    rows = [(t, rng.uniform(0, 20), rng.uniform(0, 20), low()) for t in ("dense", "dense too") for _ in range(900)]
+    rows += [(t, -5e6 + rng.uniform(0, 90), 7e9 + rng.uniform(0, 90), low()) for t in ("thin", "thinner", None) for _ in range(400)]
+    rows += [("far", 1e15 * k, -1e15 * k, 1.0) for k in range(3)] + [("odd", float(k % 9), float(k // 9), low()) for k in range(70)]
+    rows += [("odd", 3.5, 3.5, None), ("odd", None, 1.0, 1.0), ("odd", 4.5, 4.5, float("nan")), ("odd", 20.5, 20.5, None), ("odd", 2.5, 2.5, float("inf")), ("odd", 2.0, 30.0, float("inf"))]
+    df = spark.createDataFrame([(k, *r, 7) for k, r in enumerate(rows)], "id int, tile string, x double, y double, z float, cls int")
+    rows, window, want = [(r["tile"], r["x"], r["y"], r["z"]) for r in df.orderBy("id").collect()], 3, {}
+    for t in {r[0] for r in rows}:
+        cells = {}
+        for x, y, z in (r[1:] for r in rows if r[0] == t and None not in r and not math.isnan(r[3])):
+            cells[math.floor(y), math.floor(x)] = min(z, cells.get((math.floor(y), math.floor(x)), math.inf))
+        now, flags = cells, set()
+        for w in range(1, window + 1):
+            made = now
+            for pick in (min, max):
+                for a, b in ((0, 1), (1, 0)):
+                    made = {c: pick(made[n] for s in range(-w, w + 1) if (n := (c[0] + a * s, c[1] + b * s)) in made) for c in made}
+            flags |= {c for c in made if now[c] - made[c] > 0.2 * w}
+            now = made
+        dem = {c: z for c, z in cells.items() if c not in flags}
+        around = {c: [(cells[n], 1 / (i * i + j * j)) for i in range(-window, window + 1) for j in range(-window, window + 1) if (n := (c[0] + i, c[1] + j)) in dem] for c in flags}
+        dem |= {c: sum(z * w for z, w in held) / sum(w for _, w in held) for c, held in around.items() if held}
+        slope = {c: [0.0, 0.0] for c in dem}
+        for a in (0, 1):
+            lines = {}
+            for c in sorted(dem):
+                lines.setdefault(c[a], []).append(c)
+            for line in lines.values():
+                for before, c, after in zip(line, line[1:], line[2:]):
+                    slope[c][a] = (dem[after] - dem[before]) / 2
+        for k, (own, x, y, z) in enumerate(rows):
+            c = None if own != t or None in (own, x, y, z) else (math.floor(y), math.floor(x))
+            if own == t:
+                want[k] = 2 if c in dem and abs(z - dem[c]) <= 0.45 + 1.2 * math.hypot(*slope[c]) else 1
+    classes = lambda: {r["id"]: r["cls"] for r in points.classify_ground(df, window=window).collect()}
+    assert classes() == want and set(want.values()) == {1, 2}
+    plan = points.classify_ground(df, window=window)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+    for name, value in (("BATCH", 700), ("DENSE", 0), ("DENSE", 1 << 40), ("WHOLE", 800), ("BLOCK", 16), ("WHOLE", 0)):
+        if name == "DENSE" and value:
+            df = df.where("tile <> 'far' OR tile IS NULL")
+            want = {r["id"]: want[r["id"]] for r in df.collect()}
+        monkeypatch.setattr(points, name, value)
+        assert classes() == want, name
+    alone = df.where("tile = 'dense'")
+    assert {r["id"]: r["cls"] for r in points.classify_ground(alone.drop("tile"), window=window, by=[]).collect()} == {r["id"]: want[r["id"]] for r in alone.collect()}
+
+
 def test_filling_a_grid_does_not_write_it(spark, tmp_path, monkeypatch):
     """The grid goes from its aggregation to its blocks; blocks' borders, null groups and cells given as null do not show."""
     rng = random.Random(4)
