@@ -133,6 +133,33 @@ def test_filling_a_grid_does_not_write_it(spark, tmp_path, monkeypatch):
     assert len(got) == 9 + 15 and got[None, 0, 0] == (3.0, True) and got[None, -1, 0] == (2.0, False) and got[7, 5, 5] == (9.0, True)
 
 
+def test_points_are_gridded_and_filled_in_one_exchange(spark, monkeypatch):
+    """Neither pairs of points and cells nor the grid are rows, and the result is that of the two operators one after the other: points at cells'
+    centres, on circles' edges, without height or place, far away, with any resolution, radius, power and origin."""
+    rng = random.Random(8)
+    rows = [(rng.uniform(-30, 30), rng.uniform(-9, 50), rng.uniform(1, 9)) for _ in range(150)] + [(k + 0.5, 0.5, float(k)) for k in range(5)] + [(0.5, 0.5, 7.0), (1.5, 0.5, None), (2.0, 2.0, 3.0)]
+    rows += [(-40.5, -40.5, None), (7.5, 90.5, None), (8.5, 90.5, 2.0), (None, 1.0, 1.0), (1.0, None, 1.0), (float("nan"), 1.0, 1.0), (1.0, float("inf"), 1.0), (1e300, 1.0, 1.0), (3e9 + 0.25, -7e9, 4.0)]
+    pts = spark.createDataFrame(rows, "x double, y double, z double")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(points.grid_idw_filled(pts, 1.0, 1.5, size=2)) == 1
+    for size in (256, 5):
+        monkeypatch.setattr(raster, "BLOCK", size)
+        for how in ({"resolution": 1.0, "radius": 1.5}, {"resolution": 2.5, "power": 2.0, "origin": (0.3, -0.7)}, {"resolution": 1.0, "radius": 0.2}):
+            want = raster.window_fill(points.grid_idw(pts, **how), 2, 1.5).collect()
+            got = {(r["row"], r["col"]): r for r in points.grid_idw_filled(pts, **how, size=2, fill_power=1.5).collect()}
+            assert len(got) == len(want) > 100
+            assert all(got[r["row"], r["col"]]["value"] == pytest.approx(r["value"], rel=1e-12) and got[r["row"], r["col"]]["filled"] == r["filled"] for r in want)
+
+
+def test_rounding_of_doubles(spark):
+    values = [2.5, 3.5, -2.5, -3.5, 0.49999999999999994, 1e300, -0.4, 1e308, float("inf"), float("nan"), None, 123.45678949999999, 4503599627370497.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(queries.rounded("v", 0)).collect()]
+    assert got[:8] == [3.0, 4.0, -3.0, -4.0, 0.0, 1e300, 0.0, 1e308] and got[8] == math.inf and math.isnan(got[9]) and got[10] is None and got[11:] == [123.0, 4503599627370498.0]
+    got = [r[0] for r in df.select(queries.rounded("v", 7)).collect()]
+    assert got[7:9] == [1e308, math.inf] and math.isnan(got[9]) and got[11] == 123.4567895
+
+
 def test_height_above_ground_moves_a_point_once_however_far_groups_lie_apart(spark):
     """Points of a group are found by the spacing of its own ground: what is moved stays near the number of points. Dense places, places of
     several points, lone points, ties, nulls and groups without ground give what comparing all pairs gives."""
