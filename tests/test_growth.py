@@ -210,6 +210,30 @@ def test_equal_shapes_are_swept_once(spark):
     assert sorted(r["tile"] for r in kept) == [f"t{k}" for k in range(9)] and all(abs(r["share"] - 1) < 1e-9 for r in kept)
 
 
+def test_shapes_of_resources_are_swept_once_whatever_their_names_have_besides(spark, monkeypatch):
+    """Names with sets of shapes that are all different cost what their few shapes cost, and lists of names are not moved between tasks."""
+    box = lambda w, s, d: [[[{"x": float(x), "y": float(y)} for x, y in ((w, s), (w + d, s), (w + d, s + d), (w, s + d))]]]
+    shape = "parts array<array<array<struct<x:double,y:double>>>>"
+    places = [box(0, 0, 1), box(1, 0, 1), box(2, 0, 1), box(0.5, 0, 1)]
+    areas = spark.createDataFrame([(1, box(0, 0, 8))], f"aoi int, {shape}")
+    surveys = spark.createDataFrame([(1, f"w{k}", box(2 * (k % 2), 0, 2)) for k in range(10)] + [(1, "empty", box(6, 6, 1))], f"aoi int, workunit string, {shape}")
+    rows = [(f"r{k:02}", places[j]) for k in range(1, 16) for j in range(4) if k >> j & 1] + [("r01", places[0]), (None, box(3, 0, 1)), ("r00", None)]
+    builds = spark.createDataFrame(rows, f"name string, {shape}")
+    pieces = polygons.overlay(areas, surveys, ["aoi"], resources=builds, degrees=False)
+    assert pieces.where("kind = 'hit'").select("id", "other").distinct().count() == 3 + 2
+    even, odd = [f"r{k:02}" for k in range(1, 16) if k & 11], [f"r{k:02}" for k in range(1, 16) if k & 4]
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(polygons, "NAMES_BYTES", most)
+        out = polygons.inventory(pieces, surveys, ["aoi"], joined=",")
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = {r["workunit"]: (r["ept_names"], round(r["ept_coverage_frac"], 9)) for r in out.collect()}
+        # what has no name is held, too
+        assert got == {"empty": ("", 0.0)} | {f"w{k}": (",".join(odd if k % 2 else even), 0.5) for k in range(10)}
+        if most:
+            lists = [k for k, line in enumerate(plan) if "collect_list(sg_names" in line]
+            assert len(lists) > 1 and not any("Exchange" in line for line in plan[lists[0]:lists[-1]])
+
+
 def test_holes_do_not_meet_all_sides_of_their_row(spark, monkeypatch):
     """A hole's neighbour in the west is found in the order of the row; the work does not grow with holes times sides of a row."""
     plans = []
